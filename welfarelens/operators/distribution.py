@@ -28,32 +28,34 @@ def weighted_quantile(
     """
     by = list(by)
     used = df.filter(F.col(weight) > 0).select(*by, value, weight)
-    curve = running_totals(used, value, {"w": F.sum(weight)}, by, buckets)
-    totals = curve.groupBy(*by).agg(F.max("cum_w").alias("__total"))
-    share = _join_groups(curve, totals, by).select(
-        *by, F.col(value).alias("__v"), (F.col("cum_w") / F.col("__total")).alias("__s"),
-        ((F.col("cum_w") - F.col("w")) / F.col("__total")).alias("__s0"),
+    curve = running_totals(used, value, {"w": F.sum(weight)}, by, buckets, with_totals=True)
+    share = curve.select(
+        *by, F.col(value).alias("__v"), ((F.col("cum_w") - F.col("w")) / F.col("all_w")).alias("__s")
     )
-    # value at prob p: smallest v with s >= p - tol  <=>  largest v with s0 < p - tol.
-    # next value on an exact hit: largest v with s0 <= p + tol.
-    lo = last_at_or_below(share, "__s0", [p - hit_tolerance for p in probs], ["__v"], by, totals.select(*by))
-    hi = last_at_or_below(share, "__s0", [p + hit_tolerance for p in probs], ["__v"], by, totals.select(*by))
-    lo = lo.select(*by, _nearest_prob(F.col("threshold") + hit_tolerance, probs).alias("prob"), F.col("__v").alias("__lo"))
-    hi = hi.select(*by, _nearest_prob(F.col("threshold") - hit_tolerance, probs).alias("prob"), F.col("__v").alias("__hi"))
-    first = share.groupBy(*by).agg(F.min("__v").alias("__first"))
-    out = _join_groups(_join_groups(lo, hi, [*by, "prob"]), first, by)
-    low = F.coalesce("__lo", "__first")
-    found = (low + F.coalesce("__hi", low)) / 2
+    # __s is the share of the smaller values. The value at p is the last one with a
+    # smaller share than p; on an exact hit the next value has the share p.
+    probs = [float(p) for p in probs]
+    low = {p: max(p - hit_tolerance, 0.0) for p in probs}
+    high = {p: p + hit_tolerance for p in probs}
+    groups = used.select(*by).distinct() if by else None
+    hits = last_at_or_below(share, "__s", [*low.values(), *high.values()], ["__v"], by, groups)
+
+    def at(c: Column) -> Column:
+        return F.max(F.when(F.col("threshold") == c, F.col("__v")))
+
+    grid = F.array(
+        *[F.struct(F.lit(p).alias("p"), F.lit(low[p]).alias("lo"), F.lit(high[p]).alias("hi")) for p in probs]
+    )
+    each = hits.withColumn(
+        "__g", F.explode(F.filter(grid, lambda g: (g["lo"] == F.col("threshold")) | (g["hi"] == F.col("threshold"))))
+    )
+    found = each.groupBy(*by, F.col("__g.p").alias("prob")).agg(
+        at(F.col("__g.lo")).alias("__lo"), at(F.col("__g.hi")).alias("__hi")
+    )
+    quantile = (F.col("__lo") + F.col("__hi")) / 2
     if floor is not None:
-        found = F.greatest(found, F.lit(float(floor)))
-    return out.select(*by, "prob", found.alias("quantile"))
-
-
-def _nearest_prob(c: Column, probs: Sequence[float]) -> Column:
-    """Undo the tolerance shift exactly: the listed probability closest to ``c``."""
-    return F.array_min(
-        F.array(*[F.struct(F.abs(c - F.lit(float(p))).alias("d"), F.lit(float(p)).alias("p")) for p in probs])
-    )["p"]
+        quantile = F.greatest(quantile, F.lit(float(floor)))
+    return found.select(*by, "prob", quantile.alias("quantile"))
 
 
 def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -52,10 +52,12 @@ def running_totals(
     sums: Mapping[str, Column],
     by: Sequence[str] = (),
     buckets: int | None = None,
+    with_totals: bool = False,
 ) -> DataFrame:
     """One row per (by, value) with each sum and its running total ``cum_<name>``.
 
-    Rows with a NULL or NaN value are left out. Equal values are merged first, so
+    ``with_totals`` adds the sums of the whole group as ``all_<name>``. Rows with a
+    NULL or NaN value are left out. Equal values are merged first, so
     ties neither skew a bucket nor get an arbitrary order. No task sorts more than
     one bucket of one group, even if one group holds most rows.
     """
@@ -67,17 +69,20 @@ def running_totals(
 
     totals = merged.groupBy(*by, "__bucket").agg(*[F.sum(n).alias(f"__t_{n}") for n in sums])
     before = W.partitionBy(*(by or [F.lit(0)])).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*(by or [F.lit(0)]))
+    extra = [f"all_{n}" for n in sums] if with_totals else []
     offsets = totals.select(
         *by,
         "__bucket",
         *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0.0)).alias(f"__o_{n}") for n in sums],
+        *[F.sum(f"__t_{n}").over(whole).alias(f"all_{n}") for n in sums if with_totals],
     )
 
     within = W.partitionBy(*by, "__bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     local = merged.select("*", *[F.sum(n).over(within).alias(f"__c_{n}") for n in sums])
     # renamed keys and <=> keep groups whose key is NULL
     offsets = offsets.select(
-        *[F.col(c).alias(f"__k_{c}") for c in [*by, "__bucket"]], *[f"__o_{n}" for n in sums]
+        *[F.col(c).alias(f"__k_{c}") for c in [*by, "__bucket"]], *[f"__o_{n}" for n in sums], *extra
     )
     match = F.lit(True)
     for c in [*by, "__bucket"]:
@@ -88,6 +93,7 @@ def running_totals(
         value,
         *sums,
         *[(F.col(f"__c_{n}") + F.col(f"__o_{n}")).alias(f"cum_{n}") for n in sums],
+        *extra,
     )
 
 
