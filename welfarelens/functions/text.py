@@ -5,7 +5,6 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Mapping, Sequence
 from functools import lru_cache
-from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -15,77 +14,61 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _base(ch: str, form: str) -> str:
-    return "".join(x for x in unicodedata.normalize(form, ch) if not unicodedata.combining(x))
+@lru_cache(maxsize=None)
+def _combining_marks() -> dict[int, None]:
+    """Deletion table of all combining marks, derived from the Unicode data."""
+    return {p: None for p in range(0x300, 0x20000) if unicodedata.combining(chr(p))}
 
 
 @lru_cache(maxsize=None)
-def _letter_tables() -> tuple[str, str, str, str, str]:
-    """Decomposition rules of single characters, derived from the Unicode data.
-
-    Returns (from, to) for ``translate`` where the base is one character, with the
-    combining marks at the end of ``from`` so that they are deleted; a character
-    class of those whose base has several characters; and (from, to) of the
-    characters whose canonical base is ASCII.
-    """
-    one, marks, several, ascii_from, ascii_to = {}, [], [], [], []
-    # the blocks left out hold only ideographs and unassigned or private points
-    for point in chain(range(0x80, 0x3400), range(0xA000, 0x20000), range(0x2F800, 0x2FA20)):
-        ch = chr(point)
-        if unicodedata.combining(ch):
-            marks.append(ch)
-            continue
-        if 0xD800 <= point <= 0xDFFF or not unicodedata.decomposition(ch) and not 0xAC00 <= point <= 0xD7A3:
-            continue
-        base = _base(ch, "NFKD")
-        if len(base) == 1:
-            if base != ch:
-                one[ch] = base
-        else:
-            several.append(point)
-        plain = "".join(x for x in unicodedata.normalize("NFD", ch) if x < "\x80")
+def _ascii_bases() -> tuple[str, str]:
+    """Characters whose canonical decomposition holds an ASCII character, and that character."""
+    source, target = [], []
+    for point in range(0x80, 0x3000):
+        plain = "".join(x for x in unicodedata.normalize("NFD", chr(point)) if x < "\x80")
         if plain:
-            ascii_from.append(ch)
-            ascii_to.append(plain)
-    ranges, start = [], None
-    for i, point in enumerate(several):
-        start = point if start is None else start
-        if i + 1 == len(several) or several[i + 1] != point + 1:
-            ranges.append(f"\\x{{{start:x}}}-\\x{{{point:x}}}")
-            start = None
-    return (
-        "".join([*one, *marks]), "".join(one.values()), "[" + "".join(ranges) + "]",
-        "".join(ascii_from), "".join(ascii_to),
-    )
+            source.append(chr(point))
+            target.append(plain)
+    return "".join(source), "".join(target)
 
 
 @F.pandas_udf(T.StringType())
-def _decompose(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFKD")
+def _fold(s: pd.Series) -> pd.Series:
+    marks = _combining_marks()
+    return s.map(
+        lambda t: unicodedata.normalize("NFKD", t).translate(marks).strip().lower(), na_action="ignore"
+    )
+
+
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
 
 
 def normalize_text(c: str | Column) -> Column:
     """Lower case without accents and outer white space; NULL stays NULL.
 
-    Compatibility decomposition without combining marks, character by character in
-    the JVM. Only text with a character that decomposes into several (ligatures,
-    fractions, Hangul) goes through Python.
+    Text with a character outside ASCII goes through Python in Arrow batches, for
+    the Unicode decomposition; plain text stays in the JVM.
     """
     text = col(c)
-    source, target, several, _, _ = _letter_tables()
-    text = F.coalesce(_decompose(F.when(text.rlike(several), text)), text)
-    return F.lower(strip_space(F.translate(text, source, target)))
+    return F.coalesce(
+        F.when(_is_ascii(text), F.lower(strip_space(text))), _fold(F.when(~_is_ascii(text), text))
+    )
+
+
+# every character that counts as white space, from the Unicode data
+WHITE_SPACE = "".join(chr(p) for p in range(0x3001) if chr(p).isspace())
 
 
 def strip_space(text: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def slug(c: str | Column, aliases: Mapping[str, str] | None = None) -> Column:
     """ASCII letters, digits and underscores in lower case; ``aliases`` applied last."""
     text = col(c)
-    _, _, _, source, target = _letter_tables()
+    source, target = _ascii_bases()
     ascii_only = F.regexp_replace(F.translate(text, source, target), r"[^\x00-\x7f]", "")
     out = F.lower(F.translate(F.regexp_replace(ascii_only, r"[^\w\s]", ""), " ", "_"))
     return replace_values(out, aliases) if aliases else out

@@ -70,6 +70,34 @@ def cross_products(
     return Moments(columns, sorted(matrices), matrices, center, scale)
 
 
+def cross_products_by_group(
+    df: DataFrame, group: str, columns: Sequence[str], outcome: str, weight: str, fold: str, max_cells: int = 100_000_000
+) -> dict:
+    """Moments of every group from one pass: {group: Moments}. Rows without a group are left out.
+
+    All matrices come to the driver, so their total size is checked first.
+    """
+    keys = [r[0] for r in df.select(group).filter(F.col(group).isNotNull()).distinct().limit(100_001).collect()]
+    folds = df.agg(F.max(F.col(fold).cast("int")) + 1).first()[0] or 1
+    cells = len(keys) * folds * (len(columns) + 2) ** 2
+    if cells > max_cells:
+        raise ValueError(f"{len(keys)} groups need {cells} matrix cells; select groups or columns first")
+    keys.sort()
+    table = df.sparkSession.createDataFrame(
+        list(enumerate(keys)), f"__g int, __key {df.schema[group].dataType.simpleString()}"
+    )
+    coded = df.join(F.broadcast(table), F.col(group) == F.col("__key")).withColumn(
+        "__cell", F.col("__g") * F.lit(folds) + F.col(fold).cast("int")
+    )
+    mo = cross_products(coded, columns, outcome, weight, "__cell")
+    out = {}
+    for i, key in enumerate(keys):
+        own = {c - i * folds: m for c, m in mo.matrices.items() if c // folds == i}
+        if own:
+            out[key] = Moments(mo.columns, sorted(own), own, mo.center, mo.scale)
+    return out
+
+
 def _narrow_sums(df: DataFrame, p: int) -> dict[int, np.ndarray]:
     term = [F.lit(1.0)] + [F.col(f"x{i}") for i in range(p)]
     pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
@@ -234,9 +262,51 @@ def forward_selection(
     candidates and folds. Rows: step, covariate, is_mse, oos_mse, is_r2, oos_r2
     and single_covariate_r2, rounded to 3, and the description if given.
     """
-    names = sorted(candidates)
-    columns = list(dict.fromkeys(c for n in names for c in candidates[n]))
+    columns = list(dict.fromkeys(c for n in sorted(candidates) for c in candidates[n]))
     mo = cross_products(df, columns, outcome, weight, fold)
+    out = df.sparkSession.createDataFrame(greedy_selection(mo, candidates, steps), SELECTION_SCHEMA)
+    return _described(out, descriptions)
+
+
+def forward_selection_by_group(
+    df: DataFrame,
+    group: str,
+    candidates: Mapping[str, Sequence[str]],
+    outcome: str,
+    weight: str,
+    fold: str,
+    steps: int = 10,
+    min_rows: int = 100,
+    descriptions: DataFrame | None = None,
+) -> DataFrame:
+    """``forward_selection`` inside every group, from one pass over the data.
+
+    Adds the group, its number of rows and ``small`` = fewer than ``min_rows``.
+    """
+    columns = list(dict.fromkeys(c for n in sorted(candidates) for c in candidates[n]))
+    moments = cross_products_by_group(df, group, columns, outcome, weight, fold)
+    rows = [(key, *r) for key, mo in moments.items() for r in greedy_selection(mo, candidates, steps)]
+    kind = df.schema[group].dataType.simpleString()
+    out = df.sparkSession.createDataFrame(rows, f"{group} {kind}, {SELECTION_SCHEMA}")
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
+    out = out.join(sizes, group, "left").withColumn("small", F.col("rows") < min_rows)
+    return _described(out, descriptions)
+
+
+SELECTION_SCHEMA = (
+    "step int, covariate string, is_mse double, oos_mse double, is_r2 double, oos_r2 double, single_covariate_r2 double"
+)
+
+
+def _described(out: DataFrame, descriptions: DataFrame | None) -> DataFrame:
+    if descriptions is None:
+        return out
+    return out.join(descriptions.select("covariate", "description"), "covariate", "left")
+
+
+def greedy_selection(mo: Moments, candidates: Mapping[str, Sequence[str]], steps: int) -> list[tuple]:
+    """The selection itself, on the matrices: rows as in ``SELECTION_SCHEMA``."""
+    names = sorted(candidates)
     whole = mo.total()
     trains = {f: whole - mo.matrices[f] for f in mo.folds}
     var = mo.scale[-1] ** 2
@@ -252,7 +322,7 @@ def forward_selection(
 
     chosen: list[str] = []
     used: list[str] = []
-    table = []
+    table: list[tuple] = []
     while len(chosen) < min(steps, len(names)):
         best = None
         for n in names:
@@ -268,15 +338,7 @@ def forward_selection(
         idx = mo.index(candidates[best[0]])
         single = score(whole, idx, solve(whole, idx))[1]
         table.append((len(chosen), best[0], *[float(v) for v in best[1]], float(single)))
-    spark = df.sparkSession
-    out = spark.createDataFrame(
-        [(r[0], r[1], *[round(v, 3) for v in r[2:]]) for r in table],
-        "step int, covariate string, is_mse double, oos_mse double, is_r2 double, oos_r2 double, "
-        "single_covariate_r2 double",
-    )
-    if descriptions is not None:
-        out = out.join(descriptions.select("covariate", "description"), "covariate", "left")
-    return out
+    return [(r[0], r[1], *[round(v, 3) for v in r[2:]]) for r in table]
 
 
 # ---------------------------------------------------------------- learners from MLlib

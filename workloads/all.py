@@ -1,3 +1,5 @@
 """Importing this module registers every query."""
 
-from workloads import country_panel, names_and_rows, policies, statistics  # noqa: F401
+from workloads import (  # noqa: F401
+    country_panel, names_and_rows, places, policies, predictors, statistics, survey_tables,
+)

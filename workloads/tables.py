@@ -153,12 +153,19 @@ POINTS = """points AS (
 
 
 def sites_and_tiles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Even labels are survey sites, odd labels are feature tiles."""
-    p = points(spark, sf)
-    return p.filter(F.col("label") % 2 == 0), p.filter(F.col("label") % 2 == 1)
+    """Survey sites from the first two numbers of every embedding, feature tiles from the next four."""
+    e = table(spark, sf, "embeddings")
+    sites = points(spark, sf).select(F.col("vec_id").alias("site"), "x", "y")
+    names = ["x", "y", "feature_0", "feature_1"]
+    tiles = e.select(
+        F.col("vec_id").alias("tile"), *[F.col("embedding")[i + 2].cast("double").alias(n) for i, n in enumerate(names)]
+    )
+    return sites, tiles
 
 
-SITES = """sites AS (SELECT * FROM points WHERE label % 2 = 0), tiles AS (SELECT * FROM points WHERE label % 2 = 1)"""
+SITES = """sites AS (SELECT vec_id AS site, x, y FROM points),
+tiles AS (SELECT vec_id AS tile, embedding[3]::DOUBLE AS x, embedding[4]::DOUBLE AS y,
+          embedding[5]::DOUBLE AS feature_0, embedding[6]::DOUBLE AS feature_1 FROM embeddings)"""
 
 
 def with_(*ctes: str) -> str:
