@@ -21,13 +21,17 @@ NARROW = 14
 
 @dataclass
 class Moments:
-    """Weighted sums of products of (1, columns..., outcome) per fold, in standardised units."""
+    """Weighted sums of products of (1, columns..., outcome) per fold, in standardised units.
+
+    ``plain`` holds the same sums without weights, where they were asked for.
+    """
 
     columns: list[str]
     folds: list[int]
     matrices: dict[int, np.ndarray]
     center: np.ndarray
     scale: np.ndarray
+    plain: dict[int, np.ndarray] | None = None
 
     def total(self) -> np.ndarray:
         return sum(self.matrices.values())
@@ -38,7 +42,8 @@ class Moments:
 
 
 def cross_products(
-    df: DataFrame, columns: Sequence[str], outcome: str, weight: str | None = None, fold: str | None = None
+    df: DataFrame, columns: Sequence[str], outcome: str, weight: str | None = None, fold: str | None = None,
+    also_plain: bool = False,
 ) -> Moments:
     """All sums of products, by fold. Rows with a NULL in any used column are left out.
 
@@ -66,8 +71,11 @@ def cross_products(
     standard = used.select(
         "fold", "w", *[((F.col(f"x{i}") - float(center[i])) / float(scale[i])).alias(f"x{i}") for i in range(p)]
     )
-    matrices = _narrow_sums(standard, p) if p <= NARROW else _wide_sums(standard, p)
-    return Moments(columns, sorted(matrices), matrices, center, scale)
+    both = also_plain and weight is not None
+    weighted, plain = (_narrow_sums if p <= NARROW else _wide_sums)(standard, p, both)
+    if also_plain and weight is None:
+        plain = weighted
+    return Moments(columns, sorted(weighted), weighted, center, scale, plain)
 
 
 def cross_products_by_group(
@@ -98,52 +106,59 @@ def cross_products_by_group(
     return out
 
 
-def _narrow_sums(df: DataFrame, p: int) -> dict[int, np.ndarray]:
+Matrices = dict[int, np.ndarray]
+
+
+def _narrow_sums(df: DataFrame, p: int, both: bool) -> tuple[Matrices, Matrices | None]:
     term = [F.lit(1.0)] + [F.col(f"x{i}") for i in range(p)]
     pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    kinds = {"s": F.col("w"), "u": F.lit(1.0)} if both else {"s": F.col("w")}
     rows = df.groupBy("fold").agg(
-        *[F.sum(F.col("w") * term[i] * term[j]).alias(f"s{i}_{j}") for i, j in pairs]
+        *[F.sum(w * term[i] * term[j]).alias(f"{k}{i}_{j}") for k, w in kinds.items() for i, j in pairs]
     ).collect()
-    out = {}
+    out: dict[str, Matrices] = {k: {} for k in kinds}
     for r in rows:
-        m = np.zeros((p + 1, p + 1))
-        for i, j in pairs:
-            m[i, j] = m[j, i] = r[f"s{i}_{j}"]
-        out[r["fold"]] = m
-    return out
+        for k in kinds:
+            m = np.zeros((p + 1, p + 1))
+            for i, j in pairs:
+                m[i, j] = m[j, i] = r[f"{k}{i}_{j}"]
+            out[k][r["fold"]] = m
+    return out["s"], out.get("u")
 
 
-def _wide_sums(df: DataFrame, p: int) -> dict[int, np.ndarray]:
+def _wide_sums(df: DataFrame, p: int, both: bool) -> tuple[Matrices, Matrices | None]:
     names = [f"x{i}" for i in range(p)]
 
     def partial(batches):
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, bool], np.ndarray] = {}
         for batch in batches:
             for key, part in batch.groupby("fold"):
                 x = np.column_stack([np.ones(len(part)), part[names].to_numpy()])
-                m = (x * part["w"].to_numpy()[:, None]).T @ x
-                sums[key] = sums[key] + m if key in sums else m
-        for key, m in sums.items():
+                for plain in (False, True) if both else (False,):
+                    m = (x if plain else x * part["w"].to_numpy()[:, None]).T @ x
+                    at = (int(key), plain)
+                    sums[at] = sums[at] + m if at in sums else m
+        for (key, plain), m in sums.items():
             for start in range(0, p + 1, 256):
                 stop = min(start + 256, p + 1)
                 yield pd.DataFrame(
-                    {"fold": key, "i": range(start, stop), "values": [list(v) for v in m[start:stop]]}
+                    {"fold": key, "plain": plain, "i": range(start, stop), "values": [list(v) for v in m[start:stop]]}
                 )
 
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    parts = df.mapInPandas(partial, "fold int, i int, values array<double>")
+    parts = df.mapInPandas(partial, "fold int, plain boolean, i int, values array<double>")
     summed = (
-        parts.select("fold", "i", array_to_vector("values").alias("v"))
-        .groupBy("fold", "i")
+        parts.select("fold", "plain", "i", array_to_vector("values").alias("v"))
+        .groupBy("fold", "plain", "i")
         .agg(Summarizer.sum(F.col("v")).alias("v"))
-        .select("fold", "i", vector_to_array("v").alias("v"))
+        .select("fold", "plain", "i", vector_to_array("v").alias("v"))
     )
-    out: dict[int, np.ndarray] = {}
+    out: dict[bool, Matrices] = {False: {}, True: {}}
     for r in summed.toLocalIterator():
-        out.setdefault(r["fold"], np.zeros((p + 1, p + 1)))[r["i"]] = r["v"]
-    return out
+        out[r["plain"]].setdefault(r["fold"], np.zeros((p + 1, p + 1)))[r["i"]] = r["v"]
+    return out[False], out[True] if both else None
 
 
 def solve(m: np.ndarray, idx: Sequence[int]) -> np.ndarray:
@@ -233,15 +248,14 @@ def cross_validated_r2(
     df: DataFrame, columns: Sequence[str], outcome: str, fold: str, weight: str | None = None
 ) -> dict[str, float]:
     """Mean train and test R2 over folds; the fit is weighted, the scores are not."""
-    fit_m = cross_products(df, columns, outcome, weight, fold)
-    plain = fit_m if weight is None else cross_products(df.filter(F.col(weight).isNotNull()), columns, outcome, None, fold)
-    idx = fit_m.index(columns)
-    whole, plain_whole = fit_m.total(), plain.total()
+    mo = cross_products(df, columns, outcome, weight, fold, also_plain=True)
+    idx = mo.index(columns)
+    whole, plain_whole = mo.total(), sum(mo.plain.values())
     train, test = [], []
-    for f in fit_m.folds:
-        coef = solve(whole - fit_m.matrices[f], idx)
-        test.append(score(plain.matrices[f], idx, coef)[1])
-        train.append(score(plain_whole - plain.matrices[f], idx, coef)[1])
+    for f in mo.folds:
+        coef = solve(whole - mo.matrices[f], idx)
+        test.append(score(mo.plain[f], idx, coef)[1])
+        train.append(score(plain_whole - mo.plain[f], idx, coef)[1])
     return {"train_r2": float(np.mean(train)), "test_r2": float(np.mean(test))}
 
 
@@ -363,29 +377,80 @@ def _grid_search(data: DataFrame, estimator, grid, folds: int, metric: str = "r2
 
     # scores are unweighted
     evaluator = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName=metric)
-    return CrossValidator(
+    search = CrossValidator(
         estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=4
-    ).fit(data)
+    )
+    data = data.persist()
+    try:
+        return search.fit(data)
+    finally:
+        data.unpersist()
+
+
+def _lasso(gram: np.ndarray, xy: np.ndarray, alpha: float, start: np.ndarray, sweeps: int = 1000, tol: float = 1e-9):
+    """Minimiser of b'Gb/2 - b'xy + alpha |b|_1 by cyclic coordinate descent."""
+    b = start.copy()
+    size = np.sqrt(np.maximum(np.diag(gram), 0.0))
+    for _ in range(sweeps):
+        moved = 0.0
+        for j in range(len(b)):
+            if size[j] == 0:
+                continue
+            rest = xy[j] - gram[j] @ b + gram[j, j] * b[j]
+            new = np.sign(rest) * max(abs(rest) - alpha, 0.0) / gram[j, j]
+            moved = max(moved, abs(new - b[j]) * size[j])
+            b[j] = new
+        if moved <= tol * max(1.0, float(np.max(np.abs(xy), initial=0.0))):
+            break
+    return b
 
 
 def lasso_cv(
     df: DataFrame, columns: Sequence[str], outcome: str, fold: str, folds: int, alphas: Sequence[float],
     weight: str | None = None,
 ) -> dict:
-    """Lasso with the penalty chosen by cross-validated R2: alpha, score, intercept, coefficients by column."""
-    from pyspark.ml.regression import LinearRegression
-    from pyspark.ml.tuning import ParamGridBuilder
+    """Lasso with the penalty chosen by cross-validated R2: alpha, score, intercept, coefficients by column.
 
-    data = _features(df, columns, outcome, weight, fold)
-    lasso = LinearRegression(elasticNetParam=1.0, standardization=False, weightCol="w", maxIter=200, tol=1e-8)
-    grid = ParamGridBuilder().addGrid(lasso.regParam, [float(a) for a in alphas]).build()
-    model = _grid_search(data, lasso, grid, folds)
-    best = int(np.argmax(model.avgMetrics))
+    The loss is the weighted mean of half the squared error plus alpha times the sum
+    of absolute coefficients; the intercept is free and columns are not scaled. The
+    scores are unweighted. All penalties and folds are fitted on the cross-products,
+    so the data is not read again per penalty or iteration.
+    """
+    mo = cross_products(df, columns, outcome, weight, fold, also_plain=True)
+    idx = mo.index(columns)
+    unit = mo.scale[:-1][[i - 1 for i in idx]]
+    unit_y = mo.scale[-1]
+
+    def fit(m: np.ndarray, alpha: float, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients on standardised columns (intercept first) and in the units of the data."""
+        n = m[0, 0]
+        mean = m[0, idx] / n
+        gram = m[np.ix_(idx, idx)] / n - np.outer(mean, mean)
+        xy = m[idx, -1] / n - mean * (m[0, -1] / n)
+        b = _lasso(gram * np.outer(unit, unit), xy * unit * unit_y, alpha, start)
+        z = b * unit / unit_y
+        return np.concatenate([[m[0, -1] / n - mean @ z], z]), b
+
+    whole = mo.total()
+    order = sorted(float(a) for a in alphas)[::-1]  # from strong to weak, each starting at the last solution
+    scores = {a: [] for a in order}
+    for f in mo.folds:
+        b = np.zeros(len(idx))
+        for a in order:
+            coef, b = fit(whole - mo.matrices[f], a, b)
+            scores[a].append(score(mo.plain[f], idx, coef)[1])
+    results = {a: float(np.mean(scores[a])) for a in map(float, alphas)}
+    best = max(results, key=results.get)
+    b = np.zeros(len(idx))
+    for a in [x for x in order if x >= best]:
+        coef, b = fit(whole, a, b)
+    center = mo.center[:-1][[i - 1 for i in idx]]
+    intercept = mo.center[-1] + coef[0] * unit_y - float(b @ center)
     return {
-        "alpha": float(alphas[best]),
-        "r2": float(model.avgMetrics[best]),
-        "intercept": float(model.bestModel.intercept),
-        "coefficients": dict(zip(columns, [float(v) for v in model.bestModel.coefficients])),
+        "alpha": best,
+        "r2": results[best],
+        "intercept": float(intercept),
+        "coefficients": dict(zip(columns, [float(v) for v in b])),
     }
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from welfarelens.functions.learning import pinball_loss
 from welfarelens.operators import curves as C, dedup as U, policy as P, poverty as V, regress as R
+from welfarelens.session import cut_lineage
 from workloads.registry import query
 from workloads.tables import HH, LINE, households, r6, rounded, table, with_
 
@@ -157,12 +158,15 @@ def household_transfers(spark, sf):
 
 
 def national_runs(spark, sf):
-    """UBI and oracle results for the country as a whole, one labelled table."""
+    """UBI and oracle results for the country as a whole, one labelled table.
+
+    Like any result table it is written once and then read by the comparisons.
+    """
     hh = households(spark, sf).select("consumption", "weight")
     ubi = P.uniform_transfer(hh, "consumption", "weight", LINE, BUDGETS)
     gap = P.oracle_gap(hh, "consumption", "weight", LINE, BUDGETS).drop("floor")
     rate = P.oracle_rate(hh, "consumption", "weight", LINE, TOLERANCES)
-    return U.union_labelled({"ubi": ubi, "oracle_gap": gap, "oracle_rate": rate}, "policy_type")
+    return cut_lineage(U.union_labelled({"ubi": ubi, "oracle_gap": gap, "oracle_rate": rate}, "policy_type"))
 
 
 _RUNS = f"""v AS (SELECT consumption AS y, sum(weight) AS w FROM hh WHERE consumption < 2.15 GROUP BY 1),

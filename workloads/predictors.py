@@ -92,20 +92,23 @@ def forward_selection_by_group(spark, sf):
 
 
 def learner_table(spark, sf):
-    """Households with an outcome that depends on size, assets and area, and five even folds."""
+    """Households with an outcome that depends on size, assets and area."""
     hh = households(spark, sf)
     outcome = (
         F.col("consumption") / 8 + F.col("hh_size") * 0.3 + F.col("assets") / 5000
         + F.when(F.col("area") == "1-URGENT", 1.0).otherwise(0.0)
     )
-    hh = hh.withColumns(
+    return hh.withColumns(
         {
             "outcome": outcome,
             "urgent": F.when(F.col("area") == "1-URGENT", 1.0).otherwise(0.0),
             "closed": F.when(F.col("status") == "F", 1.0).otherwise(0.0),
         }
     )
-    return S.even_folds(hh, "hhid", 3, 5)
+
+
+def with_folds(spark, sf):
+    return S.even_folds(learner_table(spark, sf), "hhid", 3, 5)
 
 
 LEARN = ["hh_size", "assets", "urgent", "closed", "hh_wgt"]
@@ -113,7 +116,7 @@ LEARN = ["hh_size", "assets", "urgent", "closed", "hh_wgt"]
 
 @query()
 def lasso_cv(spark, sf):
-    r = R.lasso_cv(learner_table(spark, sf), LEARN, "outcome", "fold", 3, [3e-4, 1e-2, 3e-1], "weight")
+    r = R.lasso_cv(with_folds(spark, sf), LEARN, "outcome", "fold", 3, [3e-4, 1e-2, 3e-1], "weight")
     rows = [(r["alpha"], r["r2"], c, b) for c, b in r["coefficients"].items()]
     return spark.createDataFrame(rows, "alpha double, r2 double, covariate string, coefficient double")
 
@@ -121,14 +124,14 @@ def lasso_cv(spark, sf):
 @query()
 def gbt_cv(spark, sf):
     r = R.boosted_trees_cv(
-        learner_table(spark, sf), LEARN, "outcome", "fold", 3, depths=(1, 3), leaf_sizes=(7,), weight="weight", trees=8
+        with_folds(spark, sf), LEARN, "outcome", "fold", 3, depths=(1, 3), leaf_sizes=(7,), weight="weight", trees=8
     )
     return spark.createDataFrame([(r["max_depth"], r["min_leaf"], r["r2"])], "max_depth int, min_leaf int, r2 double")
 
 
 @query()
 def pca_regression(spark, sf):
-    data = learner_table(spark, sf).select("hhid", "outcome", "weight", "fold", *LEARN)
+    data = with_folds(spark, sf).select("hhid", "outcome", "weight", "fold", *LEARN)
     parts = R.principal_components(data, LEARN, 3, ["hhid", "outcome", "weight", "fold"], scale=True)
     r = R.cross_validated_r2(parts, [f"pca_{i}" for i in range(3)], "outcome", "fold", "weight")
     return spark.createDataFrame([(3, r["train_r2"], r["test_r2"])], "n_pca int, train_r2 double, test_r2 double")
@@ -136,6 +139,6 @@ def pca_regression(spark, sf):
 
 @query()
 def logit_cv(spark, sf):
-    data = learner_table(spark, sf).withColumn("poor", (F.col("outcome") < 2.15).cast("double"))
+    data = with_folds(spark, sf).withColumn("poor", (F.col("outcome") < 2.15).cast("double"))
     r = R.logistic_cv(data, ["hh_size", "assets", "urgent"], "poor", "fold", 3, strengths=(1e-2, 1.0, 100.0))
     return spark.createDataFrame([(r["C"], r["r2"])], "c double, r2 double")
