@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from welfarelens.operators.ordered import interval_index
 
@@ -29,22 +29,18 @@ def interpolate(
     points = interval_index(points, "__x", at, "__le")
     points = interval_index(points.withColumn("__nx", -F.col("__x")), "__nx", [-a for a in at], "__ge")
     pt = F.struct(F.col("__x").alias("x"), F.col("__f").alias("f"))
-    # usable as left neighbour from grid index n - #(grid >= x) on; as right neighbour up to #(grid <= x) - 1
-    left = points.groupBy(*by, (F.lit(n) - F.col("__ge")).alias("__i")).agg(F.max(pt).alias("__lo"))
-    right = points.groupBy(*by, (F.col("__le") - 1).alias("__i")).agg(F.min(pt).alias("__hi"))
-    if by:
-        groups = points.select(*by).distinct()
-    else:
-        groups = curve.sparkSession.range(1).select()
-    spine = groups.select(*by, F.posexplode(F.array(*[F.lit(a) for a in at])).alias("__i", "__q"))
-    rows = spine.unionByName(left, allowMissingColumns=True).unionByName(right, allowMissingColumns=True)
-    w = W.partitionBy(*(by or [F.lit(0)])).orderBy("__i")
+    cells = points.groupBy(*by, "__le", "__ge").agg(F.max(pt).alias("hi"), F.min(pt).alias("lo"))
+    # at most two cells per grid point
+    lists = cells.groupBy(*by).agg(F.collect_list(F.struct("__le", "__ge", "lo", "hi")).alias("__c"))
+    rows = lists.select(*by, F.posexplode(F.array(*[F.lit(a) for a in at])).alias("__i", "__q"), "__c")
+    # left neighbour from grid index n - #(grid >= x) on, right neighbour up to #(grid <= x) - 1
+    left = F.filter("__c", lambda c: F.lit(n) - c["__ge"] <= F.col("__i"))
+    right = F.filter("__c", lambda c: c["__le"] - 1 >= F.col("__i"))
     rows = rows.select(
-        *by,
-        "__q",
-        F.max("__lo").over(w.rangeBetween(W.unboundedPreceding, 0)).alias("lo"),
-        F.min("__hi").over(w.rangeBetween(0, W.unboundedFollowing)).alias("hi"),
-    ).filter(F.col("__q").isNotNull())
+        *by, "__q",
+        F.array_max(F.transform(left, lambda c: c["hi"])).alias("lo"),
+        F.array_min(F.transform(right, lambda c: c["lo"])).alias("hi"),
+    )
     lo, hi = F.col("lo"), F.col("hi")
     slope = F.try_divide(hi["f"] - lo["f"], hi["x"] - lo["x"])
     value = (

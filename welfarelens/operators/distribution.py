@@ -37,8 +37,8 @@ def weighted_quantile(
     probs = [float(p) for p in probs]
     low = {p: max(p - hit_tolerance, 0.0) for p in probs}
     high = {p: p + hit_tolerance for p in probs}
-    groups = used.select(*by).distinct() if by else None
-    hits = last_at_or_below(share, "__s", [*low.values(), *high.values()], ["__v"], by, groups)
+    # the smallest value has the share 0, so every group has a hit
+    hits = last_at_or_below(share, "__s", [*low.values(), *high.values()], ["__v"], by)
 
     def at(c: Column) -> Column:
         return F.max(F.when(F.col("threshold") == c, F.col("__v")))
@@ -58,19 +58,6 @@ def weighted_quantile(
     return found.select(*by, "prob", quantile.alias("quantile"))
 
 
-def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on keys that may be NULL; ``right`` has one row per key."""
-    if not keys:
-        return left.crossJoin(F.broadcast(right))
-    renamed = right.select(
-        *[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
-    )
-    match = F.lit(True)
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    return left.join(renamed, match).drop(*[f"__r_{k}" for k in keys])
-
-
 def median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Exact unweighted median, by the bucketed running count."""
     return (

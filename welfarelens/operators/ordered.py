@@ -114,29 +114,22 @@ def sums_below(
     cuts = sorted(set(float(c) for c in cuts))
     placed = interval_index(df, value, cuts, "__i")
     cells = placed.groupBy(*by, "__i").agg(*[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in sums.items()])
-    groups = cells.groupBy(*by).agg(*[F.sum(n).alias(f"all_{n}") for n in sums])
-    spine = groups.select(
-        *by,
-        F.posexplode(F.array(*[F.lit(c) for c in cuts])).alias("__i", "cut"),
-        *[F.lit(0.0).alias(n) for n in sums],
+    # at most one cell per interval
+    groups = cells.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct("__i", *sums))).alias("__cells"),
+        *[F.sum(n).alias(f"all_{n}") for n in sums],
+    )
+    each = groups.select(
+        *by, F.posexplode(F.array(*[F.lit(c) for c in cuts])).alias("__k", "cut"), "__cells",
         *[f"all_{n}" for n in sums],
     )
     # interval i holds the values between cut i-1 and cut i, so it counts for cut i on
-    rows = spine.unionByName(
-        cells.select(
-            *by, "__i", F.lit(None).cast("double").alias("cut"), *sums,
-            *[F.lit(None).cast("double").alias(f"all_{n}") for n in sums],
-        )
-    )
-    upto = W.partitionBy(*(by or [F.lit(0)])).orderBy("__i").rangeBetween(W.unboundedPreceding, 0)
-    return (
-        rows.select(
-            *by, "cut",
-            *[F.sum(n).over(upto).alias(f"below_{n}") for n in sums],
-            *[f"all_{n}" for n in sums],
-        )
-        .filter(F.col("cut").isNotNull())
-    )
+    each = each.withColumn("__cells", F.filter("__cells", lambda x: x["__i"] <= F.col("__k")))
+
+    def added(n: str) -> Column:
+        return F.aggregate("__cells", F.lit(0.0), lambda acc, x: acc + x[n])
+
+    return each.select(*by, "cut", *[added(n).alias(f"below_{n}") for n in sums], *[f"all_{n}" for n in sums])
 
 
 def last_at_or_below(
@@ -149,8 +142,9 @@ def last_at_or_below(
 ) -> DataFrame:
     """For every group and threshold: ``payload`` of the row with the largest key <= threshold.
 
-    ``groups`` lists the groups that must appear even if no row qualifies; their
-    payload is then NULL. ``payload`` may hold ``key`` itself.
+    ``groups`` has one row for each group that must appear even if no row qualifies
+    (the payload is then NULL); its other columns are kept. ``payload`` may hold
+    ``key`` itself.
     """
     by = list(by)
     thresholds = sorted(set(float(t) for t in thresholds))
@@ -165,12 +159,28 @@ def last_at_or_below(
         .groupBy(*by, "__i")
         .agg(F.max(F.struct(F.col(key).alias("__key"), *payload)).alias("__best"))
     )
-    if groups is None:
-        groups = curve.select(*by).distinct() if by else curve.sparkSession.range(1).select()
-    spine = groups.select(
-        *by, F.posexplode(F.array(*[F.lit(t) for t in thresholds])).alias("__i", "threshold")
+    # at most one row per threshold
+    lists = best.groupBy(*by).agg(F.collect_list(F.struct("__i", "__best")).alias("__hits"))
+    extra: list[str] = []
+    if groups is not None:
+        extra = [c for c in groups.columns if c not in by]
+        lists = join_groups(groups, lists, by, "left")
+    each = lists.select(
+        *by, *extra, F.posexplode(F.array(*[F.lit(t) for t in thresholds])).alias("__k", "threshold"), "__hits"
     )
-    rows = spine.unionByName(best, allowMissingColumns=True)
-    upto = W.partitionBy(*(by or [F.lit(0)])).orderBy("__i").rangeBetween(W.unboundedPreceding, 0)
-    found = rows.withColumn("__best", F.max("__best").over(upto)).filter(F.col("threshold").isNotNull())
-    return found.select(*by, "threshold", *[F.col(f"__best.{c}").alias(c) for c in payload])
+    reached = F.filter("__hits", lambda x: x["__i"] <= F.col("__k"))
+    each = each.withColumn("__best", F.array_max(F.transform(reached, lambda x: x["__best"])))
+    return each.select(*by, *extra, "threshold", *[F.col(f"__best.{c}").alias(c) for c in payload])
+
+
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be NULL; ``right`` has one row per key (one row in all without keys)."""
+    if not keys:
+        return left.join(F.broadcast(right), F.lit(True), how)
+    renamed = right.select(
+        *[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
+    )
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(renamed, match, how).drop(*[f"__r_{k}" for k in keys])

@@ -13,10 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from welfarelens.operators.distribution import _join_groups
-from welfarelens.operators.ordered import last_at_or_below, running_totals, sums_below
+from welfarelens.operators.ordered import join_groups, last_at_or_below, running_totals, sums_below
 from welfarelens.operators.poverty import mean_gap, poverty_at_lines, poverty_rate, shortfall
 
 RESULT_COLUMNS = [
@@ -51,21 +50,18 @@ def uniform_transfer(
     by = list(by)
     grid = poverty_at_lines(df, outcome, weight, [line] + [line - b for b in budgets], by)
     named = _lookup(F.col("line"), {line - b: float(b) for b in budgets})
-    before = grid.filter(F.col("line") == line).select(
+    # one row per budget and group
+    whole = W.partitionBy(*(by or [F.lit(0)]))
+    at_line = F.col("line") == line
+    return grid.select(
         *by,
-        F.col("poverty_rate").alias("initial_poverty_rate"),
-        F.col("poverty_gap").alias("initial_poverty_gap"),
-    )
-    after = grid.withColumn("budget", named).filter(F.col("budget").isNotNull())
-    return _join_groups(after, before, by).select(
-        *by,
-        "budget",
-        "initial_poverty_rate",
-        "initial_poverty_gap",
+        named.alias("budget"),
+        F.max(F.when(at_line, F.col("poverty_rate"))).over(whole).alias("initial_poverty_rate"),
+        F.max(F.when(at_line, F.col("poverty_gap"))).over(whole).alias("initial_poverty_gap"),
         F.col("poverty_gap").alias("post_transfer_poverty_gap"),
         F.col("poverty_rate").alias("post_transfer_poverty_rate"),
-        F.col("budget").alias("policy_cost_per_capita"),
-    )
+        named.alias("policy_cost_per_capita"),
+    ).filter(F.col("budget").isNotNull())
 
 
 def _lookup(c: Column, values: Mapping[float, float]) -> Column:
@@ -115,12 +111,12 @@ def oracle_gap(
     by = list(by)
     curve, totals = _poor_curve(df, outcome, weight, line, by)
     v = F.col(outcome)
-    priced = _join_groups(curve, totals, by).select(
+    priced = join_groups(curve, totals, by).select(
         *by, outcome, "cum_w", "cum_wy",
         ((v * F.col("cum_w") - F.col("cum_wy")) / F.col("all_w")).alias("cost"),
     )
-    hit = last_at_or_below(priced, "cost", budgets, [outcome, "cum_w", "cum_wy", "cost"], by, totals.select(*by))
-    out = _join_groups(hit, totals, by).withColumns(_before(line))
+    out = last_at_or_below(priced, "cost", budgets, [outcome, "cum_w", "cum_wy", "cost"], by, totals)
+    out = out.withColumns(_before(line))
     full = F.col("initial_poverty_gap")
     budget = F.col("threshold")
     paid_in_full = budget >= full - 1e-12
@@ -161,11 +157,11 @@ def oracle_rate(
     """
     by = list(by)
     curve, totals = _poor_curve(df, outcome, weight, line, by)
-    shares = _join_groups(curve, totals, by).select(
+    shares = join_groups(curve, totals, by).select(
         *by, outcome, "cum_w", "cum_wy", (F.col("cum_w") / F.col("all_w")).alias("share")
     )
-    kept = last_at_or_below(shares, "share", tolerances, [outcome, "cum_w", "cum_wy"], by, totals.select(*by))
-    out = _join_groups(kept, totals, by).withColumns(_before(line))
+    out = last_at_or_below(shares, "share", tolerances, [outcome, "cum_w", "cum_wy"], by, totals)
+    out = out.withColumns(_before(line))
     w, wy = F.coalesce("cum_w", F.lit(0.0)), F.coalesce("cum_wy", F.lit(0.0))
     gap = (line * w - wy) / F.col("all_w")
     return out.select(
@@ -204,11 +200,11 @@ def binary_transfer(
     by = list(by)
     curve, totals = _poor_curve(df, outcome, weight, line, by)
     grid = [(float(t), float(b)) for t in transfers for b in budgets]
-    shares = _join_groups(curve, totals, by).select(
+    shares = join_groups(curve, totals, by).select(
         *by, outcome, "cum_w", "cum_wy", (F.col("cum_w") / F.col("all_w")).alias("share")
     )
     served = last_at_or_below(
-        shares, "share", [b / t for t, b in grid], [outcome, "cum_w", "cum_wy"], by, totals.select(*by)
+        shares, "share", [b / t for t, b in grid], [outcome, "cum_w", "cum_wy"], by, totals
     )
     # the served whose transfer does not reach the line
     short = sums_below(
@@ -234,9 +230,10 @@ def binary_transfer(
         ]
     )
     rows = served.withColumn("__tb", F.explode(options[F.col("threshold")])).select(
-        *by, F.col("__tb.t").alias("transfer"), F.col("__tb.b").alias("budget"), outcome, "cum_w", "cum_wy"
+        *by, F.col("__tb.t").alias("transfer"), F.col("__tb.b").alias("budget"), outcome, "cum_w", "cum_wy",
+        "all_w", "poor_w", "poor_wy",
     )
-    out = _join_groups(_join_groups(rows, short, [*by, "transfer"]), totals, by).withColumns(_before(line))
+    out = join_groups(rows, short, [*by, "transfer"]).withColumns(_before(line))
     w, wy = F.coalesce("cum_w", F.lit(0.0)), F.coalesce("cum_wy", F.lit(0.0))
     # both are totals of a poorest-first prefix, so the shorter prefix is in both
     left = F.col("short_w") < w
@@ -292,11 +289,10 @@ def ranked_transfer(
     parts = {"w": F.coalesce(F.sum(w), F.lit(0.0)), "p0": poor0, "g0": gap0, "p1": poor1, "g1": gap1}
     curve = running_totals(df.filter(w > 0), rank_by, parts, by)
     totals = df.groupBy(*by).agg(F.sum(w).alias("all_w"), poor0.alias("all_p0"), gap0.alias("all_g0"))
-    priced = _join_groups(curve, totals, by).select(
+    priced = join_groups(curve, totals, by).select(
         *by, *[f"cum_{p}" for p in parts], (F.col("cum_w") * float(transfer) / F.col("all_w")).alias("cost")
     )
-    hit = last_at_or_below(priced, "cost", budgets, [*[f"cum_{p}" for p in parts], "cost"], by, totals.select(*by))
-    out = _join_groups(hit, totals, by)
+    out = last_at_or_below(priced, "cost", budgets, [*[f"cum_{p}" for p in parts], "cost"], by, totals)
     c = {p: F.coalesce(f"cum_{p}", F.lit(0.0)) for p in parts}
     n = F.col("all_w")
     return out.select(
