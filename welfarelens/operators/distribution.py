@@ -38,7 +38,7 @@ def weighted_quantile(
     low = {p: max(p - hit_tolerance, 0.0) for p in probs}
     high = {p: p + hit_tolerance for p in probs}
     # the smallest value has the share 0, so every group has a hit
-    hits = last_at_or_below(share, "__s", [*low.values(), *high.values()], ["__v"], by)
+    hits = last_at_or_below(share, "__v", "__s", [*low.values(), *high.values()], ["__v"], by)
 
     def at(c: Column) -> Column:
         return F.max(F.when(F.col("threshold") == c, F.col("__v")))

@@ -57,12 +57,12 @@ def running_totals(
     """One row per (by, value) with each sum and its running total ``cum_<name>``.
 
     ``with_totals`` adds the sums of the whole group as ``all_<name>``. Rows with a
-    NULL or NaN value are left out. Equal values are merged first, so
+    NULL or NaN value or a NULL group are left out. Equal values are merged first, so
     ties neither skew a bucket nor get an arbitrary order. No task sorts more than
     one bucket of one group, even if one group holds most rows.
     """
     by = list(by)
-    df = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    df = named_groups(df, by).filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     cuts = range_cuts(df, value, buckets)
     merged = df.groupBy(*by, value).agg(*[c.alias(n) for n, c in sums.items()])
     merged = interval_index(merged, value, cuts, "__bucket")
@@ -80,14 +80,8 @@ def running_totals(
 
     within = W.partitionBy(*by, "__bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     local = merged.select("*", *[F.sum(n).over(within).alias(f"__c_{n}") for n in sums])
-    # renamed keys and <=> keep groups whose key is NULL
-    offsets = offsets.select(
-        *[F.col(c).alias(f"__k_{c}") for c in [*by, "__bucket"]], *[f"__o_{n}" for n in sums], *extra
-    )
-    match = F.lit(True)
-    for c in [*by, "__bucket"]:
-        match = match & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-    joined = local.join(offsets, match)
+    # same keys as the window, so the rows stay where they are
+    joined = local.join(offsets, [*by, "__bucket"])
     return joined.select(
         *by,
         value,
@@ -112,7 +106,7 @@ def sums_below(
     """
     by = list(by)
     cuts = sorted(set(float(c) for c in cuts))
-    placed = interval_index(df, value, cuts, "__i")
+    placed = interval_index(named_groups(df, by), value, cuts, "__i")
     cells = placed.groupBy(*by, "__i").agg(*[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in sums.items()])
     # at most one cell per interval
     groups = cells.groupBy(*by).agg(
@@ -134,17 +128,18 @@ def sums_below(
 
 def last_at_or_below(
     curve: DataFrame,
+    order: str,
     key: str,
     thresholds: Sequence[float],
     payload: Sequence[str],
     by: Sequence[str] = (),
     groups: DataFrame | None = None,
 ) -> DataFrame:
-    """For every group and threshold: ``payload`` of the row with the largest key <= threshold.
+    """For every group and threshold: numeric ``payload`` of the last row with key <= threshold.
 
-    ``groups`` has one row for each group that must appear even if no row qualifies
-    (the payload is then NULL); its other columns are kept. ``payload`` may hold
-    ``key`` itself.
+    The rows of a group have different values of ``order``, and ``key`` rises with
+    it. ``groups`` has one row for each group that must appear even if no row
+    qualifies (the payload is then NULL); its other columns are kept.
     """
     by = list(by)
     thresholds = sorted(set(float(t) for t in thresholds))
@@ -157,10 +152,12 @@ def last_at_or_below(
     best = (
         flipped.withColumn("__i", F.lit(size) - F.col("__n"))
         .groupBy(*by, "__i")
-        .agg(F.max(F.struct(F.col(key).alias("__key"), *payload)).alias("__best"))
+        # plain numbers, not a struct: those are aggregated by hash, without a sort
+        .agg(F.max(order).alias("__o"), *[F.max_by(c, order).alias(f"__p_{c}") for c in payload])
     )
     # at most one row per threshold
-    lists = best.groupBy(*by).agg(F.collect_list(F.struct("__i", "__best")).alias("__hits"))
+    hit = F.struct("__o", "__i", *[F.col(f"__p_{c}").alias(c) for c in payload])
+    lists = best.groupBy(*by).agg(F.collect_list(hit).alias("__hits"))
     extra: list[str] = []
     if groups is not None:
         extra = [c for c in groups.columns if c not in by]
@@ -168,19 +165,15 @@ def last_at_or_below(
     each = lists.select(
         *by, *extra, F.posexplode(F.array(*[F.lit(t) for t in thresholds])).alias("__k", "threshold"), "__hits"
     )
-    reached = F.filter("__hits", lambda x: x["__i"] <= F.col("__k"))
-    each = each.withColumn("__best", F.array_max(F.transform(reached, lambda x: x["__best"])))
+    each = each.withColumn("__best", F.array_max(F.filter("__hits", lambda x: x["__i"] <= F.col("__k"))))
     return each.select(*by, *extra, "threshold", *[F.col(f"__best.{c}").alias(c) for c in payload])
 
 
+def named_groups(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows whose group is known. Grouped results have no row for an unknown group."""
+    return df.dropna(subset=list(by)) if by else df
+
+
 def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on keys that may be NULL; ``right`` has one row per key (one row in all without keys)."""
-    if not keys:
-        return left.join(F.broadcast(right), F.lit(True), how)
-    renamed = right.select(
-        *[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
-    )
-    match = F.lit(True)
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    return left.join(renamed, match, how).drop(*[f"__r_{k}" for k in keys])
+    """Join with a table of one row per group, or of one row in all without keys."""
+    return left.join(right, list(keys), how) if keys else left.join(F.broadcast(right), F.lit(True), how)

@@ -16,13 +16,14 @@ def latest_row(df: DataFrame, entity: str, year: str, values: Sequence[str]) ->
     """Per entity and value: the value in the entity's last year, even if it is NULL there.
 
     If an entity never has the value, value and year are both NULL. Columns
-    ``latest_<value>`` and ``latest_<value>_year``. Rows without an entity are dropped.
+    ``latest_<value>`` and ``latest_<value>_year``. Rows without an entity are dropped;
+    an entity has one row per year.
     """
     aggs = []
     for v in values:
         seen = F.count(v) > 0
         aggs += [
-            F.when(seen, F.max(F.struct(F.col(year), F.col(v)))[v]).alias(f"latest_{v}"),
+            F.when(seen, F.max_by(v, year)).alias(f"latest_{v}"),
             F.when(seen, F.max(year)).alias(f"latest_{v}_year"),
         ]
     return df.filter(F.col(entity).isNotNull()).groupBy(entity).agg(*aggs)
@@ -101,54 +102,58 @@ def estimate_at_year(
     """Series values at each query's year: exact, else interpolated, else the nearest year.
 
     Adds the value columns and ``method``. A row of the exact year is used even if
-    its value is NULL; for the rest, rows without the first value are ignored. The
-    work is done once per different (entity, year), so repeated queries cost nothing.
+    its value is NULL; for the rest, rows without the first value are ignored. If a
+    year is given twice, the row with the largest first value counts. The work is done once per different (entity, year), so repeated queries cost nothing.
     """
     pairs = queries.select(F.col(entity).alias("__e"), F.col(at).cast("int").alias("__t")).distinct()
-    data = series.select(
-        F.col(series_entity).alias("__se"),
-        F.col(series_year).cast("int").alias("__y"),
-        *[F.col(v).cast("double").alias(f"__v_{v}") for v in values],
-    )
-    names = [f"__v_{v}" for v in values]
-    row = F.struct("__y", *names)
-    y, t = F.col("__y"), F.col("__t")
-    usable = F.col(names[0]).isNotNull()
-    found = (
-        pairs.join(data, F.col("__e") == F.col("__se"), "left")
-        .groupBy("__e", "__t")
+    # one row per entity and year, so that an entity meets at most years x years rows
+    first = F.col(values[0]).cast("double")
+    data = (
+        series.filter(F.col(series_entity).isNotNull())
+        .groupBy(F.col(series_entity).alias("__se"), F.col(series_year).cast("int").alias("__y"))
         .agg(
-            F.max(F.when(y == t, row)).alias("exact"),
-            F.max(F.when((y < t) & usable, row)).alias("before"),
-            F.min(F.when((y > t) & usable, row)).alias("after"),
+            F.max(first).alias(f"__v_{values[0]}"),
+            *[
+                F.coalesce(F.max_by(F.col(v).cast("double"), first), F.max(F.col(v).cast("double"))).alias(f"__v_{v}")
+                for v in values[1:]
+            ],
         )
     )
-    exact, before, after = F.col("exact"), F.col("before"), F.col("after")
-    share = (t - before["__y"]) / (after["__y"] - before["__y"])
-    one_side = F.coalesce(before, after)
+    y, t = F.col("__y"), F.col("__t")
+    usable = F.col(f"__v_{values[0]}").isNotNull()
+    earlier, later = F.when((y < t) & usable, y), F.when((y > t) & usable, y)
+    aggs = [F.count_if(y == t).alias("exact"), F.max(earlier).alias("yb"), F.min(later).alias("ya")]
+    for v in values:
+        x = F.col(f"__v_{v}")
+        aggs += [
+            F.max(F.when(y == t, x)).alias(f"__e_{v}"),
+            F.max_by(x, earlier).alias(f"__b_{v}"),
+            F.min_by(x, later).alias(f"__a_{v}"),
+        ]
+    found = pairs.join(data, F.col("__e") == F.col("__se"), "left").groupBy("__e", "__t").agg(*aggs)
+    exact, yb, ya = F.col("exact") > 0, F.col("yb"), F.col("ya")
+    share = (t - yb) / (ya - yb)
 
-    def pick(n: str) -> Column:
+    def pick(v: str) -> Column:
+        b, a = F.col(f"__b_{v}"), F.col(f"__a_{v}")
         return (
-            F.when(exact.isNotNull(), exact[n])
-            .when(before.isNotNull() & after.isNotNull(), before[n] + share * (after[n] - before[n]))
-            .otherwise(one_side[n])
+            F.when(exact, F.col(f"__e_{v}"))
+            .when(yb.isNotNull() & ya.isNotNull(), b + share * (a - b))
+            .when(yb.isNotNull(), b)
+            .otherwise(a)
         )
 
+    nearest = F.coalesce(yb, ya)
     method = (
-        F.when(exact.isNotNull(), F.lit("exact year"))
+        F.when(exact, F.lit("exact year"))
         .when(
-            before.isNotNull() & after.isNotNull(),
-            F.concat(
-                F.lit("interpolated using "), before["__y"].cast("string"),
-                F.lit(" and "), after["__y"].cast("string"),
-            ),
+            yb.isNotNull() & ya.isNotNull(),
+            F.concat(F.lit("interpolated using "), yb.cast("string"), F.lit(" and "), ya.cast("string")),
         )
-        .when(one_side.isNotNull(), F.concat(F.lit("from nearest year: "), one_side["__y"].cast("string")))
+        .when(nearest.isNotNull(), F.concat(F.lit("from nearest year: "), nearest.cast("string")))
         .otherwise(F.lit("no data available"))
     )
-    estimates = found.select(
-        "__e", "__t", *[pick(n).alias(v) for n, v in zip(names, values)], method.alias("method")
-    )
+    estimates = found.select("__e", "__t", *[pick(v).alias(v) for v in values], method.alias("method"))
     return (
         queries.join(
             estimates,

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from welfarelens.operators.ordered import join_groups, last_at_or_below, running_totals, sums_below
+from welfarelens.operators.ordered import join_groups, last_at_or_below, named_groups, running_totals, sums_below
 from welfarelens.operators.poverty import mean_gap, poverty_at_lines, poverty_rate, shortfall
 
 RESULT_COLUMNS = [
@@ -34,7 +34,7 @@ def evaluate_transfer(
     t = F.col(transfer) if isinstance(transfer, str) else transfer
     t = F.coalesce(t, F.lit(0.0))
     after = F.col(outcome) + t
-    return df.groupBy(*by).agg(
+    return named_groups(df, by).groupBy(*by).agg(
         poverty_rate(outcome, weight, line).alias("initial_poverty_rate"),
         mean_gap(outcome, weight, line).alias("initial_poverty_gap"),
         mean_gap(after, weight, line).alias("post_transfer_poverty_gap"),
@@ -74,6 +74,7 @@ def _lookup(c: Column, values: Mapping[float, float]) -> Column:
 def _poor_curve(df: DataFrame, outcome: str, weight: str, line: float, by: Sequence[str], extra=None):
     """The poor in ascending outcome with running totals, and one totals row per group."""
     by = list(by)
+    df = named_groups(df, by)
     w, y = F.col(weight), F.col(outcome)
     poor = df.filter((y < line) & (w > 0)).select(*by, outcome, weight)
     curve = running_totals(poor, outcome, {"w": F.sum(w), "wy": F.sum(w * y)}, by)
@@ -115,7 +116,7 @@ def oracle_gap(
         *by, outcome, "cum_w", "cum_wy",
         ((v * F.col("cum_w") - F.col("cum_wy")) / F.col("all_w")).alias("cost"),
     )
-    out = last_at_or_below(priced, "cost", budgets, [outcome, "cum_w", "cum_wy", "cost"], by, totals)
+    out = last_at_or_below(priced, outcome, "cost", budgets, [outcome, "cum_w", "cum_wy", "cost"], by, totals)
     out = out.withColumns(_before(line))
     full = F.col("initial_poverty_gap")
     budget = F.col("threshold")
@@ -160,7 +161,7 @@ def oracle_rate(
     shares = join_groups(curve, totals, by).select(
         *by, outcome, "cum_w", "cum_wy", (F.col("cum_w") / F.col("all_w")).alias("share")
     )
-    out = last_at_or_below(shares, "share", tolerances, [outcome, "cum_w", "cum_wy"], by, totals)
+    out = last_at_or_below(shares, outcome, "share", tolerances, [outcome, "cum_w", "cum_wy"], by, totals)
     out = out.withColumns(_before(line))
     w, wy = F.coalesce("cum_w", F.lit(0.0)), F.coalesce("cum_wy", F.lit(0.0))
     gap = (line * w - wy) / F.col("all_w")
@@ -204,7 +205,7 @@ def binary_transfer(
         *by, outcome, "cum_w", "cum_wy", (F.col("cum_w") / F.col("all_w")).alias("share")
     )
     served = last_at_or_below(
-        shares, "share", [b / t for t, b in grid], [outcome, "cum_w", "cum_wy"], by, totals
+        shares, outcome, "share", [b / t for t, b in grid], [outcome, "cum_w", "cum_wy"], by, totals
     )
     # the served whose transfer does not reach the line
     short = sums_below(
@@ -281,6 +282,7 @@ def ranked_transfer(
     ``rank_by`` are served together or not at all.
     """
     by = list(by)
+    df = named_groups(df, by)
     w, y = F.col(weight), F.col(outcome)
     poor0 = F.coalesce(F.sum(F.when(y < line, w)), F.lit(0.0))
     gap0 = F.coalesce(F.sum(shortfall(y, line) * w), F.lit(0.0))
@@ -290,9 +292,9 @@ def ranked_transfer(
     curve = running_totals(df.filter(w > 0), rank_by, parts, by)
     totals = df.groupBy(*by).agg(F.sum(w).alias("all_w"), poor0.alias("all_p0"), gap0.alias("all_g0"))
     priced = join_groups(curve, totals, by).select(
-        *by, *[f"cum_{p}" for p in parts], (F.col("cum_w") * float(transfer) / F.col("all_w")).alias("cost")
+        *by, rank_by, *[f"cum_{p}" for p in parts], (F.col("cum_w") * float(transfer) / F.col("all_w")).alias("cost")
     )
-    out = last_at_or_below(priced, "cost", budgets, [*[f"cum_{p}" for p in parts], "cost"], by, totals)
+    out = last_at_or_below(priced, rank_by, "cost", budgets, [*[f"cum_{p}" for p in parts], "cost"], by, totals)
     c = {p: F.coalesce(f"cum_{p}", F.lit(0.0)) for p in parts}
     n = F.col("all_w")
     return out.select(

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from welfarelens.operators.ordered import sums_below
+from welfarelens.operators.ordered import named_groups, sums_below
 
 
 def col(c: str | Column) -> Column:
@@ -53,7 +53,7 @@ def gap_to_index(gap: str | Column, line: float) -> Column:
 
 def poverty_table(df: DataFrame, outcome: str, weight: str, line: float, by: Sequence[str] = ()) -> DataFrame:
     """Rate, mean gap, gap index, weighted mean outcome and household count per group."""
-    return df.groupBy(*by).agg(
+    return named_groups(df, by).groupBy(*by).agg(
         poverty_rate(outcome, weight, line).alias("poverty_rate"),
         mean_gap(outcome, weight, line).alias("poverty_gap"),
         gap_index(outcome, weight, line).alias("poverty_gap_index"),
@@ -81,7 +81,7 @@ def survey_metrics(
             poverty_rate(y, weight, line).alias(f"poverty_rate_{suffix}"),
             gap_index(y, weight, line).alias(f"poverty_gap_index_{suffix}"),
         ]
-    return df.groupBy(entity).agg(*aggs)
+    return named_groups(df, [entity]).groupBy(entity).agg(*aggs)
 
 
 def poverty_at_lines(
