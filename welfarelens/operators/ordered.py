@@ -38,8 +38,11 @@ def interval_index(df: DataFrame, value: str, cuts: Sequence[float], out: str) -
 
 
 def range_cuts(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
-    """Approximate quantiles of ``value``: at most ``buckets - 1`` numbers, one Spark job."""
-    buckets = buckets or max(2, shuffle_width(df.sparkSession))
+    """Approximate quantiles of ``value``: at most ``buckets - 1`` numbers, one Spark job.
+
+    By default there are a few buckets per shuffle partition, so that tasks even out.
+    """
+    buckets = buckets or min(4096, 4 * shuffle_width(df.sparkSession))
     probs = [i / buckets for i in range(1, buckets)]
     error = max(1e-4, 1.0 / (4 * buckets))
     found = df.select(F.col(value).cast("double").alias("v")).approxQuantile("v", probs, error)

@@ -254,36 +254,17 @@ def year_spine(df: DataFrame, year: str, last: int) -> DataFrame:
 def fill_between_and_ahead(df: DataFrame, entity: str, year: str, value: str) -> DataFrame:
     """Fill single missing years: mean of the two neighbours, or 2a - b after the last two years.
 
-    The neighbours are looked up by year (y - 1, y + 1, y - 2) with one aggregation
-    of shifted copies, so a long series is never sorted in one task.
+    Neighbours are the rows of the years y - 1, y + 1 and y - 2, not the adjacent
+    rows. An entity has one row per year.
     """
-    shifted = df.select(
-        entity,
-        F.explode(
-            F.array(
-                F.struct(F.col(year).alias("y"), F.col(value).alias("own"), F.lit(None).cast("double").alias("prev"),
-                         F.lit(None).cast("double").alias("next"), F.lit(None).cast("double").alias("prev2"),
-                         F.lit(True).alias("real")),
-                F.struct((F.col(year) + 1).alias("y"), F.lit(None).cast("double").alias("own"), F.col(value).alias("prev"),
-                         F.lit(None).cast("double").alias("next"), F.lit(None).cast("double").alias("prev2"),
-                         F.lit(False).alias("real")),
-                F.struct((F.col(year) - 1).alias("y"), F.lit(None).cast("double").alias("own"), F.lit(None).cast("double").alias("prev"),
-                         F.col(value).alias("next"), F.lit(None).cast("double").alias("prev2"),
-                         F.lit(False).alias("real")),
-                F.struct((F.col(year) + 2).alias("y"), F.lit(None).cast("double").alias("own"), F.lit(None).cast("double").alias("prev"),
-                         F.lit(None).cast("double").alias("next"), F.col(value).alias("prev2"),
-                         F.lit(False).alias("real")),
-            )
-        ).alias("s"),
-    ).select(entity, "s.*")
-    near = shifted.groupBy(entity, "y").agg(
-        F.max("own").alias("own"), F.max("prev").alias("prev"), F.max("next").alias("next"),
-        F.max("prev2").alias("prev2"), F.max("real").alias("real"),
-    )
-    filled = F.coalesce(
-        "own", (F.col("prev") + F.col("next")) / 2, 2 * F.col("prev") - F.col("prev2")
+    w = W.partitionBy(entity).orderBy(year)
+
+    def at(step: int) -> Column:
+        return F.max(value).over(w.rangeBetween(step, step))
+
+    return df.withColumn(
+        value, F.coalesce(F.col(value), (at(-1) + at(1)) / 2, 2 * at(-1) - at(-2))
     )
-    return near.filter("real").select(entity, F.col("y").alias(year), filled.alias(value))
 
 
 def share_of_total(df: DataFrame, totals: DataFrame, year: str, part: str | Column, total: str, out: str) -> DataFrame:

@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from welfarelens.operators.ordered import join_groups
+
 MAX_COLUMNS = 5000
 NARROW = 14
 
@@ -542,21 +544,19 @@ def quantile_calibration(
         F.array_sort(F.collect_list(F.struct("estimate", "quantile"))).alias("__q")
     )
     here = F.col(outcome)
-    if group:
-        joined = df.join(lists, group)
-    else:
-        joined = df.crossJoin(F.broadcast(lists))
+    joined = join_groups(df, lists, groups)
 
     def passed(q):
         return q["estimate"] < here if closed else q["estimate"] <= here
 
+    keys = list(dict.fromkeys([*labels, *groups]))
     counts = (
         joined.filter(here.isNotNull())
-        .select(*labels, *groups, "__q", F.size(F.filter("__q", passed)).alias("__place"))
-        .groupBy(*labels, *groups, "__place")
-        .agg(F.count(F.lit(1)).alias("__n"), F.first("__q").alias("__q"))
+        .select(*keys, F.size(F.filter("__q", passed)).alias("__place"))
+        .groupBy(*keys, "__place")
+        .agg(F.count(F.lit(1)).alias("__n"))
     )
-    each = counts.select(*labels, "__place", "__n", F.posexplode("__q").alias("__i", "q"))
+    each = join_groups(counts, lists, groups).select(*labels, "__place", "__n", F.posexplode("__q").alias("__i", "q"))
     return each.groupBy(*labels, F.col("q.quantile").alias("quantile")).agg(
         (F.sum(F.when(F.col("__i") >= F.col("__place"), F.col("__n")).otherwise(0)) / F.sum("__n")).alias(
             "actual_below_estimated"
