@@ -129,20 +129,32 @@ def read_entities(
     )
 
 
-def read_tagged(spark: SparkSession, path: str, schema: T.StructType | str, tag: str) -> DataFrame:
-    """CSV folder with the file stem of every row as column ``tag``."""
-    stem = F.regexp_extract(source_path(), r"([^/]+)\.[^./]+$", 1)
-    return spark.read.schema(schema).options(header=True).csv(path).select("*", F.url_decode(stem).alias(tag))
+# name of a file without its extension
+FILE_STEM = r"([^/]+)\.[^./]+$"
+
+
+def read_tagged(
+    spark: SparkSession, path: str, schema: T.StructType | str, tag: str, pattern: str = FILE_STEM
+) -> DataFrame:
+    """CSV files with a piece of each row's path as column ``tag``, by default the file stem."""
+    piece = F.regexp_extract(source_path(), pattern, 1)
+    return spark.read.schema(schema).options(header=True).csv(path).select("*", F.url_decode(piece).alias(tag))
 
 
 def above_first_blank_row(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Rows of a CSV above its first row of only empty cells (all rows if there is none)."""
+    """Rows of a CSV above its first row of only empty cells (all rows if there is none).
+
+    A folder of sorted part files counts as one text in the order of the file names.
+    """
     df = spark.read.schema(schema).options(header=True).csv(path)
     names = df.columns
-    # rows keep their file order inside a block, and blocks are ordered by their start
+    # rows keep their order inside a block, and blocks are ordered by their start
     placed = df.select(
         *names,
-        F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("__pos"),
+        F.struct(
+            F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+            F.monotonically_increasing_id().alias("i"),
+        ).alias("__pos"),
     )
     blank = F.lit(True)
     for c in names:

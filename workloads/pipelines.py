@@ -8,7 +8,7 @@ from welfarelens.operators import policy as P
 from welfarelens.session import cut_lineage
 from welfarelens.plans import comparison as C, country_panel as N, predictors as M, survey as Y
 from workloads.country_panel import _year_case
-from workloads.policies import BUDGETS, RESULTS
+from workloads.policies import BUDGETS, RESULTS, _UBI, _interp_sql
 from workloads.predictors import LEARN, learner_table
 from workloads.registry import query
 from workloads.tables import (
@@ -181,7 +181,18 @@ def run_comparison(spark, sf):
     return rounded(out, "post_transfer_poverty_gap", "post_transfer_poverty_rate")
 
 
-@query()
+_TWO = f"""b AS (SELECT unnest({BUDGETS}::DOUBLE[]) AS budget),
+i AS (SELECT sum(greatest(2.15 - consumption, 0) * weight) / sum(weight) AS g FROM hh),
+runs AS (SELECT 'ubi' AS p, budget AS f, sum(greatest(2.15 - budget - consumption, 0) * weight) / sum(weight) AS x FROM hh, b GROUP BY budget
+  UNION ALL SELECT 'oracle_gap', least(budget, g), greatest(g - budget, 0) FROM b, i)"""
+
+
+@query(with_(HH, _TWO) + f""", m AS (SELECT min(x) AS top FROM (SELECT max(x) AS x FROM runs GROUP BY p)),
+q AS (SELECT top * i / 39 AS q FROM m, range(40) r(i)),
+c AS (SELECT * FROM {_interp_sql('runs', 'x', 'f', 'q', 'p')})
+SELECT a.p AS policy_type, round(a.q, 6) AS post_transfer_poverty_gap, round(a.v / nullif(o.v, 0), 5) AS ratio
+FROM c a JOIN c o ON a.q = o.q AND o.p = 'oracle_gap'
+WHERE a.p <> 'oracle_gap' AND a.q <= (SELECT max(x) FROM runs WHERE p = 'oracle_gap' AND f > 0.1)""")
 def oracle_cost_ratios(spark, sf):
     hh = households(spark, sf).select("consumption", "weight")
     runs = C.collect_runs(
@@ -190,7 +201,8 @@ def oracle_cost_ratios(spark, sf):
             "oracle_gap": P.oracle_gap(hh, "consumption", "weight", LINE, BUDGETS).withColumn("run", F.lit(1)),
         }
     )
-    return C.compare_with_oracle(cut_lineage(runs), "oracle_gap", "post_transfer_poverty_gap")
+    out = C.compare_with_oracle(cut_lineage(runs), "oracle_gap", "post_transfer_poverty_gap")
+    return rounded(rounded(out, "post_transfer_poverty_gap"), "ratio", digits=5)
 
 
 @query()
@@ -209,3 +221,17 @@ def model_grid(spark, sf):
 def area_effects(spark, sf):
     data = learner_table(spark, sf)
     return M.area_effects(data, "district", ["assets", "hh_size"], "outcome", "hhid", "weight", folds=3)
+
+
+@query(with_(HH, _UBI) + """, n AS (SELECT sum(greatest(2.15 - consumption, 0) * weight) / sum(weight) AS g0, sum(greatest(1.65 - consumption, 0) * weight) / sum(weight) AS g1 FROM hh)
+SELECT district AS features, round(initial_poverty_gap, 6) AS initial_poverty_gap, round(post_transfer_poverty_gap, 6) AS post_transfer_poverty_gap,
+       round(g0, 6) AS national_initial_poverty_gap, round(g1, 6) AS national_post_transfer_poverty_gap FROM u, n WHERE budget = 0.5""")
+def subnational_beside_national(spark, sf):
+    hh = households(spark, sf)
+    parts = P.uniform_transfer(hh, "consumption", "weight", LINE, [0.5], ["district"]).withColumnRenamed("district", "features")
+    whole = P.label_runs(P.uniform_transfer(hh, "consumption", "weight", LINE, [0.5]), features="full_country")
+    out = C.subnational_comparison(parts.unionByName(whole), "features", "full_country").select(
+        "features", "initial_poverty_gap", "post_transfer_poverty_gap", "national_initial_poverty_gap",
+        "national_post_transfer_poverty_gap",
+    )
+    return rounded(out, *[c for c in out.columns if c != "features"])
