@@ -114,7 +114,7 @@ def policy_binary_best_size(spark, sf):
 
 @query(with_(HH) + f""", v AS (SELECT assets AS p, sum(weight) AS w FROM hh GROUP BY assets),
 c AS (SELECT p, sum(w) OVER (ORDER BY p) * 1.5 / (SELECT sum(weight) FROM hh) AS cost FROM v),
-b AS (SELECT budget, max(p) AS top FROM c, (SELECT unnest({BUDGETS}::DOUBLE[]) AS budget) WHERE cost <= budget GROUP BY budget)
+b AS (SELECT budget, max(p) FILTER (cost <= budget) AS top FROM c, (SELECT unnest({BUDGETS}::DOUBLE[]) AS budget) GROUP BY budget)
 SELECT budget, {_BEFORE},
   round(sum(greatest(2.15 - consumption - CASE WHEN assets <= top THEN 1.5 ELSE 0 END, 0) * weight) / sum(weight), 6) AS post_transfer_poverty_gap,
   round(sum(CASE WHEN consumption + CASE WHEN assets <= top THEN 1.5 ELSE 0 END < 2.15 THEN weight ELSE 0 END) / sum(weight), 6) AS post_transfer_poverty_rate,
