@@ -93,6 +93,18 @@ def test_category_codes(spark):
     assert [r["c"] for r in E.category_codes(df, ["c"]).collect()] == [1, 0, -1, 2]
 
 
+def test_large_category_codes(spark):
+    import random
+
+    rng = random.Random(6)
+    words = [f"prefix_{rng.randint(0, 400)}é" if i % 3 else None for i in range(900)] + ["prefix_", "prefix_zz"]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, c string")
+    order = {v: k for k, v in enumerate(sorted({w for w in words if w}, key=lambda w: w.encode()))}
+    for limit in (10, 100_000):  # ranked in Spark, looked up in the tasks
+        got = {r["i"]: r["c"] for r in E.category_codes(df, ["c"], indexed=limit).collect()}
+        assert got == {i: order.get(w, -1) for i, w in enumerate(words)}
+
+
 def test_metadata_projection(spark):
     meta = spark.createDataFrame(
         [("d", "categorical", True, False), ("r", "categorical", True, True), ("x", "numeric", False, None)],

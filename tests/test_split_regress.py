@@ -211,7 +211,7 @@ def test_univariate_r2_of_constant_is_zero(frame, data):
 def test_lasso_meets_optimality_conditions(frame, data):
     x, hot, y, w, _ = data
     alpha = 0.05
-    fit = R.lasso_cv(frame, ["a", "b", "c", "d"], "y", "fold", 5, [alpha], "w")
+    fit = R.lasso_cv(frame, ["a", "b", "c", "d"], "y", "fold", [alpha], "w")
     b = np.array(list(fit["coefficients"].values()))
     resid = y - fit["intercept"] - x @ b
     wn = w / w.sum()
@@ -225,7 +225,7 @@ def test_lasso_meets_optimality_conditions(frame, data):
 
 
 def test_lasso_picks_best_penalty(frame):
-    fit = R.lasso_cv(frame, ["a", "b"], "y", "fold", 5, [1e-4, 50.0], "w")
+    fit = R.lasso_cv(frame, ["a", "b"], "y", "fold", [1e-4, 50.0], "w")
     assert fit["alpha"] == 1e-4 and fit["r2"] > 0.5
 
 

@@ -6,10 +6,13 @@ describes columns, so it is as long as the data is wide.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from welfarelens.operators.ordered import running_totals
+
 ID_COLUMNS = ("hhid", "case_id", "hh_id", "hh_wgt")
 
 
@@ -161,8 +164,31 @@ def inverse_one_hot(df: DataFrame, indicator_map: Mapping[str, tuple[str, str]],
     return out.drop(*indicator_map) if drop else out
 
 
-def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each column as the 0-based rank of its value among the sorted categories; NULL is -1."""
+def category_codes(df: DataFrame, columns: Sequence[str], indexed: int = 20_000) -> DataFrame:
+    """Each column as the 0-based rank of its value (as text) among the sorted categories; NULL is -1.
+
+    Columns of up to about ``indexed`` categories are coded by one lookup in the
+    tasks; the categories of larger ones are ranked and joined in Spark.
+    """
+    sizes = df.agg(*[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    small = [c for i, c in enumerate(columns) if sizes[f"n{i}"] <= indexed]
+    large = [c for c in columns if c not in small]
+    coded = df
+    if small:
+        coded = _indexed_codes(coded, small)
+    if large:
+        ranks = category_ranks(df, large)
+        for c in large:
+            own = ranks.filter(F.col("column") == c).select(F.col("value").alias("__v"), F.col("code").alias("__c"))
+            coded = (
+                coded.join(own, F.col(c).cast("string") == F.col("__v"), "left")
+                .withColumn(c, F.coalesce("__c", F.lit(-1)).cast("int"))
+                .drop("__v", "__c")
+            )
+    return coded.select(*df.columns)
+
+
+def _indexed_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     from pyspark.ml.feature import StringIndexer
 
     texts = df.withColumns({f"__t_{c}": F.col(c).cast("string") for c in columns})
@@ -180,6 +206,21 @@ def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def category_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, code): 0-based rank of every category of a column, without sorting a column in one task."""
+    values = distinct_values(df, columns)
+    ends = values.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
+    # six bytes after the prefix that all values of the column share, read as a number
+    after = F.lit(1)
+    for r in ends:
+        shared = os.path.commonprefix([r["lo"].encode(), r["hi"].encode()])
+        after = F.when(F.col("column") == r["column"], F.lit(len(shared) + 1)).otherwise(after)
+    piece = F.encode("value", "UTF-8").substr(after, F.lit(6))
+    key = F.conv(F.rpad(F.hex(piece), 12, "0"), 16, 10).cast("double")
+    ranked = running_totals(values, "value", {"n": F.sum(F.lit(1.0))}, ["column"], order_key=key)
+    return ranked.select("column", "value", (F.col("cum_n") - 1).cast("long").alias("code"))
+
+
 def membership_matrix(
     pairs: DataFrame, row: str, item: str, limit: int = 2000
 ) -> DataFrame:

@@ -56,19 +56,25 @@ def running_totals(
     by: Sequence[str] = (),
     buckets: int | None = None,
     with_totals: bool = False,
+    order_key: Column | None = None,
 ) -> DataFrame:
     """One row per (by, value) with each sum and its running total ``cum_<name>``.
 
     ``with_totals`` adds the sums of the whole group as ``all_<name>``. Rows with a
-    NULL or NaN value or a NULL group are left out. Equal values are merged first, so
+    NULL or NaN value or a NULL group are left out. A value that is not a number
+    needs ``order_key``, a number that never falls as the value rises. Equal values are merged first, so
     ties neither skew a bucket nor get an arbitrary order. No task sorts more than
     one bucket of one group, even if one group holds most rows.
     """
     by = list(by)
-    df = named_groups(df, by).filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    cuts = range_cuts(df, value, buckets)
+    known = F.col(value).isNotNull()
+    if order_key is None:
+        known = known & ~F.isnan(F.col(value).cast("double"))
+    df = named_groups(df, by).filter(known)
+    place = order_key if order_key is not None else F.col(value)
+    cuts = range_cuts(df.select(place.alias("__place")), "__place", buckets)
     merged = df.groupBy(*by, value).agg(*[c.alias(n) for n, c in sums.items()])
-    merged = interval_index(merged, value, cuts, "__bucket")
+    merged = interval_index(merged.withColumn("__place", place), "__place", cuts, "__bucket").drop("__place")
 
     totals = merged.groupBy(*by, "__bucket").agg(*[F.sum(n).alias(f"__t_{n}") for n in sums])
     before = W.partitionBy(*(by or [F.lit(0)])).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)

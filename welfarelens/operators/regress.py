@@ -408,8 +408,7 @@ def _lasso(gram: np.ndarray, xy: np.ndarray, alpha: float, start: np.ndarray, sw
 
 
 def lasso_cv(
-    df: DataFrame, columns: Sequence[str], outcome: str, fold: str, folds: int, alphas: Sequence[float],
-    weight: str | None = None,
+    df: DataFrame, columns: Sequence[str], outcome: str, fold: str, alphas: Sequence[float], weight: str | None = None
 ) -> dict:
     """Lasso with the penalty chosen by cross-validated R2: alpha, score, intercept, coefficients by column.
 

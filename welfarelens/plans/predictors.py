@@ -46,7 +46,7 @@ def model_grid(
             marked = R.principal_components(marked, columns, s.components, [id_column, s.outcome, weight, "fold"])
             columns = [f"pca_{i}" for i in range(s.components)]
         linear = R.cross_validated_r2(marked, columns, s.outcome, "fold", weight)
-        lasso = R.lasso_cv(marked, columns, s.outcome, "fold", folds, s.alphas, weight) if s.alphas else {}
+        lasso = R.lasso_cv(marked, columns, s.outcome, "fold", s.alphas, weight) if s.alphas else {}
         trees = R.boosted_trees_cv(marked, columns, s.outcome, "fold", folds, weight=weight) if s.trees else {}
         fold_table.unpersist()
         rows.append(
@@ -66,7 +66,7 @@ def area_effects(
     kept = df.select(id_column, area, outcome, weight)
     hot = E.one_hot(S.even_folds(kept, id_column, folds), categories, "double")
     columns = [f"{area}_{v}" for v in categories[area]]
-    fit = R.lasso_cv(hot, columns, outcome, "fold", folds, alphas, weight)
+    fit = R.lasso_cv(hot, columns, outcome, "fold", alphas, weight)
     coefficients = df.sparkSession.createDataFrame(
         list(fit["coefficients"].items()), "column string, coefficient double"
     )

@@ -116,7 +116,7 @@ LEARN = ["hh_size", "assets", "urgent", "closed", "hh_wgt"]
 
 @query()
 def lasso_cv(spark, sf):
-    r = R.lasso_cv(with_folds(spark, sf), LEARN, "outcome", "fold", 3, [3e-4, 1e-2, 3e-1], "weight")
+    r = R.lasso_cv(with_folds(spark, sf), LEARN, "outcome", "fold", [3e-4, 1e-2, 3e-1], "weight")
     rows = [(r["alpha"], r["r2"], c, b) for c, b in r["coefficients"].items()]
     return spark.createDataFrame(rows, "alpha double, r2 double, covariate string, coefficient double")
 
