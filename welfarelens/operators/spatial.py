@@ -31,10 +31,6 @@ def _gap(p: Column, lo: Column, hi: Column) -> Column:
     return F.greatest(lo - p, p - hi, F.lit(0.0))
 
 
-def _reach(p: Column, lo: Column, hi: Column) -> Column:
-    return F.greatest(F.abs(p - lo), F.abs(hi - p))
-
-
 def _cell(c: Column, origin: float, size: float, level: int) -> Column:
     n = 1 << level
     return F.least(F.floor((c - F.lit(origin)) / F.lit(size) * F.lit(float(n))).cast("long"), F.lit(n - 1))
@@ -75,56 +71,69 @@ def nearest_locations(
         depth = min(MAX_LEVEL, depth + max(1, math.ceil(math.log(fullest / leaf, 4) / 2)))
 
     placed = tiles.select("rx", "ry", *cells_at(depth))
+    # the box of a cell's locations, and one of them: (x0, yr)
     boxes = placed.groupBy("cx", "cy").agg(
-        F.min("rx").alias("x0"), F.max("rx").alias("x1"), F.min("ry").alias("y0"), F.max("ry").alias("y1")
+        F.min("rx").alias("x0"), F.max("rx").alias("x1"), F.min("ry").alias("y0"), F.max("ry").alias("y1"),
+        F.min_by("ry", "rx").alias("yr"),
     )
 
     def level_boxes(level: int, parent: int) -> DataFrame:
         """Occupied cells of a level with the box of their locations and their cell at ``parent``."""
         up = depth - level
         cells = (
-            boxes.select(F.shiftright("cx", up).alias("cx"), F.shiftright("cy", up).alias("cy"), "x0", "x1", "y0", "y1")
+            boxes.select(
+                F.shiftright("cx", up).alias("cx"), F.shiftright("cy", up).alias("cy"), "x0", "x1", "y0", "y1", "yr"
+            )
             .groupBy("cx", "cy")
-            .agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+            .agg(
+                F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"),
+                F.min_by("yr", "x0").alias("yr"),
+            )
         )
         return cells.select(
             F.shiftright("cx", level - parent).alias("px"), F.shiftright("cy", level - parent).alias("py"),
-            "cx", "cy", "x0", "x1", "y0", "y1",
+            "cx", "cy", "x0", "x1", "y0", "y1", "yr",
         )
 
     per_site = W.partitionBy("lx", "ly")
-    bound = None if max_distance is None else float(max_distance) ** 2 * (1 + 1e-9)
+    limit = math.inf if max_distance is None else float(max_distance) ** 2 * (1 + 1e-9)
+    d2 = _square(F.col("lx") - F.col("rx")) + _square(F.col("ly") - F.col("ry"))
+
+    # a first bound from the locations in the site's own deepest cell, if there are any
+    own = sites.select(
+        "lx", "ly", _cell(F.col("lx"), box["x0"], size, depth).alias("qx"),
+        _cell(F.col("ly"), box["y0"], size, depth).alias("qy"),
+    )
+    own = own.join(placed, (F.col("cx") == F.col("qx")) & (F.col("cy") == F.col("qy")), "left")
+    bounded = own.groupBy("lx", "ly").agg(F.least(F.coalesce(F.min(d2), F.lit(limit)), F.lit(limit)).alias("bound"))
 
     def keep_possible(rows: DataFrame) -> DataFrame:
+        """Cells not farther than the nearest location known so far. Ties are kept."""
         near = _square(_gap(F.col("lx"), F.col("x0"), F.col("x1"))) + _square(_gap(F.col("ly"), F.col("y0"), F.col("y1")))
-        far = _square(_reach(F.col("lx"), F.col("x0"), F.col("x1"))) + _square(
-            _reach(F.col("ly"), F.col("y0"), F.col("y1"))
-        )
-        rows = rows.select("lx", "ly", "cx", "cy", near.alias("near"), far.alias("far"))
-        if bound is not None:
-            rows = rows.filter(F.col("near") <= bound)
+        known = _square(F.col("lx") - F.col("x0")) + _square(F.col("ly") - F.col("yr"))
+        rows = rows.select("lx", "ly", "bound", "cx", "cy", near.alias("near"), known.alias("known"))
         return (
-            rows.withColumn("best", F.min("far").over(per_site))
-            .filter(F.col("near") <= F.col("best"))
-            .select("lx", "ly", "cx", "cy")
+            rows.filter(F.col("near") <= F.col("bound"))
+            .withColumn("bound", F.least("bound", F.min("known").over(per_site)))
+            .filter(F.col("near") <= F.col("bound"))
+            .select("lx", "ly", "bound", "cx", "cy")
         )
 
     level = min(2, depth)
     top = level_boxes(level, 0).drop("px", "py")
-    # at most 16 cells; hashing by site first lets the steps below stay where they are
-    found = keep_possible(sites.repartition("lx", "ly").join(F.broadcast(top), F.lit(True)))
+    # at most 16 cells
+    found = keep_possible(bounded.join(F.broadcast(top), F.lit(True)))
     while level < depth:
         step = min(level + 2, depth)
         children = level_boxes(step, level)
         if step <= BROADCAST_LEVEL:
             children = F.broadcast(children)
-        parents = found.select("lx", "ly", F.col("cx").alias("qx"), F.col("cy").alias("qy"))
+        parents = found.select("lx", "ly", "bound", F.col("cx").alias("qx"), F.col("cy").alias("qy"))
         found = keep_possible(
             parents.join(children, (F.col("px") == F.col("qx")) & (F.col("py") == F.col("qy")))
         )
         level = step
     leaves = found.select("lx", "ly", F.col("cx").alias("qx"), F.col("cy").alias("qy"))
-    d2 = _square(F.col("lx") - F.col("rx")) + _square(F.col("ly") - F.col("ry"))
     pairs = leaves.join(placed, (F.col("cx") == F.col("qx")) & (F.col("cy") == F.col("qy"))).select(
         "lx", "ly", "rx", "ry", d2.alias("d2")
     )
