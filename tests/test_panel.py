@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from welfarelens.functions import money as M
 from welfarelens.operators import panel as P

@@ -8,12 +8,11 @@ from welfarelens.operators import policy as P
 from welfarelens.session import cut_lineage
 from welfarelens.plans import comparison as C, country_panel as N, predictors as M, survey as Y
 from workloads.country_panel import _year_case
-from workloads.policies import BUDGETS, RESULTS, _UBI, _interp_sql
+from workloads.policies import BUDGETS, _UBI, _interp_sql
 from workloads.predictors import LEARN, learner_table
 from workloads.registry import query
 from workloads.tables import (
-    HH, LINE, SERIES, SURVEYS, YEARS, households, prices, prices_wide, r6, rounded, series, surveys, table, wide,
-    wide_sql, with_,
+    HH, LINE, SERIES, SURVEYS, YEARS, households, r6, rounded, series, surveys, table, wide, wide_sql, with_,
 )
 
 

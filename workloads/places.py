@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from welfarelens.operators import spatial as G
 from workloads.registry import query
-from workloads.tables import POINTS, SITES, points, r6, rounded, sites_and_tiles, table, with_
+from workloads.tables import POINTS, SITES, points, rounded, sites_and_tiles, with_
 
 FEATURES = ["feature_0", "feature_1"]
 
@@ -19,7 +19,7 @@ FROM sites s LEFT JOIN (SELECT d.* FROM d JOIN m ON d.site = m.site AND distance
 def nearest_within(spark, sf):
     sites, tiles = sites_and_tiles(spark, sf)
     tiles = tiles.select("tile", "feature_0", F.col("x").alias("tx"), F.col("y").alias("ty"))
-    out = G.nearest_join(sites, tiles, ("x", "y"), ("tx", "ty"), ["tile", "feature_0"], 0.02, leaf=16)
+    out = G.nearest_join(sites, tiles, ("x", "y"), ("tx", "ty"), ["tile", "feature_0"], 0.02)
     return rounded(out.select("site", "tile", "distance", "feature_0"), "distance", "feature_0")
 
 
@@ -30,7 +30,7 @@ SELECT s.site, round(avg(d.feature_0), 6) AS feature_0, round(avg(d.feature_1),
 FROM sites s LEFT JOIN (SELECT d.* FROM d JOIN m ON d.tile = m.tile AND distance = best) d ON s.site = d.site GROUP BY s.site""")
 def nearest_mean(spark, sf):
     sites, tiles = sites_and_tiles(spark, sf)
-    return rounded(G.nearest_mean(sites, "site", ("x", "y"), tiles, ("x", "y"), FEATURES, leaf=16), *FEATURES)
+    return rounded(G.nearest_mean(sites, "site", ("x", "y"), tiles, ("x", "y"), FEATURES), *FEATURES)
 
 
 def areas(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from welfarelens.functions.learning import pinball_loss
-from welfarelens.operators import curves as C, dedup as U, policy as P, poverty as V, regress as R
+from welfarelens.operators import curves as C, dedup as U, policy as P, regress as R
 from welfarelens.session import cut_lineage
 from workloads.registry import query
 from workloads.tables import HH, LINE, households, r6, rounded, table, with_

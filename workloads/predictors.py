@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from welfarelens.operators import regress as R, split as S
 from workloads.registry import query
-from workloads.tables import households, r6, rounded, table, with_
+from workloads.tables import households, rounded, table, with_
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "p_size"]
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from welfarelens.functions import text as X
-from welfarelens.operators import encode as E, panel as N, quality as Q, split as S
+from welfarelens.operators import encode as E, quality as Q, split as S
 from workloads.registry import query
-from workloads.tables import HH, SERIES, households, r6, rounded, series, table, with_
+from workloads.tables import HH, SERIES, households, rounded, series, table, with_
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 STATUSES = ["F", "O", "P"]
