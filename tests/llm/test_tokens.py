@@ -14,7 +14,9 @@ BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path
 TEXTS = [
     "Plain words, with the same words again: words.", "", None, " ", "  two  leading and trailing  ", "tab\tand\nline \n\n end\n",
     "a   b", "it's they'll 'quoted' ''s", "Élan café ÇA İstanbul J̌ ΟΔΟΣ", "x" * 500, "<|endoftext|> as text", "a\x1cb\x85c d e",
-    "é ̈x", "1234 5,678.90", "日本語 テキスト 🙂", "same text", "same text", "word " * 6000,
+    "é ̈x", "1234 5,678.90", "日本語 テキスト 🙂", "Straße, (Maß) Œuvre; don't... x² Ⅷ ٣ a1 1a naïve— ﬁn ǅ ʰa ñ, ñ",
+    "".join(chr(c) + " " + chr(c) + "a, " for c in range(33, 3000) if not 0x300 <= c < 0x370), "e\u0301 E\u0301, \u0130, \u03a3\u03a3 ",
+    "same text", "same text", "word " * 6000,
 ]
 
 

@@ -1,14 +1,15 @@
 """Token ids of whole texts with a public tokenizer, fast for texts that repeat their words.
 
-The pieces between white space are encoded once per worker and looked up afterwards. This gives the ids of the whole
+The pieces between white space are encoded once per worker and looked up afterwards; words of letters only go straight
+to the library's model, which spares the library's bookkeeping for whole texts. This gives the ids of the whole
 text because neither of the two supported kinds of tokenizer merges across such a boundary:
 
 * ``byte``: byte-level pieces carry one leading space. A text is cut before every single space that stands between
   two characters that are no white space.
 * ``word``: white space is dropped. A text is cut at any white space.
 
-Texts with other white space beside a space, control characters that only Python takes for white space, or marks of
-special tokens are encoded whole, and so is every text of any other kind of tokenizer.
+Texts with white space other than single spaces and line ends or with marks of special tokens are encoded whole, and so
+is every text of any other kind of tokenizer.
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ import array
 import json
 import os
 import re
+import string
 import sys
 
 #: Pieces kept per worker; beyond that the memory starts anew, which changes no result.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 700_000
 #: Longer pieces are not kept.
 KEPT_LENGTH = 64
 
-_SPACES = re.compile(r" \s|\s ")
-_ODD = re.compile(r"[\x1c-\x1f\x85]")
+_RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -49,6 +50,27 @@ def kind(spec: dict) -> str:
     return "whole"
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in printable else next(others)) for b in range(256)]
+
+
+class Pieces(dict):
+    """Ids of pieces that stand at the start of a text or line (``spaced`` false) or after a space, made when first asked for."""
+
+    def __init__(self, encoder: "Encoder", spaced: bool):
+        super().__init__()
+        self.encoder, self.spaced = encoder, spaced
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encoder.piece(piece, self)
+        if len(piece) <= KEPT_LENGTH:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, description: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,10 +78,13 @@ class Encoder:
 
         spec = json.loads(description)
         self.tokenizer = Tokenizer.from_str(description)
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.kind = kind(spec)
         self.marks = [x["content"] for x in spec.get("added_tokens", [])]
         self.size = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}
+        self.letters = str.maketrans(dict(enumerate(byte_letters())))
+        self.bare, self.after = Pieces(self, False), Pieces(self, True)
+        self.space = self.letters[32]
 
     @classmethod
     def of(cls, description: str) -> "Encoder":
@@ -68,33 +93,41 @@ class Encoder:
             _ENCODERS[description] = cls(description)
         return _ENCODERS[description]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [little_endian(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return little_endian(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _pieces(self, text: str) -> list[str] | None:
-        if self.kind == "whole" or _ODD.search(text) or any(m in text for m in self.marks):
-            return None
+    def piece(self, piece: str, kin: Pieces) -> bytes:
+        """Ids of a piece from the model's merges of its words. ``kin``: the pieces it belongs to."""
+        word = piece
+        if self.kind == "word":
+            word = piece.lower() if piece.isascii() else self.normalizer.normalize_str(piece)
+        if word.isalpha():
+            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            return little_endian([t.id for t in self.model.tokenize(self.space + spelled if kin.spaced else spelled)])
+        core = word.rstrip(string.punctuation)
+        if core != word and core.isalpha():  # both kinds of tokenizers cut between a word and punctuation
+            return kin[core] + self.bare[word[len(core) :]]
+        if "\n" in piece and (lines := piece.split("\n")) == piece.split():  # and on both sides of a single line end
+            return kin[lines[0]] + b"".join([self._whole("\n") + self.bare[x] for x in lines[1:]])
+        return self._whole(" " + piece if kin.spaced else piece)
+
+    def _encode(self, text: str) -> bytes:
+        if self.kind == "whole" or any(m in text for m in self.marks):
+            return self._whole(text)
+        rare = _RARE_SPACE.search(text)
         if self.kind == "word":
-            return text.split()
-        if _SPACES.search(text):
-            return None
+            return self._whole(text) if rare else b"".join(map(self.bare.__getitem__, text.split()))
+        if rare or "  " in text or " \n" in text or "\n " in text or not text:
+            return self._whole(text)
         first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        return (self.bare[first] if first else b"") + b"".join(map(self.after.__getitem__, rest))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers; a null is an empty text."""
-        cut = [self._pieces(t or "") for t in texts]
-        if len(self.known) > KEPT_PIECES:
-            self.known.clear()
-        new = list(set().union(*[c for c in cut if c is not None]) - self.known.keys())
-        made = dict(zip(new, self._whole(new)))
-        long = {p: b for p, b in made.items() if len(p) > KEPT_LENGTH}
-        self.known.update(made)
-        get = self.known.__getitem__
-        out = [self._whole([t or ""])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
-        for p in long:
-            del self.known[p]
-        return out
+        for kept in (self.bare, self.after):
+            if len(kept) > KEPT_PIECES:
+                kept.clear()
+        return [self._encode(t or "") for t in texts]
 
 
 def read_description(path: str) -> str:

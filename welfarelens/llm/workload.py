@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from welfarelens.llm import packing, token_files
+from welfarelens.llm import packing, quality, simhash, token_files, toxicity
+from welfarelens.llm.labelled import held_out
 from welfarelens.llm.tables import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +35,13 @@ def op1_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op2_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's SimHash fingerprint and near-duplicate component."""
+    found = simhash.near_duplicates(table(spark, sf, "documents"), shingle=4, distance=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Every piece of a document and its place in a training sequence."""
@@ -43,3 +51,26 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's toxicity score."""
+    docs = table(spark, sf, "documents")
+    model = toxicity.train_toxicity(docs, table(spark, sf, "labels"))
+    scored = docs.select("doc_id", toxicity.toxicity_score(model, F.col("text"), spark).alias("score"))
+    return _decided(scored, 0.5)
+
+
+@query
+def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's quality score."""
+    docs = table(spark, sf, "documents")
+    model = quality.train_quality(docs, table(spark, sf, "labels"))
+    scored = docs.select("doc_id", quality.quality_score(model, F.col("text"), spark).alias("score"))
+    return _decided(scored, model.cut)
+
+
+def _decided(scored: DataFrame, threshold: float) -> DataFrame:
+    predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
