@@ -64,7 +64,7 @@ def test_token_files_of_an_empty_table(spark):
 
 @pytest.mark.parametrize("parts", [1, 4])
 def test_packing_places_each_id_once(spark, parts):
-    many = [(f"{t} {n}" if t else t, n, "x", "y") for n in range(30) for t in TEXTS]
+    many = [(f"{t} {n}" if t else t, 100 * n + i, "x", "y") for n in range(30) for i, t in enumerate(TEXTS)]
     got = packing.pack(frame(spark, many).repartition(parts), WORD, 1, size=256, open_windows=4).toPandas()
     plain = Tokenizer.from_file(WORD)
     want = sorted((n, encoding.little_endian([*plain.encode(t or "", add_special_tokens=False).ids, 1])) for t, n, *_ in many)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from welfarelens.llm import packing, quality, simhash, token_files, toxicity
+from welfarelens.llm import chat, packing, quality, sharding, simhash, token_files, toxicity
 from welfarelens.llm.labelled import held_out
 from welfarelens.llm.tables import new_folder
 
@@ -15,9 +15,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(fn=None, *, sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add if fn is None else add(fn)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -42,6 +47,29 @@ def op2_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query(
+    sql="""
+WITH named AS (
+  SELECT coalesce(conv_id, -9223372036854775808) AS k, turn,
+         coalesce(nullif(lower(trim(role)), ''), 'unknown') AS r, replace(coalesce(text, ''), '<|', '< |') AS x
+  FROM conversations),
+turns AS (
+  SELECT k, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, r, x) - 1 AS pos,
+         '<|im_start|>' || r || chr(10) || x || '<|im_end|>' || chr(10) AS line
+  FROM named),
+whole AS (SELECT k, list(line ORDER BY pos) AS lines FROM turns GROUP BY k),
+copies AS (SELECT min(k) AS k, lines FROM whole GROUP BY lines),
+prefixes AS (SELECT DISTINCT lines[1:n] AS lines FROM (SELECT lines, unnest(range(1, len(lines))) AS n FROM copies)),
+kept AS (SELECT k FROM copies c WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.lines = c.lines))
+SELECT CASE WHEN k <> -9223372036854775808 THEN k END AS conv_id, pos // 256 AS part, count(*) AS turns,
+       string_agg(line, '' ORDER BY pos) AS text
+FROM turns WHERE k IN (SELECT k FROM kept) GROUP BY k, pos // 256"""
+)
+def op3_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    """Every logged conversation that is no prefix of another, rendered for training."""
+    return chat.format_chats(table(spark, sf, "conversations"))
+
+
 @query
 def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Every piece of a document and its place in a training sequence."""
@@ -74,3 +102,10 @@ def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
 def _decided(scored: DataFrame, threshold: float) -> DataFrame:
     predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
+
+
+@query
+def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's shard and slot; equal texts stay together and shards have nearly equal bytes."""
+    placed = sharding.shard_by_bytes(table(spark, sf, "documents"), shards=24)
+    return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
