@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from welfarelens.llm import chat, packing, quality, sharding, simhash, token_files, toxicity
+from welfarelens.llm import chat, decontamination, packing, quality, sharding, simhash, token_files, toxicity
 from welfarelens.llm.labelled import held_out
 from welfarelens.llm.tables import new_folder
 
@@ -109,3 +109,9 @@ def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's shard and slot; equal texts stay together and shards have nearly equal bytes."""
     placed = sharding.shard_by_bytes(table(spark, sf, "documents"), shards=24)
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Every overlap of a document with a benchmark item."""
+    return decontamination.find_overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
