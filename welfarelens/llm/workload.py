@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from welfarelens.llm import chat, decontamination, packing, quality, sharding, simhash, token_files, toxicity
+from welfarelens.llm import chat, decontamination, neighbours, packing, quality, sharding, simhash, token_files, toxicity
 from welfarelens.llm.labelled import held_out
 from welfarelens.llm.tables import new_folder
 
@@ -111,6 +111,12 @@ def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+@query
+def op8_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    return neighbours.nearest_neighbours(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, nearest=5)
+
+
 @query
 def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Every overlap of a document with a benchmark item."""
