@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from welfarelens.llm import chat, decontamination, neighbours, packing, quality, sharding, simhash, token_files, toxicity
+from welfarelens.llm import chat, decontamination, neighbours, packing, passages, quality, sharding, simhash, token_files, toxicity
 from welfarelens.llm.labelled import held_out
 from welfarelens.llm.tables import new_folder
 
@@ -121,3 +121,9 @@ def op8_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     """Every overlap of a document with a benchmark item."""
     return decontamination.find_overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op10_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every passage of a document that repeats one of an earlier document."""
+    return passages.repeated_passages(table(spark, sf, "documents"))
