@@ -270,7 +270,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 10, batch: int = 1
     net = Network(vocabulary, seed)
     if not len(texts) or len(set(labels.tolist())) < 2:
         net.p["w"][:] = 0
-        net.shift = float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)))
+        net.shift = float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 1.0)))  # without labels, not toxic
         return net
     different = {w: i for i, w in enumerate(sorted(set().union(*split)))}
     ids, grams, firsts = net.features(list(different))
