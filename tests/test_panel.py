@@ -1,5 +1,6 @@
 import pytest
 
+from pyspark.sql import functions as F
 from welfarelens.functions import money as M
 from welfarelens.operators import panel as P
 
@@ -57,6 +58,8 @@ def test_lookup_year(spark):
     w = spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, None)], "k string, `2000` double, `2001` double")
     q = spark.createDataFrame([("a", 2001), ("b", 2001), ("b", 1999), ("c", 2000), ("a", None)], "e string, t int")
     got = {(r["e"], r["t"]): r["v"] for r in P.lookup_year(q, "e", "t", w, "k", "v", 10.0).collect()}
+    both = P.lookup_year(q.withColumn("2000", F.lit(5)), "e", "t", w, "k", "v", 10.0)  # year columns on both sides
+    assert {(r["e"], r["t"]): r["v"] for r in both.collect()} == got and {r["2000"] for r in both.collect()} == {5}
     assert got == {("a", 2001): 20.0, ("b", 2001): None, ("b", 1999): None, ("c", 2000): None, ("a", None): None}
 
 

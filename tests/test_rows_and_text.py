@@ -100,9 +100,20 @@ def test_large_category_codes(spark):
     words = [f"prefix_{rng.randint(0, 400)}é" if i % 3 else None for i in range(900)] + ["prefix_", "prefix_zz"]
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, c string")
     order = {v: k for k, v in enumerate(sorted({w for w in words if w}, key=lambda w: w.encode()))}
-    for limit in (10, 100_000):  # ranked in Spark, looked up in the tasks
-        got = {r["i"]: r["c"] for r in E.category_codes(df, ["c"], indexed=limit).collect()}
-        assert got == {i: order.get(w, -1) for i, w in enumerate(words)}
+    got = {r["i"]: r["c"] for r in E.category_codes(df, ["c"]).collect()}
+    assert got == {i: order.get(w, -1) for i, w in enumerate(words)}
+
+
+def test_category_codes_of_numbers(spark):
+    df = spark.createDataFrame([(10, 1.5), (2, None), (None, -3.0), (10, 1e9)], "n int, x double")
+    got = E.category_codes(df.withColumn("i", df["n"] * 1), ["n", "x"]).collect()
+    assert sorted((r["i"] or 0, r["n"], r["x"]) for r in got) == [(0, -1, 0), (2, 0, -1), (10, 1, 1), (10, 1, 2)]
+
+
+def test_keep_without_any_key(spark):
+    df = spark.createDataFrame([(1,), (2,)], "a int")
+    with pytest.raises(ValueError, match="none of the key columns"):
+        U.keep_first(df, ["nope"], ["a"])
 
 
 def test_metadata_projection(spark):

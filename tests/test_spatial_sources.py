@@ -111,10 +111,10 @@ def write(path, text):
 
 
 def test_indicator_csv_with_preamble(spark, tmp_path):
-    p = write(tmp_path / "a.csv", '"Data Source","Indicators",\n\n"Last Updated","2025-07-01",\n\n"Country Name","Country Code","Indicator","1960","1961",\n"Côte, X","CIV","pop","1","",\n"World","WLD","pop","..","7.5",\n')
+    p = write(tmp_path / "a.csv", '"Data Source","Indicators",\n\n"Last Updated","2025-07-01",\n\n"Country Name","Country Code","Indicator","1960","1961",\n"Côte, X","CIV","pop","1","",\n"World","WLD","pop","..","7.5",\n"Union","EU","pop","2","3",\n')
     df = I.read_indicator_csv(spark, p)
     assert df.columns == ["Country Name", "Country Code", "Indicator", "1960", "1961"]
-    assert {tuple(r) for r in df.collect()} == {("Côte, X", "CIV", "pop", 1.0, None), ("World", "WLD", "pop", None, 7.5)}
+    assert {tuple(r) for r in df.collect()} == {("Côte, X", "CIV", "pop", 1.0, None), ("World", "WLD", "pop", None, 7.5), ("Union", "EU", "pop", 2.0, 3.0)}
     assert I.year_columns(df) == ["1960", "1961"]
 
 
@@ -156,8 +156,12 @@ def test_entities_from_folders(spark, tmp_path):
     row.withColumn("extra", F.lit(1)).coalesce(1).write.parquet(f"{tmp_path}/ben/cleaned/train.parquet")
     os.makedirs(f"{tmp_path}/bad/cleaned")
     write(tmp_path / "bad" / "cleaned" / "train.parquet", "not parquet")
-    df = I.read_entities(spark, str(tmp_path), columns=["y", "w"])
+    with pytest.raises(Exception, match="(?i)parquet"):
+        I.read_entities(spark, str(tmp_path), columns=["y", "w"]).collect()
+    df = I.read_entities(spark, str(tmp_path), columns=["y", "w"], skip_unreadable=True)
     assert sorted((r["entity"], r["part"]) for r in df.collect()) == [("ben", "train"), ("tgo", "test"), ("tgo", "train")]
+    gaps = I.entity_gaps(I.entity_files(spark, str(tmp_path)), df)
+    assert sorted(map(tuple, gaps.collect())) == [("bad", "test", "no file"), ("bad", "train", "no rows"), ("ben", "test", "no file")]
 
 
 def test_tagged_and_blank_row(spark, tmp_path):

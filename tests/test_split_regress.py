@@ -61,7 +61,7 @@ def test_random_split_weights(people):
 @pytest.mark.parametrize("share", [0.001, 0.5])
 def test_group_folds(spark, share):
     rng = random.Random(8)
-    rows = [(i, "big" if rng.random() < 0.3 else f"g{rng.randint(0, 120)}") for i in range(2000)]
+    rows = [(i, "big" if rng.random() < 0.3 else None if i % 50 == 0 else f"g{rng.randint(0, 120)}") for i in range(2000)]
     df = spark.createDataFrame(rows, "id long, g string")
     out = S.group_folds(df, "g", 4, share)
     assert out.count() == 2000
@@ -248,3 +248,12 @@ def test_calibration(spark):
     assert got == {0.1: pytest.approx(1 / 3), 0.9: 1.0}
     closed = {r["quantile"]: r["actual_below_estimated"] for r in R.quantile_calibration(df, est, "y", "g", ["set"], closed=True).collect()}
     assert closed[0.1] == pytest.approx(2 / 3)
+
+
+def test_forward_selection_in_very_many_groups(spark):
+    rows = spark.range(36_000).select(
+        (F.col("id") % 6000).alias("g"), F.pmod(F.xxhash64("id"), F.lit(100)).cast("double").alias("a"),
+        F.lit(1.0).alias("w"), (F.floor(F.col("id") / 6000) % 2).cast("int").alias("fold"),
+    ).withColumn("y", F.col("a") * 2 + F.col("g") % 7)
+    got = R.forward_selection_by_group(rows, "g", {"a": ["a"]}, "y", "w", "fold", steps=1)
+    assert got.select("g").distinct().count() == 6000

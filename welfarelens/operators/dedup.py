@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _keep(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], last: bool) -> DataFrame:
-    keys = [k for k in keys if k in df.columns]
+    wanted, keys = keys, [k for k in keys if k in df.columns]
+    if not keys:
+        raise ValueError(f"none of the key columns {list(wanted)} exists")
     rest = [c for c in df.columns if c not in keys]
     pick = F.max_by if last else F.min_by
     # an aggregate, not a window: a key with very many copies is reduced before the shuffle

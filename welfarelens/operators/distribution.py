@@ -16,14 +16,14 @@ def weighted_quantile(
     probs: Sequence[float],
     by: Sequence[str] = (),
     floor: float | None = 0.0,
-    hit_tolerance: float = 1e-9,
+    hit_tolerance: float = 1e-13,
     buckets: int | None = None,
 ) -> DataFrame:
     """Exact weighted quantiles: rows (by, prob, quantile).
 
     The quantile is the smallest value whose share of the total weight reaches
     ``prob``; if the share equals ``prob`` (within ``hit_tolerance``) it is the mean
-    of that value and the next. Results are floored at ``floor``. NULL values and
+    of that value and the next (a row that weighs less than the tolerance is not told apart from its neighbour). Results are floored at ``floor``. NULL values and
     NULL or non-positive weights are left out.
     """
     by = list(by)

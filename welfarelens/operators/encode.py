@@ -164,48 +164,29 @@ def inverse_one_hot(df: DataFrame, indicator_map: Mapping[str, tuple[str, str]],
     return out.drop(*indicator_map) if drop else out
 
 
-def category_codes(df: DataFrame, columns: Sequence[str], indexed: int = 20_000) -> DataFrame:
-    """Each column as the 0-based rank of its value (as text) among the sorted categories; NULL is -1.
+def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Each column as the 0-based rank of its value among the sorted categories; NULL is -1.
 
-    Columns of up to about ``indexed`` categories are coded by one lookup in the
-    tasks; the categories of larger ones are ranked and joined in Spark.
+    Numbers are ranked as numbers, everything else as text. The categories are ranked and joined in Spark whatever
+    their number; none come to the driver.
     """
-    sizes = df.agg(*[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    small = [c for i, c in enumerate(columns) if sizes[f"n{i}"] <= indexed]
-    large = [c for c in columns if c not in small]
+    numeric = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
+    texts = [c for c in columns if c not in numeric]
+    ranks = category_ranks(df, texts) if texts else None
     coded = df
-    if small:
-        coded = _indexed_codes(coded, small)
-    if large:
-        ranks = category_ranks(df, large)
-        for c in large:
+    for c in columns:
+        if c in numeric:
+            values = df.select(F.col(c).alias("__v")).distinct()
+            totals = running_totals(values, "__v", {"n": F.sum(F.lit(1.0))})
+            own = totals.select("__v", (F.col("cum_n") - 1).cast("int").alias("__c"))
+            match = F.col(c) == F.col("__v")
+        else:
             own = ranks.filter(F.col("column") == c).select(F.col("value").alias("__v"), F.col("code").alias("__c"))
-            coded = (
-                coded.join(own, F.col(c).cast("string") == F.col("__v"), "left")
-                .withColumn(c, F.coalesce("__c", F.lit(-1)).cast("int"))
-                .drop("__v", "__c")
-            )
+            match = F.col(c).cast("string") == F.col("__v")
+        coded = coded.join(own, match, "left").withColumn(c, F.coalesce("__c", F.lit(-1)).cast("int")).drop("__v", "__c")
     return coded.select(*df.columns)
 
 
-def _indexed_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    from pyspark.ml.feature import StringIndexer
-
-    texts = df.withColumns({f"__t_{c}": F.col(c).cast("string") for c in columns})
-    index = StringIndexer(
-        inputCols=[f"__t_{c}" for c in columns], outputCols=[f"__i_{c}" for c in columns],
-        stringOrderType="alphabetAsc", handleInvalid="keep",
-    ).fit(texts)
-    coded = index.transform(texts)
-    return coded.select(
-        *[
-            F.when(F.col(c).isNull(), F.lit(-1)).otherwise(F.col(f"__i_{c}").cast("int")).alias(c)
-            if c in columns else F.col(c)
-            for c in df.columns
-        ]
-    )
-
-
 def category_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, code): 0-based rank of every category of a column, without sorting a column in one task."""
     values = distinct_values(df, columns)

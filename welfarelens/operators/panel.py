@@ -64,9 +64,9 @@ def lookup_year(
 ) -> DataFrame:
     """Add the wide table's value at each row's own year. One join on the key, no long table."""
     years = year_columns(wide)
-    table = wide.select(F.col(wide_key).alias("__k"), *[F.col(f"`{y}`").cast("double") for y in years])
-    joined = df.join(table, F.col(key) == F.col("__k"), "left")
-    return joined.withColumn(out, at_year(year, years) * scale).drop("__k", *years)
+    values = F.struct(*[F.col(f"`{y}`").cast("double").alias(y) for y in years])
+    joined = df.join(wide.select(F.col(wide_key).alias("__k"), values.alias("__years")), F.col(key) == F.col("__k"), "left")
+    return joined.withColumn(out, at_year(year, years, "__years") * scale).drop("__k", "__years")
 
 
 def value_at_fractional_year(year: str | Column, years: Sequence[str], last_resort: Mapping[int, int] | None = None) -> Column:

@@ -72,14 +72,16 @@ def survey_metrics(
     """Rate and gap index per entity at several lines in one aggregation.
 
     ``lines`` maps a suffix to (line, factor column); the outcome is multiplied by
-    the factor (for example a price-base conversion) before it meets the line.
+    the factor (for example a price-base conversion) before it meets the line. An
+    entity without a factor has NULL results at that line.
     """
     aggs = []
     for suffix, (line, factor) in lines.items():
         y = col(outcome) if factor is None else col(outcome) * col(factor)
+        known = F.lit(True) if factor is None else F.max(col(factor)).isNotNull()
         aggs += [
-            poverty_rate(y, weight, line).alias(f"poverty_rate_{suffix}"),
-            gap_index(y, weight, line).alias(f"poverty_gap_index_{suffix}"),
+            F.when(known, poverty_rate(y, weight, line)).alias(f"poverty_rate_{suffix}"),
+            F.when(known, gap_index(y, weight, line)).alias(f"poverty_gap_index_{suffix}"),
         ]
     return named_groups(df, [entity]).groupBy(entity).agg(*aggs)
 

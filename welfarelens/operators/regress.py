@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from welfarelens.operators.ordered import join_groups
+from welfarelens.session import ship_package
 
 MAX_COLUMNS = 5000
 NARROW = 14
@@ -80,32 +81,54 @@ def cross_products(
     return Moments(columns, sorted(weighted), weighted, center, scale, plain)
 
 
+#: Matrix cells a task gathers before it hands its partial sums on.
+TASK_CELLS = 4_000_000
+
+
 def cross_products_by_group(
-    df: DataFrame, group: str, columns: Sequence[str], outcome: str, weight: str, fold: str, max_cells: int = 100_000_000
-) -> dict:
-    """Moments of every group from one pass: {group: Moments}. Rows without a group are left out.
+    df: DataFrame, group: str, columns: Sequence[str], outcome: str, weight: str, fold: str
+) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(``group``, ``fold``, ``sums``) partial sums of products, and the center and scale of all rows.
 
-    All matrices come to the driver, so their total size is checked first.
+    A group's matrices are the sums of its rows' arrays; each task adds up its own rows first, so a large group gives
+    one row per task and fold. Rows without a group or with a NULL in any used column are left out.
     """
-    keys = [r[0] for r in df.select(group).filter(F.col(group).isNotNull()).distinct().limit(100_001).collect()]
-    folds = df.agg(F.max(F.col(fold).cast("int")) + 1).first()[0] or 1
-    cells = len(keys) * folds * (len(columns) + 2) ** 2
-    if cells > max_cells:
-        raise ValueError(f"{len(keys)} groups need {cells} matrix cells; select groups or columns first")
-    keys.sort()
-    table = df.sparkSession.createDataFrame(
-        list(enumerate(keys)), f"__g int, __key {df.schema[group].dataType.simpleString()}"
-    )
-    coded = df.join(F.broadcast(table), F.col(group) == F.col("__key")).withColumn(
-        "__cell", F.col("__g") * F.lit(folds) + F.col(fold).cast("int")
-    )
-    mo = cross_products(coded, columns, outcome, weight, "__cell")
-    out = {}
-    for i, key in enumerate(keys):
-        own = {c - i * folds: m for c, m in mo.matrices.items() if c // folds == i}
-        if own:
-            out[key] = Moments(mo.columns, sorted(own), own, mo.center, mo.scale)
-    return out
+    columns = list(columns)
+    names, p = [*columns, outcome], len(columns) + 1
+    used = df.filter(F.col(group).isNotNull()).select(
+        F.col(group), *[F.col(f"`{c}`").cast("double").alias(f"__x{i}") for i, c in enumerate(names)],
+        F.col(weight).cast("double").alias("__w"), F.col(fold).cast("int").alias("__fold"),
+    ).dropna()
+    stats = used.agg(
+        *[F.avg(f"__x{i}").alias(f"m{i}") for i in range(p)], *[F.stddev_pop(f"__x{i}").alias(f"s{i}") for i in range(p)]
+    ).first()
+    if stats["m0"] is None:
+        raise ValueError("no complete rows")
+    center = np.array([stats[f"m{i}"] for i in range(p)])
+    scale = np.array([stats[f"s{i}"] or 1.0 for i in range(p)])
+
+    def add(batches):
+        sums: dict = {}
+
+        def out():
+            keys = list(sums)
+            frame = pd.DataFrame({group: [k for k, _ in keys], "fold": [f for _, f in keys], "sums": [sums[k].ravel() for k in keys]})
+            sums.clear()
+            return frame
+
+        for rows in batches:
+            x = (rows[[f"__x{i}" for i in range(p)]].to_numpy() - center) / scale
+            z, w = np.column_stack([np.ones(len(x)), x]), rows["__w"].to_numpy()
+            for key, at in rows.groupby([group, "__fold"]).indices.items():
+                part = z[at]
+                sums[key] = sums.get(key, 0.0) + part.T @ (part * w[at, None])
+            if len(sums) * (p + 1) ** 2 > TASK_CELLS:
+                yield out()
+        if sums:
+            yield out()
+
+    kind = df.schema[group].dataType.simpleString()
+    return used.mapInPandas(add, f"`{group}` {kind}, fold int, sums array<double>"), center, scale
 
 
 Matrices = dict[int, np.ndarray]
@@ -298,12 +321,25 @@ def forward_selection_by_group(
     """``forward_selection`` inside every group, from one pass over the data.
 
     Adds the group, its number of rows and ``small`` = fewer than ``min_rows``.
+    The selection of a group runs in the task that holds its sums; nothing of a
+    group comes to the driver, and there may be any number of groups.
     """
+    ship_package(df.sparkSession)
     columns = list(dict.fromkeys(c for n in sorted(candidates) for c in candidates[n]))
-    moments = cross_products_by_group(df, group, columns, outcome, weight, fold)
-    rows = [(key, *r) for key, mo in moments.items() for r in greedy_selection(mo, candidates, steps)]
-    kind = df.schema[group].dataType.simpleString()
-    out = df.sparkSession.createDataFrame(rows, f"{group} {kind}, {SELECTION_SCHEMA}")
+    sums, center, scale = cross_products_by_group(df, group, columns, outcome, weight, fold)
+    kind, side, names = df.schema[group].dataType.simpleString(), len(columns) + 2, SELECTION_SCHEMA.replace(" double", "").replace(" int", "").replace(" string", "").split(", ")
+    wanted = {k: list(v) for k, v in candidates.items()}
+
+    def select(rows: pd.DataFrame) -> pd.DataFrame:
+        matrices: dict[int, np.ndarray] = {}
+        for f, values in zip(rows["fold"], rows["sums"]):
+            matrices[int(f)] = matrices.get(int(f), 0.0) + np.asarray(values).reshape(side, side)
+        mo = Moments(columns, sorted(matrices), matrices, center, scale)
+        found = pd.DataFrame(greedy_selection(mo, wanted, steps), columns=names)
+        found.insert(0, group, rows[group].iloc[0])
+        return found
+
+    out = sums.groupBy(group).applyInPandas(select, f"`{group}` {kind}, {SELECTION_SCHEMA}")
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
     out = out.join(sizes, group, "left").withColumn("small", F.col("rows") < min_rows)
     return _described(out, descriptions)

@@ -186,9 +186,10 @@ def group_folds(df: DataFrame, group: str, folds: int = 5, share: float = 0.001)
 
     Groups larger than ``share`` of a fold, of which there can be at most
     folds / share, are dealt largest first to the lightest fold. Smaller groups
-    cannot unbalance a fold; they fill the folds up in hash order.
+    cannot unbalance a fold; they fill the folds up in hash order. Rows without a
+    group are one group.
     """
-    sizes = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
     total = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
     bound = share * total / folds
     heavy = sizes.filter(F.col("__n") > bound).orderBy(F.col("__n").desc(), F.col(group)).collect()
@@ -225,4 +226,4 @@ def group_folds(df: DataFrame, group: str, folds: int = 5, share: float = 0.001)
     else:
         light_folds = light.select(F.col(group).alias("__g"), F.lit(0).alias("__f"))
     table = fixed.unionByName(light_folds)
-    return df.join(table, F.col(group) == F.col("__g")).withColumn("fold", F.col("__f").cast("int")).drop("__g", "__f")
+    return df.join(table, F.col(group).eqNullSafe(F.col("__g"))).withColumn("fold", F.col("__f").cast("int")).drop("__g", "__f")

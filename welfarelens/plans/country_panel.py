@@ -95,11 +95,14 @@ def add_conversion_factors(
 
 
 def survey_poverty(households: DataFrame, panel: DataFrame, lines: Mapping[str, float]) -> DataFrame:
-    """Rate and gap index of each entity's survey at both lines; the first line sees converted outcomes."""
+    """Rate and gap index of each entity's survey at both lines; the first line sees converted outcomes.
+
+    Entities that the panel does not have, or that have no factor, are NULL at the first line.
+    """
     factor = panel.select("entity", F.col("ratio_2021_to_2017").alias("__f"))
     (first, z1), (second, z2) = lines.items()
     out = V.survey_metrics(
-        households.join(factor, "entity"), "outcome", "weight", "entity",
+        households.join(factor, "entity", "left"), "outcome", "weight", "entity",
         {first: (z1, "__f"), second: (z2, None)},
     )
     return out.withColumnsRenamed({c: f"survey_{c}" for c in out.columns if c != "entity"})

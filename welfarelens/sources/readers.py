@@ -31,24 +31,26 @@ def read_csv_columns(spark: SparkSession, path: str, columns: Sequence[str], nam
     return spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(path).select(*quoted).toDF(*names)
 
 
-def read_indicator_csv(
-    spark: SparkSession, path: str, code_column: str = "Country Code", code_length: int = 3
-) -> DataFrame:
+def read_indicator_csv(spark: SparkSession, path: str, code_column: str = "Country Code") -> DataFrame:
     """Wide indicator CSV whose header follows a few lines of preamble.
 
-    The header is the first line that names ``code_column``; data rows are those
-    with a code of ``code_length`` letters, which drops preamble and header alike.
-    Year columns come back as DOUBLE (unreadable cells NULL), the rest as text.
+    The header of a file is its first row with ``code_column`` in the place it has there; every row below it is kept,
+    whatever its code. Year columns come back as DOUBLE (unreadable cells NULL), the rest as text. A file without a
+    header gives no rows, and an error if no file has one.
     """
-    lines = spark.read.text(path)
-    header = lines.filter(F.col("value").contains(code_column)).first()
-    if header is None:
+    lines = spark.read.text(path).filter(F.col("value").contains(code_column))
+    cells = [next(csv.reader([r["value"].rstrip(",\r")])) for r in lines.limit(HEADER_CANDIDATES).collect()]
+    names = next((c for c in cells if code_column in c), None)
+    if names is None:
         raise ValueError(f"no header line with {code_column!r} in {path}")
-    names = next(csv.reader([header["value"].rstrip(",\r")]))
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     data = spark.read.schema(schema).options(header=False, mode="PERMISSIVE").csv(path)
-    data = data.toDF(*names).filter(F.length(F.trim(F.col(f"`{code_column}`"))) == code_length)
-    return data.select(
+    placed = data.select(*data.columns, F.col("_metadata.file_path").alias("__file"), _row_place().alias("__place"))
+    code = f"c{names.index(code_column)}"
+    # one row per file
+    heads = placed.filter(F.trim(code) == code_column).groupBy("__file").agg(F.min("__place").alias("__head"))
+    below = placed.join(heads, "__file").filter(F.col("__place") > F.col("__head")).select(*data.columns).toDF(*names)
+    return below.select(
         *[
             F.expr(f"try_cast(`{n}` as double)").alias(n) if re.fullmatch(r"\d{4}", n) else F.col(f"`{n}`")
             for n in names
@@ -56,6 +58,18 @@ def read_indicator_csv(
     )
 
 
+#: Lines with the name of the code column that are looked at for the header.
+HEADER_CANDIDATES = 100
+
+
+def _row_place() -> Column:
+    """Place of a row: its file, the file's block and the row's order in it."""
+    return F.struct(
+        F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+        F.monotonically_increasing_id().alias("i"),
+    )
+
+
 def year_columns(df: DataFrame) -> list[str]:
     """Names that are four digits, in order."""
     return sorted(c for c in df.columns if re.fullmatch(r"\d{4}", c))
@@ -98,35 +112,59 @@ def source_path() -> Column:
     return F.col("_metadata.file_path")
 
 
+ENTITY_FILE = r"/([^/]+)/([^/]+)/([^/]+)\.parquet"
+
+
+def entity_files(
+    spark: SparkSession, root: str, parts: Sequence[str] = ("train", "test"), folders: Sequence[str] = ("cleaned", "clean")
+) -> DataFrame:
+    """(entity, folder, part) of every file ``<root>/<entity>/<folder>/<part>.parquet``. Lists names, opens no file.
+
+    An entity with several of ``folders`` has the first of them only.
+    """
+    glob = f"{root}/*/{{{','.join(folders)}}}/{{{','.join(parts)}}}.parquet"
+    found = spark.read.format("binaryFile").load(glob).select("path")
+    names = ["entity", "folder", "part"]
+    found = found.select(*[F.regexp_extract("path", ENTITY_FILE, i + 1).alias(n) for i, n in enumerate(names)]).distinct()
+    rank = F.array_position(F.array(*[F.lit(f) for f in folders]), F.col("folder"))
+    first = found.groupBy("entity").agg(F.min_by("folder", rank).alias("folder"))
+    return found.join(first, ["entity", "folder"])
+
+
 def read_entities(
     spark: SparkSession,
     root: str,
     parts: Sequence[str] = ("train", "test"),
     folders: Sequence[str] = ("cleaned", "clean"),
     columns: Sequence[str] | None = None,
+    skip_unreadable: bool = False,
 ) -> DataFrame:
     """All ``<root>/<entity>/<folder>/<part>.parquet`` as one table with entity and part columns.
 
-    One scan instead of a loop over folders. Files that cannot be read are
-    skipped; columns that only some entities have are NULL for the others. An
+    One scan instead of a loop over folders. A file that cannot be read is an
+    error, or with ``skip_unreadable`` is left out; ``entity_gaps`` then names what
+    is missing. Columns that only some entities have are NULL for the others. An
     entity with several of ``folders`` uses the first of them.
     """
     glob = f"{root}/*/{{{','.join(folders)}}}/{{{','.join(parts)}}}.parquet"
-    df = spark.read.options(mergeSchema=True, ignoreCorruptFiles=True).parquet(glob)
+    df = spark.read.options(mergeSchema=True, ignoreCorruptFiles=skip_unreadable).parquet(glob)
     keep = columns or df.columns
-    pattern = r"/([^/]+)/([^/]+)/([^/]+)\.parquet"
     df = df.select(
         *keep,
-        F.regexp_extract(source_path(), pattern, 1).alias("entity"),
-        F.regexp_extract(source_path(), pattern, 2).alias("__folder"),
-        F.regexp_extract(source_path(), pattern, 3).alias("part"),
-    )
-    rank = F.array_position(F.array(*[F.lit(f) for f in folders]), F.col("__folder"))
-    ranked = df.withColumn("__rank", rank)
-    best = ranked.groupBy("entity").agg(F.min("__rank").alias("__best"))
-    return (
-        ranked.join(best, "entity").filter(F.col("__rank") == F.col("__best")).drop("__folder", "__rank", "__best")
+        F.regexp_extract(source_path(), ENTITY_FILE, 1).alias("entity"),
+        F.regexp_extract(source_path(), ENTITY_FILE, 2).alias("folder"),
+        F.regexp_extract(source_path(), ENTITY_FILE, 3).alias("part"),
     )
+    return df.join(entity_files(spark, root, parts, folders), ["entity", "folder", "part"], "left_semi").drop("folder")
+
+
+def entity_gaps(files: DataFrame, table: DataFrame, parts: Sequence[str] = ("train", "test")) -> DataFrame:
+    """(entity, part, problem) of the parts that give no row: 'no file' or 'no rows' (empty or unreadable)."""
+    wanted = files.select("entity").distinct().withColumn("part", F.explode(F.array(*[F.lit(p) for p in parts])))
+    have = files.select("entity", "part", F.lit(True).alias("__file"))
+    missing = wanted.join(table.select("entity", "part").distinct(), ["entity", "part"], "left_anti")
+    problem = F.when(F.col("__file"), F.lit("no rows")).otherwise(F.lit("no file"))
+    return missing.join(have, ["entity", "part"], "left").select("entity", "part", problem.alias("problem"))
 
 
 # name of a file without its extension
@@ -151,10 +189,7 @@ def above_first_blank_row(spark: SparkSession, path: str, schema: T.StructType |
     # rows keep their order inside a block, and blocks are ordered by their start
     placed = df.select(
         *names,
-        F.struct(
-            F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"),
-            F.monotonically_increasing_id().alias("i"),
-        ).alias("__pos"),
+        _row_place().alias("__pos"),
     )
     blank = F.lit(True)
     for c in names:

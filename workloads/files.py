@@ -19,16 +19,19 @@ def _folder(spark) -> str:
 
 
 @query(with_(PRICES, prices_wide_sql("cpi", "c")) + f"""
-SELECT n_name AS "Country Name", lpad(c.nation::VARCHAR, 3, '0') AS "Country Code", {', '.join(f'round(c."{y}", 6) AS "{y}"' for y in YEARS)}
+SELECT n_name AS "Country Name", lpad(c.nation::VARCHAR, CASE WHEN c.nation < 10 THEN 2 ELSE 3 END, '0') AS "Country Code", {', '.join(f'round(c."{y}", 6) AS "{y}"' for y in YEARS)}
 FROM c JOIN nation ON c.nation = n_nationkey""")
 def indicator_csv_with_preamble(spark, sf):
     path = _folder(spark)
     names = table(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"), "n_name")
     wide = prices_wide(spark, sf, "cpi").join(names, "nation")
-    cells = F.to_csv(F.struct("n_name", F.lpad(F.col("nation").cast("string"), 3, "0"), *YEARS))
+    code = F.col("nation").cast("string")
+    code = F.when(F.col("nation") < 10, F.lpad(code, 2, "0")).otherwise(F.lpad(code, 3, "0"))  # codes of any length
+    cells = F.to_csv(F.struct("n_name", code, *YEARS))
     header = '"Country Name","Country Code",' + ",".join(f'"{y}"' for y in YEARS) + ","
     top = spark.createDataFrame([('"Data Source","Indicators",',), ("",), ('"Last Updated","2025-07-01",',), (header,)], "value string")
-    top.unionByName(wide.select(cells.alias("value"))).write.text(path)
+    # the header belongs to the file of its rows
+    top.unionByName(wide.select(cells.alias("value")).coalesce(1)).coalesce(1).write.text(path)
     return rounded(I.read_indicator_csv(spark, path), *YEARS)
 
 
@@ -48,12 +51,13 @@ def newest_dated_csv(spark, sf):
 SELECT status AS entity, CASE WHEN year < 1999 THEN 'train' ELSE 'test' END AS part, count(*) AS rows, round(sum(weight), 3) AS weight FROM hh GROUP BY ALL""")
 def entity_folders(spark, sf):
     root = _folder(spark)
-    hh = households(spark, sf).select("hhid", "consumption", "weight", "status", "year").persist()
-    for status in ("F", "O", "P"):
+    hh = households(spark, sf).select("hhid", "consumption", "weight", "status", "year")
+    # bounded by the statuses there are
+    statuses = sorted(r[0] for r in hh.select("status").distinct().collect())
+    for status in statuses:
         for part, cond in (("train", "year < 1999"), ("test", "year >= 1999")):
             own = hh.filter((F.col("status") == status) & F.expr(cond)).drop("status")
             O.write_parquet(own, f"{root}/{status}/cleaned/{part}.parquet")
-    hh.unpersist()
     out = I.read_entities(spark, root)
     return out.groupBy("entity", "part").agg(F.count(F.lit(1)).alias("rows"), r6(F.sum("weight"), 3).alias("weight"))
 

@@ -51,14 +51,15 @@ def inverse_one_hot(spark, sf):
 
 
 @query("""
-WITH q AS (SELECT d.doc_id, lang, source, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+WITH q AS (SELECT d.doc_id, lang, source, quality, n_chars FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
 SELECT doc_id, dense_rank() OVER (ORDER BY lang)::INT - 1 AS lang, dense_rank() OVER (ORDER BY source)::INT - 1 AS source,
+  dense_rank() OVER (ORDER BY n_chars)::INT - 1 AS n_chars,
   CASE WHEN quality IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY quality NULLS LAST)::INT - 1 END AS quality FROM q""")
 def category_codes(spark, sf):
-    joined = table(spark, sf, "documents").select("doc_id", "lang", "source").join(
+    joined = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars").join(
         table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left"
     )
-    return E.category_codes(joined, ["lang", "source", "quality"])
+    return E.category_codes(joined, ["lang", "source", "n_chars", "quality"])
 
 
 @query(with_(HH) + f"""
@@ -83,8 +84,18 @@ SELECT 'district' AS "column", count(DISTINCT district) AS distinct_values FROM
 UNION ALL SELECT 'area', count(DISTINCT area) FROM hh UNION ALL SELECT 'village', count(DISTINCT village) FROM hh
 UNION ALL SELECT 'status', count(DISTINCT status) FROM hh""")
 def column_cardinality(spark, sf):
-    out = Q.cardinalities(households(spark, sf), ["district", "stratum", "area", "village", "status", "hh_wgt"])
-    return out.orderBy(F.desc("distinct_values"), "column").limit(6).filter(F.col("column") != "hh_wgt")
+    return Q.cardinalities(households(spark, sf), ["district", "stratum", "area", "village", "status"])
+
+
+@query(with_(HH) + """
+SELECT * FROM (SELECT 'district' AS "column", count(DISTINCT district) AS distinct_values FROM hh
+UNION ALL SELECT 'stratum', count(DISTINCT stratum) FROM hh UNION ALL SELECT 'area', count(DISTINCT area) FROM hh
+UNION ALL SELECT 'village', count(DISTINCT village) FROM hh UNION ALL SELECT 'status', count(DISTINCT status) FROM hh
+UNION ALL SELECT 'year', count(DISTINCT year) FROM hh UNION ALL SELECT 'hh_size', count(DISTINCT hh_size) FROM hh)
+ORDER BY distinct_values DESC, "column" LIMIT 5""")
+def top_cardinalities(spark, sf):
+    columns = ["district", "stratum", "area", "village", "status", "year", "hh_size"]
+    return Q.cardinalities(households(spark, sf), columns).orderBy(F.desc("distinct_values"), "column").limit(5)
 
 
 @query("""
@@ -305,9 +316,11 @@ def stratified_fold_sizes(spark, sf):
     return out.groupBy("stratum", "fold").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query(with_(HH) + "SELECT district, 1::BIGINT AS folds, count(*) AS rows FROM hh GROUP BY district")
+@query(with_(HH) + """
+SELECT CASE WHEN district <> 'NATION_3' THEN district END AS district, 1::BIGINT AS folds, count(*) AS rows FROM hh GROUP BY ALL""")
 def group_folds(spark, sf):
-    out = S.group_folds(households(spark, sf), "district", 5)
+    hh = households(spark, sf).withColumn("district", F.when(F.col("district") != "NATION_3", F.col("district")))
+    out = S.group_folds(hh, "district", 5)
     # no group spans two folds
     per = out.groupBy("district", "fold").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("district").agg(F.count(F.lit(1)).alias("folds"), F.sum("n").alias("rows"))
