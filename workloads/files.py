@@ -30,8 +30,9 @@ def indicator_csv_with_preamble(spark, sf):
     cells = F.to_csv(F.struct("n_name", code, *YEARS))
     header = '"Country Name","Country Code",' + ",".join(f'"{y}"' for y in YEARS) + ","
     top = spark.createDataFrame([('"Data Source","Indicators",',), ("",), ('"Last Updated","2025-07-01",',), (header,)], "value string")
-    # the header belongs to the file of its rows
-    top.unionByName(wide.select(cells.alias("value")).coalesce(1)).coalesce(1).write.text(path)
+    # one file: the header belongs to the file of its rows
+    rows = top.withColumn("o", F.monotonically_increasing_id() - 2**40).unionByName(wide.select(cells.alias("value"), F.lit(0).cast("long").alias("o")))
+    rows.coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
     return rounded(I.read_indicator_csv(spark, path), *YEARS)
 
 

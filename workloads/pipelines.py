@@ -87,7 +87,7 @@ f AS (SELECT s.entity, coalesce(CASE WHEN c_mktsegment = 'BUILDING' THEN abs(c_a
   coalesce(CASE WHEN c_mktsegment = 'BUILDING' THEN abs(c_acctbal) / 2048 + 1 END, c."2000" / {_LERP} / pb) AS f21
   FROM surveys s LEFT JOIN c ON s.entity = c.entity LEFT JOIN p ON s.entity = p.entity JOIN customer ON c_custkey = s.entity),
 m AS (SELECT village AS entity,
-  coalesce(sum(weight) FILTER (consumption * (f17 / f21) < 2.15), 0) / sum(weight) AS r17, sum(weight) FILTER (consumption < 3.0) AS r21w, sum(weight) AS w,
+  CASE WHEN max(f17 / f21) IS NOT NULL THEN coalesce(sum(weight) FILTER (consumption * (f17 / f21) < 2.15), 0) / sum(weight) END AS r17, sum(weight) FILTER (consumption < 3.0) AS r21w, sum(weight) AS w,
   coalesce(sum(greatest(3.0 - consumption, 0) * weight), 0) / (3.0 * sum(weight)) AS g21 FROM hh LEFT JOIN f ON f.entity = village GROUP BY village)
 """
 
