@@ -32,6 +32,21 @@ def _ascii_bases() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+@lru_cache(maxsize=None)
+def _ascii_folds() -> tuple[str, str]:
+    """Characters that fold to one ASCII character, and that character; accents that stand alone fold to nothing."""
+    source, target, gone = [], [], []
+    for point in range(0x80, 0x3000):
+        plain = unicodedata.normalize("NFKD", chr(point)).translate(_combining_marks())
+        if not plain:
+            gone.append(chr(point))
+        elif len(plain) == 1 and plain < "\x80":
+            source.append(chr(point))
+            target.append(plain)
+    # what has no counterpart in the second text is removed
+    return "".join(source + gone), "".join(target)
+
+
 @F.pandas_udf(T.StringType())
 def _fold(s: pd.Series) -> pd.Series:
     marks = _combining_marks()
@@ -47,12 +62,14 @@ def _is_ascii(text: Column) -> Column:
 def normalize_text(c: str | Column) -> Column:
     """Lower case without accents and outer white space; NULL stays NULL.
 
-    Text with a character outside ASCII goes through Python in Arrow batches, for
-    the Unicode decomposition; plain text stays in the JVM.
+    Accented Latin letters and the like fold by a character table in the JVM. Only
+    text with other characters outside ASCII goes through Python in Arrow batches,
+    for the Unicode decomposition.
     """
     text = col(c)
+    plain = F.translate(text, *_ascii_folds())
     return F.coalesce(
-        F.when(_is_ascii(text), F.lower(strip_space(text))), _fold(F.when(~_is_ascii(text), text))
+        F.when(_is_ascii(plain), F.lower(strip_space(plain))), _fold(F.when(~_is_ascii(plain), text))
     )
 
 

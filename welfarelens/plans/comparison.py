@@ -47,9 +47,12 @@ def compare_with_oracle(
 def subnational_comparison(table: DataFrame, features: str, national: str) -> DataFrame:
     """Rows of the parts of a country beside the national row, most costly first.
 
-    Columns of the national row are prefixed with ``national_``.
+    Columns of the national row are prefixed with ``national_``. More than one national row is an error, so the
+    cross join adds no rows.
     """
     whole = table.filter(F.col(features) == national)
+    if whole.limit(2).count() > 1:
+        raise ValueError(f"more than one row has {features} = {national!r}")
     parts = table.filter(F.col(features) != national)
     numbers = [c for c in table.columns if c != features]
     side = whole.select(*[F.col(c).alias(f"national_{c}") for c in numbers])

@@ -55,6 +55,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def held_small(df: DataFrame) -> DataFrame:
+    """A table with a row per grid point or run, computed once and kept in the plan. Not for tables that grow with data."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give this package to the Python workers, which may not find it by themselves. Done once per session."""
     sc = spark.sparkContext

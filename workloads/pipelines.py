@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from welfarelens.operators import policy as P
-from welfarelens.session import cut_lineage
+from welfarelens.session import held_small
 from welfarelens.plans import comparison as C, country_panel as N, predictors as M, survey as Y
 from workloads.country_panel import _year_case
 from workloads.policies import BUDGETS, _UBI, _interp_sql
@@ -200,7 +200,7 @@ def oracle_cost_ratios(spark, sf):
             "oracle_gap": P.oracle_gap(hh, "consumption", "weight", LINE, BUDGETS).withColumn("run", F.lit(1)),
         }
     )
-    out = C.compare_with_oracle(cut_lineage(runs), "oracle_gap", "post_transfer_poverty_gap")
+    out = C.compare_with_oracle(held_small(runs), "oracle_gap", "post_transfer_poverty_gap")
     return rounded(rounded(out, "post_transfer_poverty_gap"), "ratio", digits=5)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from welfarelens.functions.learning import pinball_loss
 from welfarelens.operators import curves as C, dedup as U, policy as P, regress as R
-from welfarelens.session import cut_lineage
+from welfarelens.session import held_small
 from workloads.registry import query
 from workloads.tables import HH, LINE, households, r6, rounded, table, with_
 
@@ -166,7 +166,7 @@ def national_runs(spark, sf):
     ubi = P.uniform_transfer(hh, "consumption", "weight", LINE, BUDGETS)
     gap = P.oracle_gap(hh, "consumption", "weight", LINE, BUDGETS).drop("floor")
     rate = P.oracle_rate(hh, "consumption", "weight", LINE, TOLERANCES)
-    return cut_lineage(U.union_labelled({"ubi": ubi, "oracle_gap": gap, "oracle_rate": rate}, "policy_type"))
+    return held_small(U.union_labelled({"ubi": ubi, "oracle_gap": gap, "oracle_rate": rate}, "policy_type"))
 
 
 _RUNS = f"""v AS (SELECT consumption AS y, sum(weight) AS w FROM hh WHERE consumption < 2.15 GROUP BY 1),
