@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from welfarelens.session import shuffle_width
+from welfarelens.session import shuffle_width, written_once
 
 INF = float("inf")
 
@@ -72,8 +72,9 @@ def running_totals(
         known = known & ~F.isnan(F.col(value).cast("double"))
     df = named_groups(df, by).filter(known)
     place = order_key if order_key is not None else F.col(value)
-    cuts = range_cuts(df.select(place.alias("__place")), "__place", buckets)
-    merged = df.groupBy(*by, value).agg(*[c.alias(n) for n, c in sums.items()])
+    # the input is read once; cuts, bucket sums and running sums come from the merged values
+    merged = written_once(df.groupBy(*by, value).agg(*[c.alias(n) for n, c in sums.items()]))
+    cuts = range_cuts(merged.select(place.alias("__place")), "__place", buckets)
     merged = interval_index(merged.withColumn("__place", place), "__place", cuts, "__bucket").drop("__place")
 
     totals = merged.groupBy(*by, "__bucket").agg(*[F.sum(n).alias(f"__t_{n}") for n in sums])

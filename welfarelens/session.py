@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written_once(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, read by any number of later steps."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def held_small(df: DataFrame) -> DataFrame:
     """A table with a row per grid point or run, computed once and kept in the plan. Not for tables that grow with data."""
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
