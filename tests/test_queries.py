@@ -4,9 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from workloads import check
-
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+from workloads.registry import QUERIES, SQL
 # these train models for many seconds; the operators behind them have their own tests
 SLOW = {"gbt_cv", "logit_cv", "pca_regression", "model_grid", "area_effects"}
 

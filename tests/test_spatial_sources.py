@@ -175,6 +175,17 @@ def test_tagged_and_blank_row(spark, tmp_path):
     assert I.above_first_blank_row(spark, q, "Economy string, Code string").count() == 1
 
 
+def test_join_by_position(spark, tmp_path):
+    rows = spark.range(2000).repartitionByRange(5, "id").sortWithinPartitions("id")
+    rows.write.option("header", True).csv(f"{tmp_path}/ids")
+    spark.range(2000).coalesce(1).selectExpr("id * 3 AS v").write.option("header", True).csv(f"{tmp_path}/values")
+    left, right = I.read_with_position(spark, f"{tmp_path}/ids", "id long"), I.read_with_position(spark, f"{tmp_path}/values", "v long")
+    got = I.join_by_position(left, right)
+    assert got.count() == 2000 and got.filter("v != id * 3 OR position != id").isEmpty()
+    with pytest.raises(ValueError, match="2000 rows"):
+        I.join_by_position(left, right.filter("v > 0"))
+
+
 def test_results_grow_with_new_columns(spark, tmp_path):
     path = f"{tmp_path}/results"
     O.append_result(spark.createDataFrame([(1.0,)], "cost double"), path, policy_type="ubi")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 RTOL, ATOL = 1e-5, 1e-8
@@ -301,6 +302,30 @@ def split_integrity(full: DataFrame, *parts: DataFrame) -> bool:
 # ---------------------------------------------------------------- equivalent columns
 
 
+#: Rows that may refute a relation between two columns before all rows are measured.
+REFUTING_ROWS = 256
+
+
+def _possible(rows, a: str, b: str, both_numeric: bool, both_few: bool, tolerance: float, total: int) -> bool:
+    """Whether some relation of ``equivalent_columns`` can still hold, given a few of the ``total`` rows."""
+    valid = (rows[a].notna() & rows[b].notna()).to_numpy()
+    x, y = rows[a].to_numpy()[valid], rows[b].to_numpy()[valid]
+    if both_numeric:
+        x, y = x.astype(float), y.astype(float)
+        if (np.abs(x - y) <= tolerance + tolerance * np.abs(y)).all():
+            return True
+        zero = (x == 0) | (y == 0)
+        ratio = y[~zero] / x[~zero]
+        # two ratios this far apart alone give all rows' ratios a deviation above the tolerance
+        spread = (ratio.max() - ratio.min()) ** 2 / (2 * max(total - 1, 1)) if len(ratio) else 0.0
+        if (x[zero] == y[zero]).all() and spread < tolerance**2:
+            return True
+    if both_few:
+        together = len(set(zip(x.tolist(), y.tolist())))
+        return together == len(set(x.tolist())) == len(set(y.tolist()))
+    return False
+
+
 def equivalent_columns(
     df: DataFrame,
     numeric: Sequence[str],
@@ -315,7 +340,8 @@ def equivalent_columns(
     ``proportional`` (zeros match, more than 10 rows without a zero, ratio b/a
     constant) and ``one_to_one`` (at most ``max_categories`` values each). A pair is
     reported once, under the first that holds. Columns named ``*_missing`` or ``*_m``
-    are left out. Pairs are measured ``batch`` to a scan, each by plain aggregates.
+    are left out. A few rows refute nearly every pair for certain; the pairs they
+    leave are measured ``batch`` to a scan, each by plain aggregates.
     """
     spark = df.sparkSession
     usable = [c for c in [*numeric, *categorical] if not c.endswith(("_missing", "_m"))]
@@ -324,6 +350,7 @@ def equivalent_columns(
     ends = df.agg(
         *[F.min(c).eqNullSafe(F.max(c)).alias(f"k{i}") for i, c in enumerate(usable)],
         *[F.approx_count_distinct(c, 0.02).alias(f"d{i}") for i, c in enumerate(usable)],
+        F.count(F.lit(1)).alias("rows"),
     ).first()
     found: list[tuple] = []
     varying, few = [], set()
@@ -344,6 +371,9 @@ def equivalent_columns(
         for a, b in itertools.combinations(order, 2)
         if (a, b) not in seen and a in few and b in few
     ]
+    if pairs:
+        few_rows = df.select(*dict.fromkeys(c for a, b, _ in pairs for c in (a, b))).limit(REFUTING_ROWS).toPandas()
+        pairs = [p for p in pairs if _possible(few_rows, *p, p[0] in few and p[1] in few, tolerance, ends["rows"])]
     for start in range(0, len(pairs), batch):
         part = pairs[start : start + batch]
         aggs, sets = [], []

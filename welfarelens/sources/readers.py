@@ -6,7 +6,7 @@ import csv
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -202,6 +202,31 @@ def above_first_blank_row(spark: SparkSession, path: str, schema: T.StructType |
     )
 
 
+def read_with_position(spark: SparkSession, path: str, schema: T.StructType | str, position: str = "position") -> DataFrame:
+    """CSV rows with their 0-based place in the text, so that files without an id can be joined row by row.
+
+    A folder of sorted part files counts as one text in the order of the file names. Rows are counted per block of a
+    file, and only the block counts are summed up in one task.
+    """
+    df = spark.read.schema(schema).options(header=True).csv(path)
+    names = df.columns
+    placed = df.select(*names, _row_place().alias("__p")).select(*names, "__p.f", "__p.b", "__p.i")
+    counts = placed.groupBy("f", "b").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("f", "b")) - F.col("__n")
+    starts = counts.select("f", "b", before.alias("__start"))
+    number = F.row_number().over(Window.partitionBy("f", "b").orderBy("i")) - 1
+    numbered = placed.withColumn("__number", number).join(starts, ["f", "b"])
+    return numbered.select(*names, (F.col("__start") + F.col("__number")).alias(position))
+
+
+def join_by_position(left: DataFrame, right: DataFrame, position: str = "position") -> DataFrame:
+    """Rows at the same place of two texts side by side; an error if the texts differ in length."""
+    sizes = [t.agg(F.count(F.lit(1))).first()[0] for t in (left, right)]
+    if sizes[0] != sizes[1]:
+        raise ValueError(f"{sizes[0]} rows on the left, {sizes[1]} on the right")
+    return left.join(right, position)
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Result table grown by ``append_result``: columns matched by name, missing ones NULL."""
     return spark.read.options(mergeSchema=True).parquet(path)

@@ -120,3 +120,24 @@ def covariate_projection(spark, sf):
         [("wealth", ["assets", "consumption"]), ("need", ["urgent"])], "covariate string, columns array<string>"
     )
     return E.select_covariates(hh, meta, ["wealth", "need"], ["hhid"], F.col("district") == "NATION_3")
+
+
+@query("""SELECT s_suppkey AS code, s_name AS name, s_acctbal AS balance FROM supplier""")
+def join_by_position(spark, sf):
+    one, two = _folder(spark), _folder(spark)
+    s = table(spark, sf, "supplier")
+    ordered = s.repartitionByRange(3, "s_suppkey").sortWithinPartitions("s_suppkey")
+    ordered.select("s_suppkey", "s_name").write.option("header", True).csv(one)
+    s.orderBy("s_suppkey").select("s_acctbal").write.option("header", True).csv(two)
+    left = I.read_with_position(spark, one, "code long, name string")
+    return I.join_by_position(left, I.read_with_position(spark, two, "balance double")).select("code", "name", "balance")
+
+
+@query(with_(PRICES, prices_wide_sql("cpi", "c")) + f"""
+SELECT nation, {', '.join(f'round("{y}", 6) AS "{y}"' for y in YEARS)} FROM c""")
+def typed_csv_with_year_labels(spark, sf):
+    path = _folder(spark)
+    wide = prices_wide(spark, sf, "cpi")
+    wide.toDF("nation", *[f"{y} [YR{y}]" for y in YEARS]).write.option("header", True).csv(path)
+    schema = "nation long, " + ", ".join(f"`{y} [YR{y}]` string" for y in YEARS)
+    return rounded(I.plain_year_headers(I.read_csv(spark, path, schema)), *YEARS)
