@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from welfarelens.llm.token_files import text_batches
+from welfarelens.llm.kept import word_hash
+from welfarelens.llm.token_files import text_batches, text_parts
 from welfarelens.session import ship_package
 
 #: Positions that count; the words between them may differ. Together they hit 12 words with any 2 of most choices of
@@ -20,8 +20,8 @@ MASKS = [(0, 1, 2, 5, 6), (0, 2, 3, 4, 5), (0, 1, 2, 7, 8), (0, 1, 4, 6, 8)]
 LEAST_WORDS, LEAST_SHARE = 10, 0.8
 #: Benchmark text is searched in blocks of about so many bytes, each of which a task holds in memory.
 BLOCK_BYTES = 8 << 20
-#: Words hashed at once and words whose hashes a worker keeps.
-AT_ONCE, KEPT_WORDS = 1 << 18, 1_000_000
+#: Words searched at once.
+AT_ONCE = 1 << 17
 FILTER_BITS = 22
 
 _ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -35,20 +35,8 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_ALNUM).split()
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        self[word] = h
-        return h
-
-
-_HASHES = WordHashes()
-
-
 def hashed(texts: list[list[bytes]]) -> np.ndarray:
-    if len(_HASHES) > KEPT_WORDS:
-        _HASHES.clear()
-    get = _HASHES.__getitem__
+    get = word_hash()
     return np.fromiter((get(w) for t in texts for w in t), np.uint64, sum(map(len, texts)))
 
 
@@ -178,7 +166,9 @@ def _contaminated(block, text: Column) -> Column:
     @F.pandas_udf(T.BooleanType())
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([bool(o) for o in block.value.overlaps(texts.tolist())], dtype=bool)
+            texts = texts.tolist()
+            found = [bool(o) for a, b in text_parts(texts) for o in block.value.overlaps(texts[a:b])]
+            yield pd.Series(found, dtype=bool)
 
     return found(text)
 

@@ -21,8 +21,10 @@ import re
 import string
 import sys
 
+from welfarelens.llm.kept import at_work
+
 #: Pieces kept per worker; beyond that the memory starts anew, which changes no result.
-KEPT_PIECES = 700_000
+KEPT_PIECES = 300_000
 #: Longer pieces are not kept.
 KEPT_LENGTH = 64
 
@@ -124,9 +126,10 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers; a null is an empty text."""
-        for kept in (self.bare, self.after):
-            if len(kept) > KEPT_PIECES:
-                kept.clear()
+        at_work("pieces", _ENCODERS.clear)
+        if len(self.bare) + len(self.after) > KEPT_PIECES:
+            self.bare.clear()
+            self.after.clear()
         return [self._encode(t or "") for t in texts]
 
 

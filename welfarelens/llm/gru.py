@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 
+from welfarelens.llm.kept import at_work
+
 #: Words of a window and words from one window's start to the next.
 WINDOW, STRIDE = 32, 24
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 #: Byte n-grams of these sizes, hashed into so many buckets.
 GRAMS, BUCKET_BITS = (3, 4, 5), 15
 #: Windows computed at once, and words whose projections a worker keeps.
-BLOCK, KEPT_WORDS = 2048, 300_000
+BLOCK, KEPT_WORDS = 2048, 120_000
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -194,8 +196,12 @@ class Network:
         out, k = self.project(x), HIDDEN
         return np.concatenate([out[d][:, g * k : (g + 1) * k] * (0.5 if g < 2 else 1) for g in range(3) for d in "fb"], axis=1).astype(np.float32)
 
+    def forget(self) -> None:
+        self.known, self.table = {}, np.zeros((0, 6 * HIDDEN), np.float32)
+
     def rows_of(self, words: set[bytes]) -> dict[bytes, int]:
         """Rows of ``table`` for ``words``. Row 0 is no word. Projections are kept for later batches."""
+        at_work("toxicity", self.forget)
         if len(self.known) > KEPT_WORDS or not len(self.table):
             self.known, self.table = {}, np.zeros((1, 6 * HIDDEN), np.float32)
         new = [w for w in words if w not in self.known]
@@ -277,6 +283,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 10, batch: int = 1
     gram_counts = np.diff(np.append(firsts, len(grams)))
     lengths = np.array([len(s) for s in split], np.int64)
     flat = np.fromiter((different[w] for s in split for w in s), np.int32, int(lengths.sum()))
+    del split
     document, starts = window_starts(lengths)
     pad = len(different)
     windows = window_words(flat, lengths, document, starts, pad)

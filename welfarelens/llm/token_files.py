@@ -24,7 +24,8 @@ from welfarelens.session import ship_package
 
 LAYOUT = 1
 HEADER = 4
-BATCH_BYTES = 1 << 22
+#: Text taken up at once, and rows.
+BATCH_BYTES, BATCH_ROWS = 1 << 21, 1000
 
 MANIFEST = "part long, file string, docs long, tokens long"
 
@@ -43,16 +44,23 @@ def _filesystem(folder: str):
 def text_batches(batches, limit: int = BATCH_BYTES):
     """(ids, texts) with few MB of text each, however long single texts are."""
     for batch in batches:
-        ids, texts, size = [], [], 0
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids.append(i)
-            texts.append(t)
-            size += len(t or "")
-            if size >= limit:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            rows = batch.slice(at, BATCH_ROWS)
+            ids, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+            for lo, hi in text_parts(texts, limit):
+                yield ids[lo:hi], texts[lo:hi]
+
+
+def text_parts(texts: list, limit: int = BATCH_BYTES):
+    """(first, end) of runs of texts that hold about ``limit`` characters, or a single longer text."""
+    first, size = 0, 0
+    for n, t in enumerate(texts):
+        size += len(t or "")
+        if size >= limit:
+            yield first, n + 1
+            first, size = n + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None) -> DataFrame:

@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from welfarelens.llm import gru
 from welfarelens.llm.labelled import labelled_sample
+from welfarelens.llm.token_files import text_parts
 from welfarelens.session import ship_package
 
 #: Texts scored at once hold so many characters, except a longer single one.
-SCORED_CHARS = 1 << 22
+SCORED_CHARS = 1 << 21
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = 1200, negatives: int = 2400, max_chars: int = 8000) -> gru.Network:
+def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = 1000, negatives: int = 2000, max_chars: int = 8000) -> gru.Network:
     """Fit on a bounded sample of labelled documents: see ``labelled_sample`` and ``gru.train``.
 
     The sample, at most ``positives + negatives`` texts of ``max_chars`` characters, is all the driver receives.
@@ -32,20 +33,12 @@ def toxicity_score(model: gru.Network, text: Column, spark) -> Column:
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    def parts(texts: list) -> Iterator[list]:
-        part, size = [], 0
-        for t in texts:
-            part.append(t)
-            size += len(t or "")
-            if size >= SCORED_CHARS:
-                yield part
-                part, size = [], 0
-        yield part
-
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(np.concatenate([shared.value.scores(p) for p in parts(texts.tolist())]))
+            texts = texts.tolist()
+            scores = [shared.value.scores(texts[a:b]) for a, b in text_parts(texts, SCORED_CHARS)]
+            yield pd.Series(np.concatenate([np.empty(0), *scores]))
 
     return score(text.cast("string"))
 
