@@ -79,3 +79,27 @@ def test_graph_search_finds_the_nearest():
     assert (order[:, 0] == true.argmin(axis=1)).mean() > 0.97
     sizes = np.bincount(true.argmin(axis=1), minlength=60)
     assert lists.ratio >= 1 and sizes.max() < 40
+
+
+@pytest.mark.parametrize("noise", [1e-3, 3e-5])
+def test_near_copies(spark, noise):
+    rng = np.random.default_rng(2)
+    one = rng.standard_normal(64)
+    rows = [(i, (one + noise * rng.standard_normal(64)).astype(np.float32).tolist()) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = found(neighbours.nearest_neighbours(frame, F.col("vec_id") % 50 == 0).collect())
+    assert recall(got, slow(rows)) >= 0.9
+
+
+def test_best_of_near_and_scaled_copies():
+    rng = np.random.default_rng(3)
+    one = rng.standard_normal(64)
+    near = (one + 1e-4 * rng.standard_normal((3000, 64))).astype(np.float32)
+    who, at, score = neighbours.best_of(near[:20], near, np.arange(3000), 6)
+    for i in range(20):
+        every = neighbours.exact(np.repeat(near[i : i + 1], 3000, axis=0), near)
+        assert at[who == i].tolist() == np.lexsort((np.arange(3000), -every))[:6].tolist()
+    scaled = (np.arange(1, 3001)[:, None] * np.arange(1, 9)[None]).astype(np.float32)
+    names = rng.permutation(3000)
+    who, at, score = neighbours.best_of(scaled[:20], scaled, names, 6)
+    assert all(names[at[who == i]].tolist() == list(range(6)) for i in range(20))

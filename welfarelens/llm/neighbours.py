@@ -29,6 +29,8 @@ REACHED = 0.97
 #: Vectors and queries one task holds together.
 TASK_VECTORS, TASK_QUERIES = 8192, 8192
 BATCH = 1024
+#: Pairs of a query and a vector that are scored at once.
+PAIRS = 1 << 16
 
 
 @dataclass
@@ -61,7 +63,7 @@ class Lists:
             links = self.graph[at]
             new = ~np.isfinite(far[rows[:, None], links])
             r, c = np.repeat(rows, links.shape[1])[new.ravel()], links.ravel()[new.ravel()]
-            d = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", vectors[r], self.centroids[c]), 1e-12))
+            d = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", vectors[r], self.centroids[c]), 1e-24))
             far[r, c] = d
             todo[r, c] = d
         return far, np.argsort(far, axis=1)
@@ -81,14 +83,17 @@ class Lists:
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of vectors of length one."""
-    return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 1e-12)).astype(np.float32)
+    """Euclidean distances of vectors of length one, worked out in double precision for groups of near copies."""
+    out = np.empty((len(a), len(b)), np.float32)
+    for n in range(0, len(a), BATCH):
+        out[n : n + BATCH] = np.sqrt(np.maximum(2 - 2 * (a[n : n + BATCH] @ b.T), 1e-24))
+    return out
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     vectors = vectors.astype(np.float64)
     vectors /= np.abs(vectors).max(axis=1, keepdims=True)
-    return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
 def fit_lists(sample: np.ndarray, count: int, rounds: int = 10, seed: int = 0) -> Lists:
@@ -158,6 +163,47 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
 
 
+def least_names(v: np.ndarray, names: np.ndarray, wanted: int) -> np.ndarray:
+    """Places of the ``wanted`` smallest names of each direction: positive multiples of a vector have equal cosines."""
+    direction = v.astype(np.float64)
+    direction /= np.abs(direction).max(axis=1, keepdims=True)
+    same = np.unique(direction + 0.0, axis=0, return_inverse=True)[1].ravel()
+    order = np.lexsort((names, same))
+    number = np.arange(len(order)) - np.searchsorted(same[order], same[order])
+    return np.sort(order[number < wanted])
+
+
+def best_of(q: np.ndarray, v: np.ndarray, names: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place, score) of the ``wanted`` vectors with the greatest exact cosine of each query, by score and name.
+
+    A product of unit vectors finds whatever can be among them: its error is far below the slack, so all that is within
+    the slack of the last place is scored exactly, in parts of bounded size.
+    """
+    kept = least_names(v, names, wanted)
+    v, names = v[kept], names[kept]
+    uv, uq = unit(v), unit(q)
+    take = min(wanted, len(v))
+    slack = 8 * (v.shape[1] + 8) * np.finfo(np.float64).eps
+    out: list[tuple] = []
+    for a in range(0, len(q), BATCH // 2):
+        alike = uq[a : a + BATCH // 2] @ uv.T
+        last = np.partition(alike, len(v) - take, axis=1)[:, len(v) - take]
+        near = alike >= last[:, None] - slack
+        ends = np.cumsum(near.sum(axis=1))
+        lo = 0
+        while lo < len(near):
+            begin = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, begin + PAIRS, "right")))
+            who, at = np.nonzero(near[lo:hi])
+            score = exact(q[a + lo + who], v[at])
+            order = np.lexsort((names[at], -score, who))
+            number = np.arange(len(order)) - np.searchsorted(who, who[order])
+            first = order[number < wanted]
+            out.append((a + lo + who[first], kept[at[first]], score[first]))
+            lo = hi
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def nearest_neighbours(vectors: DataFrame, is_query, nearest: int = 5) -> DataFrame:
     """(``query_id``, ``rank``, ``vec_id``, ``score``): the nearest rows found for each row that ``is_query`` selects.
 
@@ -224,16 +270,8 @@ def nearest_neighbours(vectors: DataFrame, is_query, nearest: int = 5) -> DataFr
         if lists.num_rows and asking.num_rows:
             v, q = matrix(lists["v_cuts_vector"]), matrix(asking["q_cuts_vector"])
             names, askers = lists["v_cuts_item"].to_numpy(), asking["q_cuts_item"].to_numpy()
-            uv, uq = unit(v), unit(q)
-            take = min(nearest + 4, len(v))
-            for a in range(0, len(q), BATCH):
-                alike = uq[a : a + BATCH] @ uv.T
-                top = np.argpartition(-alike, take - 1, axis=1)[:, :take]
-                who = np.repeat(np.arange(a, a + len(top)), take)
-                score = exact(q[who], v[top.ravel()])
-                order = np.lexsort((names[top.ravel()], -score, who))
-                first = order.reshape(len(top), take)[:, : nearest + 1].ravel()
-                out.append((askers[who[first]], names[top.ravel()[first]], score[first]))
+            who, at, score = best_of(q, v, names, nearest + 1)
+            out.append((askers[who], names[at], score))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["asker", "found", "score"])
 
