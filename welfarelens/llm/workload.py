@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from welfarelens.llm import chat, decontamination, neighbours, packing, passages, quality, sharding, simhash, token_files, toxicity
+from welfarelens.llm import chat, decontamination, neighbours, packing, passages, quality, resample, sharding, simhash, token_files, toxicity
 from welfarelens.llm.labelled import held_out
 from welfarelens.llm.tables import new_folder
 
@@ -127,3 +127,11 @@ def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
 def op10_passages(spark: SparkSession, sf: str) -> DataFrame:
     """Every passage of a document that repeats one of an earlier document."""
     return passages.repeated_passages(table(spark, sf, "documents"))
+
+
+@query
+def op12_resample(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's importance weight for the benchmark's word distribution, its noisy score and rank if drawn."""
+    return resample.importance_resample(
+        table(spark, sf, "documents"), table(spark, sf, "benchmark"), buckets=10_000, longest=1, percent=10, least_words=20, seed=2024
+    )
