@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from welfarelens.llm import chat, decontamination, neighbours, packing, passages, quality, resample, sharding, simhash, token_files, toxicity
+from welfarelens.llm import alignment, chat, decontamination, neighbours, packing, passages, quality, resample, sharding, simhash, token_files, toxicity
 from welfarelens.llm.labelled import held_out
 from welfarelens.llm.tables import new_folder
 
@@ -135,3 +135,11 @@ def op12_resample(spark: SparkSession, sf: str) -> DataFrame:
     return resample.importance_resample(
         table(spark, sf, "documents"), table(spark, sf, "benchmark"), buckets=10_000, longest=1, percent=10, least_words=20, seed=2024
     )
+
+
+@query
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's alignment of two tokenizers and how common its linked pairs of ids are."""
+    return alignment.align_tokens(
+        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
