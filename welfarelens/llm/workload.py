@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from welfarelens.llm import alignment, chat, decontamination, neighbours, packing, passages, quality, resample, sharding, simhash, token_files, toxicity
+from welfarelens.llm import alignment, chat, decontamination, jaccard, neighbours, packing, passages, quality, resample, sharding, simhash, token_files, toxicity
 from welfarelens.llm.labelled import held_out
 from welfarelens.llm.tables import new_folder
 
@@ -129,6 +129,12 @@ def op10_passages(spark: SparkSession, sf: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf, "documents"))
 
 
+@query
+def op11_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's component among documents whose shingle sets are similar."""
+    return jaccard.jaccard_components(table(spark, sf, "documents"), shingle=3, percent=90)
+
+
 @query
 def op12_resample(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's importance weight for the benchmark's word distribution, its noisy score and rank if drawn."""
