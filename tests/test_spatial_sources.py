@@ -1,10 +1,11 @@
+import math
 import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from welfarelens.operators import spatial as G
+from welfarelens.operators import skew, spatial as G
 from welfarelens.sources import readers as I, writers as O
 
 
@@ -43,6 +44,54 @@ def test_nearest_against_brute_force(spark, limit):
     assert len(got) == len(brute_nearest(left, right, limit))
 
 
+@pytest.mark.parametrize("limit", [None, 0.3])
+def test_nearest_in_a_tree_that_is_not_broadcast(spark, monkeypatch, limit):
+    monkeypatch.setattr(G, "BROADCAST_LOCATIONS", 10)
+    monkeypatch.setattr(G, "BROADCAST_LEVEL", 2)
+    monkeypatch.setattr(skew, "CROWD", 5)
+    left, right = cloud(5, 300), cloud(6, 400)
+    got = G.nearest_locations(spark.createDataFrame(left, "x double, y double"), spark.createDataFrame(right, "x double, y double"), limit, leaf=4).collect()
+    assert {(r["lx"], r["ly"], r["rx"], r["ry"]) for r in got} == brute_nearest(left, right, limit)
+    assert len(got) == len(brute_nearest(left, right, limit))
+
+
+def rows_by_task(spark, df):
+    """Rows of every task of the last stage, without the engine's own balancing."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_few_locations_and_a_crowded_cell_spread_over_tasks(spark, monkeypatch):
+    few = spark.createDataFrame([(0.0, 0.0), (5.0, 5.0), (9.0, 0.0)], "x double, y double")
+    sites = spark.range(200_000, numPartitions=8).select((F.rand(1) * 9).alias("x"), (F.rand(2) * 9).alias("y"))
+    sizes = rows_by_task(spark, G.nearest_locations(sites, few))
+    assert sum(sizes) == 200_000 and len(sizes) == 4 and max(sizes) < 1.2 * 50_000
+    # many locations, not broadcast, and all sites in one cell
+    monkeypatch.setattr(G, "BROADCAST_LOCATIONS", 100)
+    monkeypatch.setattr(skew, "CROWD", 1000)
+    grid = spark.range(3000).select((F.col("id") % 60).cast("double").alias("x"), F.floor(F.col("id") / 60).cast("double").alias("y"))
+    tight = spark.range(40_000, numPartitions=8).select((7.2 + F.rand(3) / 100).alias("x"), (7.2 + F.rand(4) / 100).alias("y"))
+    found = G.nearest_locations(tight, grid)
+    assert found.filter("rx = 7 and ry = 7").count() == found.count() == 40_000
+    assert max(rows_by_task(spark, found)) < 1.2 * 10_000
+
+
+def test_split_join_cuts_crowded_keys(spark):
+    many = spark.range(50_000, numPartitions=8).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 100).alias("k"))
+    few = spark.createDataFrame([(k % 100, f"n{k}") for k in range(150)], "key long, name string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = skew.split_join(many, few, ["k"], ["key"], ["id"], crowd=500)
+        assert max(rows_by_task(spark, met)) < 1.5 * met.count() / 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = many.join(few, F.col("k") == F.col("key")).select("id", "k", "name")
+    assert met.columns == ["id", "k", "name"] and met.exceptAll(want).isEmpty() and want.exceptAll(met).isEmpty()
+
+
 def test_nearest_join_keeps_ties_and_unmatched(spark):
     a = spark.createDataFrame([("p", 0.0, 0.0), ("q", 50.0, 0.0), ("n", None, 0.0)], "id string, x double, y double")
     b = spark.createDataFrame([(1, 1.0, 0.0), (2, -1.0, 0.0), (3, 0.0, 3.0)], "t int, u double, v double")
@@ -87,6 +136,41 @@ def test_points_in_polygons(spark):
     assert inner.count() == 5
 
 
+def test_crowded_cells_are_divided_and_only_borders_tested(spark, monkeypatch):
+    rng = random.Random(8)
+    star = [(50 + r * math.cos(a), 50 + r * math.sin(a)) for k in range(40) for a, r in [(k * math.pi / 20, 40 if k % 2 else 25)]]
+    shapes = [("star", [star]), ("frame", [square(0, 0, 100, 100), square(30, 30, 60.5, 70.25)]), ("bit", [square(49, 49, 51, 51)])]
+    polys = spark.createDataFrame([(n, [[(float(x), float(y)) for x, y in ring] for ring in r]) for n, r in shapes], "name string, rings array<array<struct<x:double,y:double>>>")
+    pts = [(rng.uniform(-5, 105), rng.uniform(-5, 105)) for _ in range(1500)] + [(rng.uniform(48, 52), rng.uniform(48, 52)) for _ in range(1500)]
+    pts += [(float(x), float(y)) for x in (0, 25, 30, 49, 50, 51, 60.5, 100) for y in (0, 30, 49, 50, 51, 70.25, 100)] + [(50.0, 50.0)] * 300
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)], "id long, x double, y double")
+
+    def found():
+        rows = G.points_in_polygons(df, ("x", "y"), polys, "rings", ["name"]).collect()
+        assert len(rows) == len({(r["id"], r["name"]) for r in rows})
+        return {(r["id"], r["name"]) for r in rows}
+
+    edges = {n: [(a, b) for ring in r for a, b in zip(ring, ring[1:] + ring[:1])] for n, r in shapes}
+
+    def inside(p, n):
+        (x, y), odd = p, False
+        for (x1, y1), (x2, y2) in edges[n]:
+            side = (x - x1) * (y2 - y1) - (x2 - x1) * (y - y1)
+            if side == 0 and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+                return False
+            if (y1 > y) != (y2 > y) and (side < 0) == (y2 > y1):
+                odd = not odd
+        return odd
+
+    want = {(i, n) for i, p in enumerate(pts) for n in edges if inside(p, n)}
+    assert found() == want
+    monkeypatch.setattr(skew, "CROWD", 20)
+    assert found() == want
+    cells = G.polygon_cells(polys, "rings", ["name"]).collect()
+    whole = [r for r in cells if r["__edges"] is None]
+    assert len(whole) > 20 and all(r["name"] != "frame" or len(r["__edges"] or []) < 8 for r in cells)
+
+
 def test_zonal_mean_and_families(spark):
     rings = "array<array<struct<x:double,y:double>>>"
     polys = spark.createDataFrame([("p", [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]]), ("q", [[(9.0, 9.0), (10.0, 9.0), (9.5, 10.0)]])], f"name string, r {rings}")

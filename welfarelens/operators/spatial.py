@@ -3,10 +3,14 @@
 Nearest neighbours: the right-hand locations are put into a quadtree of occupied
 cells, and each left-hand location walks down it, keeping only cells that can
 still hold its nearest neighbour. The candidates of a location stay few whatever
-the density, so a crowded cell never meets all its points with each other.
+the density, so a crowded cell never meets all its points with each other. A tree
+of counted size is broadcast; otherwise cells crowded with left-hand locations are
+cut into pieces that each get the cell's few right-hand rows.
 
 Points in polygons: every polygon is filed under the few grid cells of its own
-size class; points look up one cell per size class and then count edge crossings.
+size class, as a cell inside of it, which needs no more tests, or as one on its
+border. Points look up one cell per size class and count edge crossings at borders
+only. Cells crowded with points are divided and classified anew.
 """
 
 from __future__ import annotations
@@ -15,9 +19,15 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import MapType
+
+from welfarelens.operators import skew
+from welfarelens.session import written_once
 
 MAX_LEVEL = 26
 BROADCAST_LEVEL = 8  # 4 ** 8 cells at most
+#: Right-hand locations, of four numbers each, that are broadcast; they are counted first.
+BROADCAST_LOCATIONS = 1 << 16
 
 
 # ---------------------------------------------------------------- nearest
@@ -32,8 +42,10 @@ def _gap(p: Column, lo: Column, hi: Column) -> Column:
 
 
 def _cell(c: Column, origin: float, size: float, level: int) -> Column:
+    """The cell of a coordinate; what lies outside of the box belongs to the cell at its border."""
     n = 1 << level
-    return F.least(F.floor((c - F.lit(origin)) / F.lit(size) * F.lit(float(n))).cast("long"), F.lit(n - 1))
+    inside = F.greatest(F.least((c - F.lit(origin)) / F.lit(size), F.lit(1.0)), F.lit(0.0))
+    return F.least(F.floor(inside * F.lit(float(n))).cast("long"), F.lit(n - 1))
 
 
 def nearest_locations(
@@ -42,7 +54,8 @@ def nearest_locations(
     """Nearest different right location of every different left location, all ties kept.
 
     Both inputs have the columns x and y. Rows: lx, ly, rx, ry, distance. Without
-    ``max_distance`` every left location gets a neighbour.
+    ``max_distance`` every left location gets a neighbour. NULL and NaN coordinates
+    take no part; infinite ones are an error.
     """
     sites = left.select(F.col("x").cast("double").alias("lx"), F.col("y").cast("double").alias("ly")).dropna().distinct()
     tiles = right.select(F.col("x").cast("double").alias("rx"), F.col("y").cast("double").alias("ry")).dropna().distinct()
@@ -55,6 +68,9 @@ def nearest_locations(
             "lx", "ly", *[F.lit(None).cast("double").alias(c) for c in ("rx", "ry", "distance")]
         ).limit(0)
     size = max(box["x1"] - box["x0"], box["y1"] - box["y0"]) or 1.0
+    if not math.isfinite(size):
+        raise ValueError("coordinates must be finite")
+    small = box["n"] <= BROADCAST_LOCATIONS
 
     def cells_at(level: int) -> list[Column]:
         return [
@@ -104,8 +120,16 @@ def nearest_locations(
         "lx", "ly", _cell(F.col("lx"), box["x0"], size, depth).alias("qx"),
         _cell(F.col("ly"), box["y0"], size, depth).alias("qy"),
     )
-    own = own.join(placed, (F.col("cx") == F.col("qx")) & (F.col("cy") == F.col("qy")), "left")
-    bounded = own.groupBy("lx", "ly").agg(F.least(F.coalesce(F.min(d2), F.lit(limit)), F.lit(limit)).alias("bound"))
+
+    def with_locations(rows: DataFrame) -> DataFrame:
+        """Rows with the locations of their deepest cell (qx, qy)."""
+        if small:
+            return skew.matched(rows, F.broadcast(placed), ["qx", "qy"], ["cx", "cy"])
+        return skew.split_join(rows, placed, ["qx", "qy"], ["cx", "cy"], ["lx", "ly"])
+
+    first = with_locations(own).select("lx", "ly", d2.alias("d2"))
+    first = first.unionByName(sites.select("lx", "ly", F.lit(limit).alias("d2")))
+    bounded = first.groupBy("lx", "ly").agg(F.min("d2").alias("bound"))
 
     def keep_possible(rows: DataFrame) -> DataFrame:
         """Cells not farther than the nearest location known so far. Ties are kept."""
@@ -120,23 +144,21 @@ def nearest_locations(
         )
 
     level = min(2, depth)
-    top = level_boxes(level, 0).drop("px", "py")
-    # at most 16 cells
-    found = keep_possible(bounded.join(F.broadcast(top), F.lit(True)))
+    top = level_boxes(level, 0).drop("px", "py").collect()  # at most 16 cells
+    cells = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in r.asDict().items()]) for r in top])
+    found = keep_possible(bounded.select("lx", "ly", "bound", F.inline(cells)))
     while level < depth:
         step = min(level + 2, depth)
         children = level_boxes(step, level)
-        if step <= BROADCAST_LEVEL:
-            children = F.broadcast(children)
         parents = found.select("lx", "ly", "bound", F.col("cx").alias("qx"), F.col("cy").alias("qy"))
-        found = keep_possible(
-            parents.join(children, (F.col("px") == F.col("qx")) & (F.col("py") == F.col("qy")))
-        )
+        if small or step <= BROADCAST_LEVEL:
+            met = skew.matched(parents, F.broadcast(children), ["qx", "qy"], ["px", "py"])
+        else:  # a parent has at most 16 children
+            met = skew.split_join(written_once(parents), children, ["qx", "qy"], ["px", "py"], ["lx", "ly"])
+        found = keep_possible(met)
         level = step
     leaves = found.select("lx", "ly", F.col("cx").alias("qx"), F.col("cy").alias("qy"))
-    pairs = leaves.join(placed, (F.col("cx") == F.col("qx")) & (F.col("cy") == F.col("qy"))).select(
-        "lx", "ly", "rx", "ry", d2.alias("d2")
-    )
+    pairs = with_locations(leaves if small else written_once(leaves)).select("lx", "ly", "rx", "ry", d2.alias("d2"))
     nearest = pairs.withColumn("best", F.min("d2").over(per_site)).filter(F.col("d2") == F.col("best"))
     nearest = nearest.select("lx", "ly", "rx", "ry", F.sqrt("d2").alias("distance"))
     return nearest if max_distance is None else nearest.filter(F.col("distance") <= float(max_distance))
@@ -246,6 +268,61 @@ def strictly_inside(x: Column, y: Column, edges: Column) -> Column:
     return (F.size(F.filter(edges, crosses)) % 2 == 1) & ~F.exists(edges, touches)
 
 
+def _reaches(e: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """Whether an edge comes into a box, or within a billionth of its side."""
+    slack = (x1 - x0) * 1e-9
+    left, right, low, high = x0 - slack, x1 + slack, y0 - slack, y1 + slack
+    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+    sides = [(x - e["x1"]) * dy - (y - e["y1"]) * dx for x in (left, right) for y in (low, high)]
+    return (
+        (F.greatest(e["x1"], e["x2"]) >= left) & (F.least(e["x1"], e["x2"]) <= right)
+        & (F.greatest(e["y1"], e["y2"]) >= low) & (F.least(e["y1"], e["y2"]) <= high)
+        & (F.greatest(*sides) >= 0) & (F.least(*sides) <= 0)
+    )
+
+
+def _classified(cells: DataFrame, side: Column, row_edges: Column) -> DataFrame:
+    """Cells (``__ix``, ``__iy``, in units of ``side``) of a polygon that are not outside of it.
+
+    ``__edges`` becomes NULL for a cell inside; a cell on the border keeps ``row_edges``, those that reach into its row.
+    """
+    x0, y0 = F.col("__ix") * side, F.col("__iy") * side
+    cells = cells.withColumn("__edges", row_edges)
+    border = F.exists("__edges", lambda e: _reaches(e, x0, x0 + side, y0, y0 + side))
+    cells = cells.withColumn("__border", border)
+    inside = strictly_inside(x0 + side / 2, y0 + side / 2, F.col("__edges"))
+    cells = cells.filter(F.col("__border") | inside)
+    return cells.withColumn("__edges", F.when(F.col("__border"), F.col("__edges"))).drop("__border")
+
+
+def _in_row(low: Column, high: Column) -> Column:
+    return F.filter("__edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= low) & (F.least(e["y1"], e["y2"]) <= high))
+
+
+def polygon_cells(polygons: DataFrame, rings: str, polygon_columns: Sequence[str]) -> DataFrame:
+    """The cells of every polygon in the grid of its size class: ``__class``, ``__ix``, ``__iy`` and ``__edges``.
+
+    The grid's side is an eighth of the next power of two above the polygon's side, so it has at most 10 x 10 cells.
+    ``__edges`` are what a point in the cell must be tested against, NULL if the whole cell is inside.
+    """
+    shapes = polygons.select(*polygon_columns, polygon_edges(rings).alias("__edges")).filter(F.size("__edges") > 0)
+    xs, ys = F.transform("__edges", lambda e: e["x1"]), F.transform("__edges", lambda e: e["y1"])
+    shapes = shapes.withColumns(
+        {"__x0": F.array_min(xs), "__x1": F.array_max(xs), "__y0": F.array_min(ys), "__y1": F.array_max(ys)}
+    )
+    longest = F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0"), F.lit(1e-12))
+    shapes = shapes.withColumn("__class", F.ceil(F.log2(longest)).cast("int") - 3)
+    side = F.pow(F.lit(2.0), F.col("__class"))
+
+    def span(lo: str, hi: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(lo) / side).cast("long"), F.floor(F.col(hi) / side).cast("long")))
+
+    rows = shapes.withColumn("__iy", span("__y0", "__y1"))
+    rows = rows.withColumn("__edges", _in_row(F.col("__iy") * side, (F.col("__iy") + 1) * side))
+    cells = rows.withColumn("__ix", span("__x0", "__x1"))
+    return _classified(cells, side, F.col("__edges")).select(*polygon_columns, "__class", "__ix", "__iy", "__edges")
+
+
 def points_in_polygons(
     points: DataFrame,
     xy: tuple[str, str],
@@ -258,50 +335,49 @@ def points_in_polygons(
     """Points with the columns of the polygon(s) they lie strictly inside of.
 
     ``how='left'`` keeps points outside all polygons and needs a unique
-    ``point_id``.
+    ``point_id``. Points without a coordinate lie in no polygon.
     """
-    shapes = polygons.select(*polygon_columns, polygon_edges(rings).alias("__edges")).filter(F.size("__edges") > 0)
-    xs, ys = F.transform("__edges", lambda e: e["x1"]), F.transform("__edges", lambda e: e["y1"])
-    shapes = shapes.withColumns(
-        {"__x0": F.array_min(xs), "__x1": F.array_max(xs), "__y0": F.array_min(ys), "__y1": F.array_max(ys)}
-    )
-    # the size class: cells an eighth of the next power of two, so at most 10 x 10 cells a polygon
-    side = F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0"), F.lit(1e-12))
-    shapes = shapes.withColumn("__class", F.ceil(F.log2(side)).cast("int") - 3)
-    classes = sorted(r[0] for r in shapes.select("__class").distinct().collect())
-    g = F.pow(F.lit(2.0), F.col("__class"))
-
-    def span(lo: str, hi: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.col(lo) / g).cast("long"), F.floor(F.col(hi) / g).cast("long")))
-
-    cover = shapes.withColumn("__cx", span("__x0", "__x1")).withColumn("__cy", span("__y0", "__y1"))
-    # of a cell row only the edges that reach into it can matter
-    low, high = F.col("__cy") * g, (F.col("__cy") + 1) * g
-    cover = cover.select(
-        *polygon_columns, "__class", "__cx", "__cy",
-        F.filter(
-            "__edges",
-            lambda e: (F.greatest(e["y1"], e["y2"]) >= low) & (F.least(e["y1"], e["y2"]) <= high),
-        ).alias("__edges"),
-    )
+    cover = polygon_cells(polygons, rings, polygon_columns)
+    classes = sorted(r[0] for r in cover.select("__class").distinct().collect())
     x, y = F.col(xy[0]).cast("double"), F.col(xy[1]).cast("double")
+    side = F.pow(F.lit(2.0), F.col("__class"))
+    keys = ["__class", "__ix", "__iy"]
     keyed = (
         points.filter(x.isNotNull() & y.isNotNull())
-        .withColumn("__pclass", F.explode(F.array(*[F.lit(c) for c in classes]) if classes else F.array().cast("array<int>")))
-        .withColumns(
-            {
-                "__px": F.floor(x / F.pow(F.lit(2.0), F.col("__pclass"))).cast("long"),
-                "__py": F.floor(y / F.pow(F.lit(2.0), F.col("__pclass"))).cast("long"),
-            }
-        )
+        .withColumn("__class", F.explode(F.array(*[F.lit(c) for c in classes]) if classes else F.array().cast("array<int>")))
+        .withColumns({"__ix": F.floor(x / side).cast("long"), "__iy": F.floor(y / side).cast("long")})
     )
-    hits = (
-        keyed.join(
-            cover,
-            (F.col("__pclass") == F.col("__class")) & (F.col("__px") == F.col("__cx")) & (F.col("__py") == F.col("__cy")),
+    # a point meets each of the polygons in its cell
+    crowded = skew.crowded_keys(keyed, keys)
+    if crowded is not None:
+        parts = F.pow(
+            F.lit(2), F.least(F.lit(5), F.greatest(F.lit(1), F.ceil(F.log(4.0, F.col("__rows") / skew.CROWD))))
+        ).cast("long")
+        crowded = F.broadcast(crowded.select(*keys, parts.alias("__parts")))
+        fine = side / F.col("__parts")
+        keyed = skew.matched(keyed, crowded, keys, keys, "left").withColumns(
+            {"__ix": F.coalesce(F.floor(x / fine).cast("long"), "__ix"), "__iy": F.coalesce(F.floor(y / fine).cast("long"), "__iy")}
+        )
+        cover = skew.matched(cover, crowded, keys, keys, "left")
+        whole = cover.filter("__parts is null").withColumn("__parts", F.lit(None).cast("long"))
+        steps = F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)
+        split = cover.filter("__parts is not null")
+        split = split.withColumn("__step", F.explode(steps)).withColumn("__iy", F.col("__iy") * F.col("__parts") + F.col("__step"))
+        split = split.withColumn("__step", F.explode(steps)).withColumn("__ix", F.col("__ix") * F.col("__parts") + F.col("__step"))
+        inside = split.filter("__edges is null")
+        border = _classified(
+            split.filter("__edges is not null"), fine, _in_row(F.col("__iy") * fine, (F.col("__iy") + 1) * fine)
         )
-        .filter(strictly_inside(x, y, F.col("__edges")))
-        .select(*points.columns, *polygon_columns)
+        cover = whole.unionByName(inside.unionByName(border).drop("__step"))
+        keyed = keyed.withColumn("__parts", F.coalesce("__parts", F.lit(1).cast("long")))
+        cover = cover.withColumn("__parts", F.coalesce("__parts", F.lit(1).cast("long")))
+        keys = [*keys, "__parts"]
+        spread = [c for c in points.columns if not isinstance(points.schema[c].dataType, MapType)]
+        met = skew.split_join(keyed, cover, keys, keys, spread)
+    else:
+        met = skew.matched(keyed, cover, keys, keys)
+    hits = met.filter(F.col("__edges").isNull() | strictly_inside(x, y, F.col("__edges"))).select(
+        *points.columns, *polygon_columns
     )
     if how == "inner":
         return hits
