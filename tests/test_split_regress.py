@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -44,6 +45,27 @@ def test_even_folds(people):
             assert max(ns) - min(ns) <= 1 and len(ns) == 10
 
 
+def test_shuffled_places(spark, people, monkeypatch):
+    monkeypatch.setattr(S, "SHUFFLED_TOGETHER", 20)
+    out = S.shuffled(people, "id", 3).collect()
+    assert sorted(r["place"] for r in out) == list(range(1, 998))
+    order = sorted((r["id"] for r in out), key=lambda i: (hashlib.md5(f"3:{i}".encode()).hexdigest()[:15], str(i)))
+    assert [r["id"] for r in sorted(out, key=lambda r: r["place"])] == order
+    assert S.shuffled(people.limit(0), "id").count() == 0
+
+
+def test_many_strata_are_ranked_in_ranges(spark):
+    strata = spark.range(60_000).select("id", F.col("id").alias("s"), (F.col("id") % 7 + 1).alias("rows"))
+    quotas = S.stratum_quotas(strata.select("s", "rows"), 0.6, ["s"])
+    assert quotas.agg(F.sum("quota")).first()[0] == math.floor(0.6 * strata.agg(F.sum("rows")).first()[0] + 0.5)
+    assert "SinglePartition" not in quotas._jdf.queryExecution().toString()
+    rest = lambda n: round(n * 0.6 - math.floor(n * 0.6 + 1e-9), 9)
+    raised = {r["s"]: r["quota"] > math.floor(r["rows"] * 0.6 + 1e-9) for r in quotas.collect()}
+    ranked = sorted(range(60_000), key=lambda s: (-rest(s % 7 + 1), s))
+    extra = sum(raised.values())
+    assert all(raised[s] for s in ranked[:extra])
+
+
 def test_more_folds_than_rows(spark):
     df = spark.createDataFrame([(1,), (2,)], "id long")
     got = sorted(r["fold"] for r in S.even_folds(df, "id", 5).collect())

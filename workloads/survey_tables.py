@@ -288,7 +288,18 @@ def stratified_split_counts(spark, sf):
     return out.groupBy("strata", "split").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query()
+def order_sql(seed: int) -> str:
+    """The random order of the splits, by the hash that both engines have."""
+    return f"substr(md5('{seed}:' || hhid::VARCHAR), 1, 15), hhid::VARCHAR"
+
+
+_QUOTAS = """, named AS (SELECT hhid, stratum || '-' || area AS strata FROM hh), s AS (SELECT strata, count(*) AS rows FROM named GROUP BY 1),
+b AS (SELECT *, floor(rows * 0.6::DOUBLE + 1e-9)::BIGINT AS base, greatest(rows * 0.6::DOUBLE - floor(rows * 0.6::DOUBLE + 1e-9), 0) AS rest FROM s),
+q AS (SELECT strata, base + (row_number() OVER (ORDER BY round(rest, 9) DESC, strata) <= (SELECT floor(sum(rows) * 0.6::DOUBLE + 0.5) - sum(base) FROM b))::INT AS train FROM b)"""
+
+
+@query(with_(HH) + _QUOTAS + f""", r AS (SELECT *, row_number() OVER (PARTITION BY strata ORDER BY {order_sql(1234)}) AS r FROM named)
+SELECT hhid, strata, CASE WHEN r <= train THEN 'train' ELSE 'test' END AS split FROM r JOIN q USING (strata)""")
 def stratified_split(spark, sf):
     hh = households(spark, sf).withColumn("strata", X.strata_key("stratum", "area"))
     return S.stratified_split(hh, "hhid", 0.6, 1234, ["strata"]).select("hhid", "strata", "split")
@@ -309,6 +320,30 @@ def fold_sizes(spark, sf):
     return out.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query(with_(HH) + f""", r AS (SELECT hhid, row_number() OVER (ORDER BY {order_sql(123456)}) AS r, count(*) OVER () AS rows FROM hh)
+SELECT hhid, CASE WHEN r <= floor(rows * 0.7) THEN 'train' ELSE 'test' END AS split FROM r""")
+def random_split_members(spark, sf):
+    """Who is in which part, not only how many."""
+    return S.random_split(households(spark, sf), "hhid", 0.7, weight="weight").select("hhid", "split")
+
+
+@query(with_(HH) + f""", r AS (SELECT hhid, stratum, row_number() OVER (PARTITION BY stratum ORDER BY {order_sql(11)}) AS r,
+  count(*) OVER (PARTITION BY stratum) AS n FROM hh)
+SELECT hhid, stratum, list_sum([(r > round_even(i * n / 5.0, 0))::INT FOR i IN [1, 2, 3, 4]])::INT AS fold FROM r""")
+def stratified_fold_members(spark, sf):
+    """Who is in which fold of a stratum."""
+    return S.even_folds(households(spark, sf), "hhid", 5, 11, ["stratum"]).select("hhid", "stratum", "fold")
+
+
+@query(with_(HH) + f""", r AS (SELECT hhid, row_number() OVER (ORDER BY {order_sql(7)}) AS place, count(*) OVER () AS n FROM hh)
+SELECT hhid, place, place <= floor(0.1 * n) AS sampled FROM r""")
+def shuffled_rows(spark, sf):
+    """The whole table in random order, and a tenth of it."""
+    hh = S.shuffled(households(spark, sf), "hhid", 7)
+    n = hh.agg(F.count(F.lit(1)).alias("n"))
+    return hh.crossJoin(F.broadcast(n)).select("hhid", "place", (F.col("place") <= F.floor(F.col("n") * 0.1)).alias("sampled"))
+
+
 @query(with_(HH) + """, n AS (SELECT stratum, count(*) AS n FROM hh GROUP BY stratum)
 SELECT stratum, i::INT AS fold, (round_even((i + 1) * n / 5.0, 0) - round_even(i * n / 5.0, 0))::BIGINT AS rows FROM n, range(5) r(i)""")
 def stratified_fold_sizes(spark, sf):
