@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from welfarelens.operators import regress as R, split as S
+from welfarelens.plans import predictors as M
 
 
 @pytest.fixture(scope="module")
@@ -279,3 +280,154 @@ def test_forward_selection_in_very_many_groups(spark):
     ).withColumn("y", F.col("a") * 2 + F.col("g") % 7)
     got = R.forward_selection_by_group(rows, "g", {"a": ["a"]}, "y", "w", "fold", steps=1)
     assert got.select("g").distinct().count() == 6000
+
+
+# ---------------------------------------------------------------- shared moments, area effects
+
+
+def test_rows_lost_to_missing_values_are_counted(frame):
+    both = {"rows": 401, "complete": 400}
+    assert both.items() <= R.cross_validated_r2(frame, ["a", "b"], "y", "fold", "w").items()
+    assert both.items() <= R.lasso_cv(frame, ["a", "b"], "y", "fold", [0.1], "w").items()
+    fit = R.weighted_least_squares(frame, ["a"], "y", "w")
+    assert (fit.rows, fit.complete) == (401, 400)
+    nan = frame.withColumn("b", F.when(F.col("fold") == 2, F.lit(float("nan"))).otherwise(F.col("b")))
+    assert R.weighted_least_squares(nan, ["b"], "y", "w").complete == 321
+    picked = R.forward_selection(frame, {"a": ["a"]}, "y", "w", "fold").first()
+    assert (picked["rows"], picked["complete"]) == (401, 400)
+    grouped = R.forward_selection_by_group(frame.withColumn("g", F.lit("x")), "g", {"a": ["a"]}, "y", "w", "fold", steps=1).first()
+    assert (grouped["rows"], grouped["complete"]) == (401, 400)
+
+
+def test_untypical_first_rows_do_not_spoil_the_sums(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.full(2000, 1e9) + rng.normal(size=2000) * 1e-3, rng.normal(size=3000)])
+    y = 3 * np.where(np.arange(5000) < 2000, 0, x) + rng.normal(size=5000)
+    df = spark.createDataFrame(list(zip(map(float, x[2000:]), map(float, y[2000:]))), "x double, y double")
+    first = spark.createDataFrame([(1e9, 1.0)] * 2500, "x double, y double").limit(0)
+    fit = R.weighted_least_squares(first.unionByName(df), ["x"], "y")
+    assert fit.coefficients[0] == pytest.approx(np.polyfit(x[2000:], y[2000:], 1)[0], rel=1e-9)
+    shifted = spark.range(4000, numPartitions=4).select(
+        (F.when(F.col("id") < 3000, F.lit(5.0)).otherwise(1e7) + F.col("id") % 7).alias("x")
+    ).withColumn("y", F.col("x") * 2 + 1)
+    fit = R.weighted_least_squares(shifted, ["x"], "y")
+    assert fit.coefficients[0] == pytest.approx(2, rel=1e-9) and fit.r2 == pytest.approx(1)
+
+
+def test_components_from_the_moments(frame):
+    data = frame.dropna()
+    for scale in (False, True):
+        got = R.component_regression_cv(frame, ["a", "b", "c"], 2, "y", "fold", "w", scale)
+        parts = R.principal_components(data, ["a", "b", "c"], 2, ["y", "fold", "w"], scale)
+        want = R.cross_validated_r2(parts, ["pca_0", "pca_1"], "y", "fold", "w")
+        assert got["test_r2"] == pytest.approx(want["test_r2"], rel=1e-6)
+        assert got["train_r2"] == pytest.approx(want["train_r2"], rel=1e-6)
+
+
+def test_out_of_fold_predictions(data, frame):
+    x, hot, y, w, fold = data
+    rows = R.out_of_fold(frame, ["a", "b"], "y", "fold", weight="w").collect()
+    assert sum(r["predicted"] is None for r in rows) == 1
+    got = {(r["a"], r["b"]): r["predicted"] for r in rows if r["predicted"] is not None}
+    for f in range(5):
+        tr = fold != f
+        beta = lstsq(x[tr, :2], y[tr], w[tr])
+        for a, b in x[~tr, :2]:
+            assert got[float(a), float(b)] == pytest.approx(beta[0] + beta[1] * a + beta[2] * b, rel=1e-5)
+
+
+def ridge_logit(x, z, c):
+    """Plain damped Newton steps on half the sum of squared coefficients over C plus the log loss."""
+    a = np.column_stack([np.ones(len(x)), x])
+    d = np.diag([0.0, *[1 / c] * x.shape[1]])
+    b = np.zeros(a.shape[1])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a @ b, -500, 500)))
+        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + d, a.T @ (z - p) - d @ b)
+        b = b + step * min(1.0, 1.0 / np.abs(a @ step).max() * 5)
+    return b
+
+
+def test_logistic_regression_meets_optimality_conditions(data, frame):
+    x, hot, y, w, fold = data
+    flag = frame.withColumn("z", (F.col("y") > 22).cast("double"))
+    z = (y > 22).astype(float)
+    for c in (0.05, 10.0):
+        got = R.logistic_cv(flag, ["a", "b"], "z", "fold", 5, strengths=(c,))
+        scores = []
+        for f in range(5):
+            tr = fold != f
+            b = ridge_logit(x[tr, :2], z[tr], c)
+            hit = (np.column_stack([np.ones((~tr).sum()), x[~tr, :2]]) @ b > 0).astype(float)
+            scores.append(r2(z[~tr], hit, np.ones((~tr).sum())))
+        assert got["r2"] == pytest.approx(np.mean(scores)) and got["complete"] == 400 and got["rows"] == 401
+
+
+def test_model_grid_from_one_pass(spark, frame):
+    df = frame.withColumn("id", F.monotonically_increasing_id()).withColumn("g", F.when(F.col("h0") == 1, "p").otherwise(F.concat(F.lit("q"), F.col("id") % 9)))
+    df = spark.createDataFrame(df.drop("fold").collect(), df.drop("fold").schema)
+    specs = [
+        M.ModelSpec("ab", ["a", "b"], "y"), M.ModelSpec("abc", ["a", "b", "c"], "y", group="g", alphas=[0.01, 1.0]),
+        M.ModelSpec("abc", ["a", "b", "c"], "y", components=2), M.ModelSpec("ab", ["a", "b"], "d"), M.ModelSpec("ab", ["a"], "y"),
+    ]
+    got = {(r["columns"], r["outcome"], r["grouped_by"], r["n_pca"]): r for r in M.model_grid(df, specs, "id", "w").collect()}
+    assert len(got) == 4 and all((r["rows"], r["complete"]) == (401, 400) for r in got.values())
+    full = df.dropna(subset=["a"])
+    even, grouped = S.even_folds(df, "id", 5, 0).dropna(), S.group_folds(df, "g", 5).dropna()
+    assert full.count() == 400
+    assert got["ab", "y", None, None]["lr_oos"] == pytest.approx(R.cross_validated_r2(even, ["a"], "y", "fold", "w")["test_r2"])
+    assert got["ab", "d", None, None]["lr_is"] == pytest.approx(R.cross_validated_r2(even, ["a", "b"], "d", "fold", "w")["train_r2"])
+    lasso = R.lasso_cv(grouped, ["a", "b", "c"], "y", "fold", [0.01, 1.0], "w")
+    assert got["abc", "y", "g", None]["lasso_oos"] == pytest.approx(lasso["r2"]) and got["abc", "y", "g", None]["lasso_best_alpha"] == lasso["alpha"]
+
+
+def area_rows(seed, areas):
+    rng = random.Random(seed)
+    return [(i, f"a{rng.randrange(areas)}", rng.choice([1.0, 2.0, 2.5, rng.gauss(3, 2)]), float(rng.randint(1, 4)), rng.random()) for i in range(6 * areas)]
+
+
+@pytest.mark.parametrize("steps,few", [(1024, 1000), (4, 3)])
+def test_area_effects_meet_optimality_conditions(spark, monkeypatch, steps, few):
+    monkeypatch.setattr(M, "STEPS", steps)
+    monkeypatch.setattr(M, "FEW_BREAKS", few)
+    rows = area_rows(1, 60)
+    df = spark.createDataFrame([*rows, (-1, None, 5.0, 1.0, 0.0), (-2, "a1", None, 1.0, 0.0)], "id long, area string, y double, w double, x double")
+    total = sum(r[3] for r in rows)
+    sums = {}
+    for _, a, y, w, _ in rows:
+        s = sums.setdefault(a, [0.0, 0.0])
+        s[0] += w
+        s[1] += w * y
+    for alpha in (1e-9, 1e-4, 3e-3, 0.02, 5.0):
+        got = {r["id"]: r["coefficient"] for r in M.area_effects(df, "area", ["x"], "y", "id", "w", [alpha]).collect()}
+        assert set(got) == set(sums)
+        shifts = [sums[a][1] / sums[a][0] - b - alpha * total / sums[a][0] * np.sign(b) for a, b in got.items() if b]
+        c = np.median(shifts) if shifts else sum(s[1] for s in sums.values()) / total
+        assert np.allclose(shifts, c, atol=1e-9)
+        left = {a: (sums[a][1] / sums[a][0] - c - b) * sums[a][0] / total for a, b in got.items()}
+        assert sum(left.values()) == pytest.approx(0, abs=1e-9)
+        assert all(abs(v) <= alpha + 1e-9 for v in left.values())
+    means = sorted(s[1] / s[0] for s in sums.values())
+    tiny = {r["id"]: r["coefficient"] for r in M.area_effects(df, "area", ["x"], "y", "id", "w", [1e-12]).collect()}
+    middle = (means[29] + means[30]) / 2 if len(means) == 60 else np.median(means)
+    assert all(b == pytest.approx(sums[a][1] / sums[a][0] - middle, abs=1e-6) for a, b in tiny.items())
+
+
+def test_area_effects_choose_the_penalty_and_first_places(spark):
+    rows = area_rows(2, 25)
+    df = spark.createDataFrame(rows, "id long, area string, y double, w double, x double")
+    got = M.area_effects(df, "area", ["x"], "y", "id", "w", [1e-4, 1e-2, 100.0]).collect()
+    scores = {}
+    hot = S.even_folds(df, "id", 5, 0).toPandas()
+    areas = sorted(hot["area"].unique())
+    x = np.array([[float(a == b) for b in areas] for a in hot["area"]])
+    for alpha in (1e-4, 1e-2, 100.0):
+        one = {r["id"]: r["coefficient"] for r in M.area_effects(df, "area", ["x"], "y", "id", "w", [alpha]).collect()}
+        scores[alpha] = one
+    frame = spark.createDataFrame([(*map(float, row), y, w, int(f)) for row, y, w, f in zip(x, hot["y"], hot["w"], hot["fold"])], ", ".join([*(f"{a} double" for a in areas), "y double", "w double", "fold int"]))
+    best = R.lasso_cv(frame, areas, "y", "fold", [1e-4, 1e-2, 100.0], "w")
+    assert {r["id"]: r["coefficient"] for r in got} == pytest.approx(scores[best["alpha"]])
+    first = {}
+    for i, a, _, _, place in rows:
+        first.setdefault(a, place)
+    assert {r["id"]: r["x"] for r in got} == first

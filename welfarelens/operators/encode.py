@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -52,6 +53,45 @@ def expand_covariates(metadata: DataFrame, covariates: Sequence[str]) -> list[st
     return [c for cov in covariates for c in known[cov]]
 
 
+@dataclass
+class CandidateRule:
+    """Which covariates belong to a set: those of some modules, some more by name, and never some others."""
+
+    modules: Sequence[str] = ()
+    include: Sequence[str] = ()
+    exclude: Sequence[str] = ()
+
+
+def candidate_sets(
+    metadata: DataFrame, rules: Mapping[str, CandidateRule], excluded: Sequence[str] = (), complement: str | None = None
+) -> dict[str, dict[str, list[str]]]:
+    """Covariates and their physical columns of every named set, as predictor selection takes them.
+
+    ``metadata`` has covariate, type, module and columns. Covariates of type ``dropped`` and those in ``excluded``
+    belong to no set. A covariate belongs to a set if its module is one of the rule's or the rule includes it, unless
+    the rule excludes it. ``complement`` names the set of all considered covariates that no rule has taken. A name or
+    module that the metadata does not know is an error, and so is a covariate without columns.
+    """
+    rows = {r["covariate"]: r for r in metadata.select("covariate", "type", "module", "columns").collect()}
+    modules = {r["module"] for r in rows.values()}
+    named = [*excluded, *(c for r in rules.values() for c in [*r.include, *r.exclude])]
+    unknown = sorted({c for c in named if c not in rows} | {m for r in rules.values() for m in r.modules if m not in modules})
+    if unknown:
+        raise KeyError(f"covariates or modules without metadata: {unknown}")
+    considered = sorted(c for c, r in rows.items() if r["type"] != "dropped" and c not in set(excluded))
+    out: dict[str, dict[str, list[str]]] = {}
+    for name, rule in rules.items():
+        taken = [c for c in considered if (rows[c]["module"] in rule.modules or c in rule.include) and c not in rule.exclude]
+        out[name] = {c: list(rows[c]["columns"] or []) for c in taken}
+    if complement is not None:
+        rest = [c for c in considered if not any(c in s for s in out.values())]
+        out[complement] = {c: list(rows[c]["columns"] or []) for c in rest}
+    empty = sorted({c for s in out.values() for c, columns in s.items() if not columns})
+    if empty:
+        raise KeyError(f"covariates without columns: {empty}")
+    return out
+
+
 def select_covariates(
     df: DataFrame,
     metadata: DataFrame,

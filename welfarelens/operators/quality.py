@@ -179,8 +179,11 @@ def survey_findings(
     return out
 
 
-def null_and_empty_shares(df: DataFrame) -> DataFrame:
-    """Share of NULLs and of empty strings per column: rows (column, null_share, empty_share). One scan."""
+def null_and_empty_shares(df: DataFrame, top: int | None = None) -> DataFrame:
+    """Share of NULLs and of empty strings per column: rows (column, null_share, empty_share). One scan.
+
+    With ``top`` only the columns that lack most, by the sum of both shares, then by name.
+    """
     text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     aggs = []
     for i, c in enumerate(df.columns):
@@ -194,7 +197,10 @@ def null_and_empty_shares(df: DataFrame) -> DataFrame:
             for i, c in enumerate(df.columns)
         ]
     )
-    return row.select(F.explode(cells).alias("c")).select("c.*")
+    out = row.select(F.explode(cells).alias("c")).select("c.*")
+    if top is None:
+        return out
+    return out.orderBy((F.col("null_share") + F.col("empty_share")).desc(), "column").limit(top)
 
 
 def cardinalities(df: DataFrame, columns: Sequence[str]) -> DataFrame:

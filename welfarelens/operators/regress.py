@@ -1,19 +1,24 @@
 """Weighted regression from cross-products, predictor selection, and cross-validated learners.
 
 A least-squares fit needs only sums of products. They are collected per fold in
-one pass over the data; the fit on any subset of columns and any choice of
-training folds is then small-matrix algebra. Columns are standardised with the
-overall mean and deviation first, so the sums do not cancel.
+one pass over the data; the fit on any subset of columns, on their principal
+components and for any choice of training folds is then small-matrix algebra.
+Columns are standardised with a rough mean and deviation first, so the sums do not
+cancel; if the sums show that they still do, a second pass uses the exact ones.
+
+Rows with a NULL or NaN in any used column are left out of a fit; every fit says how
+many rows there were and how many were complete.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from welfarelens.operators.ordered import join_groups
 from welfarelens.session import ship_package
@@ -35,10 +40,29 @@ class Moments:
     center: np.ndarray
     scale: np.ndarray
     plain: dict[int, np.ndarray] | None = None
+    rows: int = 0
+    complete: int = 0
 
     def total(self) -> np.ndarray:
         return sum(self.matrices.values())
 
+    def counts(self) -> dict[str, int]:
+        """All rows, and those without a NULL in any used column."""
+        return {"rows": self.rows, "complete": self.complete}
+
+    def pick(self, columns: Sequence[str], outcome: str, folds: Sequence[int] | None = None) -> "Moments":
+        """The moments of some of the columns, one of which is the outcome, and of some folds."""
+        at = np.array([0, *self.index(columns), *(self.index([outcome]) if outcome in self.columns else [len(self.columns) + 1])])
+        folds = self.folds if folds is None else list(folds)
+
+        def cut(m: Mapping[int, np.ndarray] | None):
+            return None if m is None else {f: m[f][np.ix_(at, at)] for f in folds}
+
+        return Moments(
+            list(columns), folds, cut(self.matrices), self.center[at[1:] - 1], self.scale[at[1:] - 1], cut(self.plain),
+            self.rows, self.complete,
+        )
+
     def index(self, columns: Iterable[str]) -> list[int]:
         place = {c: i + 1 for i, c in enumerate(self.columns)}
         return [place[c] for c in columns]
@@ -54,31 +78,64 @@ def cross_products(
     each task adds up its own rows' matrix, and Spark adds the matrices row by row.
     """
     columns = list(columns)
+    fold_column = F.col(fold).cast("int") if fold else F.lit(0)
+    return _moments(df, columns, outcome, weight, fold_column, also_plain)
+
+
+def _moments(
+    df: DataFrame, columns: list[str], outcome: str, weight: str | None, fold: Column, also_plain: bool, copies: int = 1
+) -> Moments:
+    """``fold`` may be an array of ``copies`` numbers: the row then counts in each of these folds."""
     if len(columns) > MAX_COLUMNS:
         raise ValueError(f"{len(columns)} columns; the matrices must fit the driver (at most {MAX_COLUMNS})")
     names = [*columns, outcome]
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    used = df.select(
-        *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(names)],
-        w.alias("w"),
-        (F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"),
-    ).dropna()
     p = len(names)
-    stats = used.agg(
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    raw = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(names)], w.alias("w"), fold.alias("fold"))
+    ok = F.col("fold").isNotNull()
+    for c in [*(f"x{i}" for i in range(p)), "w"]:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(c)
+    raw = raw.withColumn("ok", ok)
+    # from a few rows; the sums tell whether they were typical
+    few = raw.filter("ok").limit(SAMPLE).agg(
         *[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)], *[F.stddev_pop(f"x{i}").alias(f"s{i}") for i in range(p)]
     ).first()
-    if stats["m0"] is None:
+    if few["m0"] is None:
         raise ValueError("no complete rows")
-    center = np.array([stats[f"m{i}"] for i in range(p)])
-    scale = np.array([stats[f"s{i}"] or 1.0 for i in range(p)])
-    standard = used.select(
-        "fold", "w", *[((F.col(f"x{i}") - float(center[i])) / float(scale[i])).alias(f"x{i}") for i in range(p)]
-    )
+    center = np.array([few[f"m{i}"] for i in range(p)])
+    scale = np.array([few[f"s{i}"] or 1.0 for i in range(p)])
     both = also_plain and weight is not None
-    weighted, plain = (_narrow_sums if p <= NARROW else _wide_sums)(standard, p, both)
-    if also_plain and weight is None:
-        plain = weighted
-    return Moments(columns, sorted(weighted), weighted, center, scale, plain)
+    for _ in range(2):
+        zero = F.lit(0.0)
+        standard = raw.select(
+            (F.explode("fold") if copies > 1 else F.col("fold")).alias("fold"),
+            F.when(F.col("ok"), F.col("w")).otherwise(zero).alias("w"), F.col("ok").cast("double").alias("u"),
+            *[F.when(F.col("ok"), (F.col(f"x{i}") - float(center[i])) / float(scale[i])).otherwise(zero).alias(f"x{i}") for i in range(p)],
+        )
+        rows, weighted, plain = (_narrow_sums if p <= NARROW else _wide_sums)(standard, p, True)
+        counts = sum(plain.values())
+        mean = counts[0, 1:] / counts[0, 0]
+        deviation = np.sqrt(np.maximum(np.diag(counts)[1:] / counts[0, 0] - mean**2, 0.0))
+        if (np.abs(mean) <= TYPICAL * np.maximum(deviation, 1e-3)).all() and (deviation < TYPICAL).all():
+            break
+        center, scale = center + mean * scale, np.where(deviation > 0, deviation, 1.0) * scale
+    if not (also_plain or weight is None):
+        plain = None
+    return Moments(
+        columns, sorted(weighted), weighted, center, scale, plain, rows // copies, int(round(counts[0, 0])) // copies
+    )
+
+
+def fold_moments(
+    df: DataFrame, columns: Sequence[str], outcome: str, weight: str | None, folds: Sequence[Column]
+) -> Moments:
+    """Moments of rows that count in several folds at once, one for each way of cutting the data."""
+    numbers = F.array(*[f.cast("int") for f in folds]) if len(folds) > 1 else folds[0].cast("int")
+    return _moments(df, list(columns), outcome, weight, numbers, True, len(folds))
+
+
+#: Rows that give a rough mean and deviation, and how many deviations the mean may then be off.
+SAMPLE, TYPICAL = 2000, 1e3
 
 
 #: Matrix cells a task gathers before it hands its partial sums on.
@@ -134,35 +191,42 @@ def cross_products_by_group(
 Matrices = dict[int, np.ndarray]
 
 
-def _narrow_sums(df: DataFrame, p: int, both: bool) -> tuple[Matrices, Matrices | None]:
-    term = [F.lit(1.0)] + [F.col(f"x{i}") for i in range(p)]
+def _narrow_sums(df: DataFrame, p: int, both: bool) -> tuple[int, Matrices, Matrices | None]:
+    term = [F.col("u")] + [F.col(f"x{i}") for i in range(p)]
     pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
-    kinds = {"s": F.col("w"), "u": F.lit(1.0)} if both else {"s": F.col("w")}
+    kinds = {"s": F.col("w"), "u": F.col("u")} if both else {"s": F.col("w")}
     rows = df.groupBy("fold").agg(
-        *[F.sum(w * term[i] * term[j]).alias(f"{k}{i}_{j}") for k, w in kinds.items() for i, j in pairs]
+        F.count(F.lit(1)).alias("rows"), F.sum("u").alias("complete"),
+        *[F.sum(w * term[i] * term[j]).alias(f"{k}{i}_{j}") for k, w in kinds.items() for i, j in pairs],
     ).collect()
     out: dict[str, Matrices] = {k: {} for k in kinds}
     for r in rows:
+        if not r["complete"]:
+            continue
         for k in kinds:
             m = np.zeros((p + 1, p + 1))
             for i, j in pairs:
                 m[i, j] = m[j, i] = r[f"{k}{i}_{j}"]
             out[k][r["fold"]] = m
-    return out["s"], out.get("u")
+    return sum(r["rows"] for r in rows), out["s"], out.get("u")
 
 
-def _wide_sums(df: DataFrame, p: int, both: bool) -> tuple[Matrices, Matrices | None]:
-    names = [f"x{i}" for i in range(p)]
+def _wide_sums(df: DataFrame, p: int, both: bool) -> tuple[int, Matrices, Matrices | None]:
+    names = ["u", *(f"x{i}" for i in range(p))]
 
     def partial(batches):
         sums: dict[tuple[int, bool], np.ndarray] = {}
+        rows = 0
         for batch in batches:
-            for key, part in batch.groupby("fold"):
-                x = np.column_stack([np.ones(len(part)), part[names].to_numpy()])
+            rows += len(batch)
+            for key, part in batch[batch["u"] > 0].groupby("fold"):
+                x = part[names].to_numpy()
                 for plain in (False, True) if both else (False,):
                     m = (x if plain else x * part["w"].to_numpy()[:, None]).T @ x
                     at = (int(key), plain)
                     sums[at] = sums[at] + m if at in sums else m
+        if rows:
+            yield pd.DataFrame({"fold": [0], "plain": [False], "i": [-1], "values": [[float(rows)]]})
         for (key, plain), m in sums.items():
             for start in range(0, p + 1, 256):
                 stop = min(start + 256, p + 1)
@@ -181,9 +245,13 @@ def _wide_sums(df: DataFrame, p: int, both: bool) -> tuple[Matrices, Matrices |
         .select("fold", "plain", "i", vector_to_array("v").alias("v"))
     )
     out: dict[bool, Matrices] = {False: {}, True: {}}
+    rows = 0
     for r in summed.toLocalIterator():
-        out[r["plain"]].setdefault(r["fold"], np.zeros((p + 1, p + 1)))[r["i"]] = r["v"]
-    return out[False], out[True] if both else None
+        if r["i"] < 0:
+            rows = int(r["v"][0])
+        else:
+            out[r["plain"]].setdefault(r["fold"], np.zeros((p + 1, p + 1)))[r["i"]] = r["v"]
+    return rows, out[False], out[True] if both else None
 
 
 def solve(m: np.ndarray, idx: Sequence[int]) -> np.ndarray:
@@ -212,6 +280,8 @@ class Fit:
     coefficients: list[float]
     mse: float
     r2: float
+    rows: int = 0
+    complete: int = 0
 
     def predict(self):
         """Prediction as a column expression."""
@@ -230,7 +300,7 @@ def weighted_least_squares(df: DataFrame, columns: Sequence[str], outcome: str,
     sy = mo.scale[-1]
     slopes = [coef[k + 1] * sy / mo.scale[i - 1] for k, i in enumerate(idx)]
     intercept = mo.center[-1] + coef[0] * sy - sum(b * mo.center[i - 1] for b, i in zip(slopes, idx))
-    return Fit(list(columns), float(intercept), [float(b) for b in slopes], float(mse * sy**2), float(r2))
+    return Fit(list(columns), float(intercept), [float(b) for b in slopes], float(mse * sy**2), float(r2), mo.rows, mo.complete)
 
 
 def check_leakage(df: DataFrame, columns: Sequence[str], outcome: str, weight: str, limit: float = 0.9) -> float:
@@ -274,7 +344,12 @@ def cross_validated_r2(
 ) -> dict[str, float]:
     """Mean train and test R2 over folds; the fit is weighted, the scores are not."""
     mo = cross_products(df, columns, outcome, weight, fold, also_plain=True)
-    idx = mo.index(columns)
+    return r2_by_folds(mo) | mo.counts()
+
+
+def r2_by_folds(mo: Moments) -> dict[str, float]:
+    """Mean train and test R2 of fits on all columns of the moments."""
+    idx = mo.index(mo.columns)
     whole, plain_whole = mo.total(), sum(mo.plain.values())
     train, test = [], []
     for f in mo.folds:
@@ -284,6 +359,41 @@ def cross_validated_r2(
     return {"train_r2": float(np.mean(train)), "test_r2": float(np.mean(test))}
 
 
+def component_moments(mo: Moments, k: int, scale: bool = False) -> Moments:
+    """The moments of the first ``k`` principal components of the columns, from those of the columns.
+
+    Components are those of the plain (unweighted) covariances, or correlations with ``scale``; they are centred, and
+    their sign is arbitrary.
+    """
+    p = len(mo.columns)
+    plain = sum(mo.plain.values())
+    n, mean = plain[0, 0], plain[0, 1 : p + 1] / plain[0, 0]
+    spread = plain[1 : p + 1, 1 : p + 1] / n - np.outer(mean, mean)
+    unit = mo.scale[:p]
+    if scale:
+        unit = np.sqrt((n - 1) / n / np.where(np.diag(spread) > 0, np.diag(spread), 1.0))
+    values, vectors = np.linalg.eigh(spread * np.outer(unit, unit))
+    turned = vectors[:, np.argsort(values)[::-1][:k]] * unit[:, None]
+    t = np.zeros((p + 2, k + 2))
+    t[0, 0] = t[-1, -1] = 1.0
+    t[1 : p + 1, 1 : k + 1] = turned
+    t[0, 1 : k + 1] = -mean @ turned
+    names = [f"pca_{i}" for i in range(k)]
+    center, size = np.append(np.zeros(k), mo.center[-1]), np.append(np.ones(k), mo.scale[-1])
+    return Moments(
+        names, mo.folds, {f: t.T @ m @ t for f, m in mo.matrices.items()}, center, size,
+        {f: t.T @ m @ t for f, m in mo.plain.items()}, mo.rows, mo.complete,
+    )
+
+
+def component_regression_cv(
+    df: DataFrame, columns: Sequence[str], k: int, outcome: str, fold: str, weight: str | None = None, scale: bool = False
+) -> dict[str, float]:
+    """Mean train and test R2 of the outcome on principal components. The data is read once."""
+    mo = cross_products(df, columns, outcome, weight, fold, also_plain=True)
+    return r2_by_folds(component_moments(mo, k, scale)) | mo.counts()
+
+
 def forward_selection(
     df: DataFrame,
     candidates: Mapping[str, Sequence[str]],
@@ -299,11 +409,12 @@ def forward_selection(
     with the best score (the first in name order on ties) and stops when no
     covariate improves it. The data is read once, whatever the number of steps,
     candidates and folds. Rows: step, covariate, is_mse, oos_mse, is_r2, oos_r2
-    and single_covariate_r2, rounded to 3, and the description if given.
+    and single_covariate_r2, rounded to 3, the numbers of all and of complete rows, and the description if given.
     """
     columns = list(dict.fromkeys(c for n in sorted(candidates) for c in candidates[n]))
     mo = cross_products(df, columns, outcome, weight, fold)
     out = df.sparkSession.createDataFrame(greedy_selection(mo, candidates, steps), SELECTION_SCHEMA)
+    out = out.withColumn("rows", F.lit(mo.rows).cast("long")).withColumn("complete", F.lit(mo.complete).cast("long"))
     return _described(out, descriptions)
 
 
@@ -320,7 +431,7 @@ def forward_selection_by_group(
 ) -> DataFrame:
     """``forward_selection`` inside every group, from one pass over the data.
 
-    Adds the group, its number of rows and ``small`` = fewer than ``min_rows``.
+    Adds the group, its numbers of all and of complete rows and ``small`` = fewer than ``min_rows``.
     The selection of a group runs in the task that holds its sums; nothing of a
     group comes to the driver, and there may be any number of groups.
     """
@@ -340,7 +451,10 @@ def forward_selection_by_group(
         return found
 
     out = sums.groupBy(group).applyInPandas(select, f"`{group}` {kind}, {SELECTION_SCHEMA}")
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
+    used = F.lit(True)
+    for c in [*columns, outcome, weight, fold]:
+        used = used & F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`").cast("double"))
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("rows"), F.count_if(used).alias("complete"))
     out = out.join(sizes, group, "left").withColumn("small", F.col("rows") < min_rows)
     return _described(out, descriptions)
 
@@ -453,10 +567,13 @@ def lasso_cv(
     scores are unweighted. All penalties and folds are fitted on the cross-products,
     so the data is not read again per penalty or iteration.
     """
-    mo = cross_products(df, columns, outcome, weight, fold, also_plain=True)
-    idx = mo.index(columns)
-    unit = mo.scale[:-1][[i - 1 for i in idx]]
-    unit_y = mo.scale[-1]
+    return lasso_of_moments(cross_products(df, columns, outcome, weight, fold, also_plain=True), alphas)
+
+
+def lasso_of_moments(mo: Moments, alphas: Sequence[float]) -> dict:
+    """``lasso_cv`` on all columns of the moments; ``by_fold`` are the (intercept, coefficients) fitted without a fold."""
+    idx = mo.index(mo.columns)
+    unit, unit_y = mo.scale[:-1], mo.scale[-1]
 
     def fit(m: np.ndarray, alpha: float, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Coefficients on standardised columns (intercept first) and in the units of the data."""
@@ -471,26 +588,50 @@ def lasso_cv(
     whole = mo.total()
     order = sorted(float(a) for a in alphas)[::-1]  # from strong to weak, each starting at the last solution
     scores = {a: [] for a in order}
+    fits: dict[tuple[int, float], tuple[float, list[float]]] = {}
+
+    def in_data(coef: np.ndarray, b: np.ndarray) -> tuple[float, list[float]]:
+        return float(mo.center[-1] + coef[0] * unit_y - b @ mo.center[:-1]), [float(v) for v in b]
+
     for f in mo.folds:
         b = np.zeros(len(idx))
         for a in order:
             coef, b = fit(whole - mo.matrices[f], a, b)
+            fits[f, a] = in_data(coef, b)
             scores[a].append(score(mo.plain[f], idx, coef)[1])
     results = {a: float(np.mean(scores[a])) for a in map(float, alphas)}
     best = max(results, key=results.get)
     b = np.zeros(len(idx))
     for a in [x for x in order if x >= best]:
         coef, b = fit(whole, a, b)
-    center = mo.center[:-1][[i - 1 for i in idx]]
-    intercept = mo.center[-1] + coef[0] * unit_y - float(b @ center)
+    intercept, found = in_data(coef, b)
     return {
-        "alpha": best,
-        "r2": results[best],
-        "intercept": float(intercept),
-        "coefficients": dict(zip(columns, [float(v) for v in b])),
+        "alpha": best, "r2": results[best], "intercept": intercept, "coefficients": dict(zip(mo.columns, found)),
+        "by_fold": {f: fits[f, best] for f in mo.folds}, **mo.counts(),
     }
 
 
+def out_of_fold(
+    df: DataFrame, columns: Sequence[str], outcome: str, fold: str, alphas: Sequence[float] = (0.0,),
+    weight: str | None = None, out: str = "predicted",
+) -> DataFrame:
+    """Add a lasso prediction of every row from the fit that has not seen the row's fold.
+
+    The penalty is chosen by cross-validated R2; 0 is least squares. The fits come from one pass, and the prediction
+    is an expression that takes the coefficients of the row's fold. It is NULL if a column or the fold is.
+    """
+    fits = lasso_of_moments(cross_products(df, columns, outcome, weight, fold, also_plain=True), alphas)["by_fold"]
+
+    def chosen(values: Mapping[int, float]) -> Column:
+        pairs = [F.lit(x) for f, v in values.items() for x in (int(f), float(v))]
+        return F.try_element_at(F.create_map(*pairs), F.col(fold).cast("int"))
+
+    predicted = chosen({f: fit[0] for f, fit in fits.items()})
+    for i, c in enumerate(columns):
+        predicted = predicted + F.col(f"`{c}`").cast("double") * chosen({f: fit[1][i] for f, fit in fits.items()})
+    return df.withColumn(out, predicted)
+
+
 def boosted_trees_cv(
     df: DataFrame, columns: Sequence[str], outcome: str, fold: str, folds: int,
     depths: Sequence[int] = (1, 5, 10, 25), leaf_sizes: Sequence[int] = (1, 7, 20),
@@ -530,24 +671,88 @@ def principal_components(df: DataFrame, columns: Sequence[str], k: int, keep: Se
 
 def logistic_cv(
     df: DataFrame, columns: Sequence[str], label: str, fold: str, folds: int,
-    strengths: Sequence[float] = (1e-2, 1e-1, 1.0, 10.0, 100.0), min_positives: int = 3,
+    strengths: Sequence[float] = (1e-2, 1e-1, 1.0, 10.0, 100.0), min_positives: int = 3, iterations: int = 25,
 ) -> dict | None:
-    """Ridge-penalised logistic regression chosen by the R2 of the predicted class.
+    """Ridge-penalised logistic regression chosen by the mean R2 of the predicted class over the folds.
 
-    ``strengths`` are inverse penalties (C). None if there are too few positives.
+    ``strengths`` are inverse penalties (C) of the sum of squared coefficients; the intercept is free. None if there
+    are too few positives. Every Newton step reads the data once for all folds and penalties: each task adds up the
+    reweighted products and slopes of its rows. Returns also the numbers of all and of complete rows.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.tuning import ParamGridBuilder
-
-    data = _features(df, columns, label, None, fold)
-    n, positives = data.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    ship_package(df.sparkSession)
+    p, runs = len(columns), [(f, c) for f in range(folds) for c in strengths]
+    names = [f"x{i}" for i in range(p)]
+    raw = df.select(
+        *[F.col(f"`{c}`").cast("double").alias(n) for n, c in zip(names, columns)], F.col(label).cast("double").alias("y"),
+        F.col(fold).cast("int").alias("fold"),
+    )
+    used = raw.dropna()
+    rows, stats = raw.count(), _rough(used, names).first()
+    by_fold = {r["fold"]: r for r in used.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()}
+    complete, positives = sum(r["n"] for r in by_fold.values()), sum(r["y"] for r in by_fold.values())
     if positives < min_positives:
         return None
-    logit = LogisticRegression(elasticNetParam=0.0, standardization=False, maxIter=200)
-    grid = ParamGridBuilder().addGrid(logit.regParam, [1.0 / (c * n) for c in strengths]).build()
-    model = _grid_search(data, logit, grid, folds)
-    best = int(np.argmax(model.avgMetrics))
-    return {"C": float(strengths[best]), "r2": float(model.avgMetrics[best])}
+    center = np.array([stats[f"m_{n}"] for n in names])
+    scale = np.array([stats[f"s_{n}"] or 1.0 for n in names])
+    ridge = np.array([[0.0, *(1.0 / (c * scale**2))] for _, c in runs])  # the penalty is on coefficients in data units
+    kind = "run int, i int, values array<double>"
+
+    def tasks(beta: np.ndarray, scored: bool):
+        def work(batches):
+            sums = [np.zeros((p + 1, p + 2)) for _ in runs]
+            errors = np.zeros(len(runs))
+            for rows in batches:
+                x = np.column_stack([np.ones(len(rows)), (rows[names].to_numpy() - center) / scale])
+                y, held = rows["y"].to_numpy(), rows["fold"].to_numpy()
+                at = 1.0 / (1.0 + np.exp(-np.clip(x @ beta.T, -500, 500)))
+                for r, (f, _) in enumerate(runs):
+                    if scored:
+                        mine = held == f
+                        errors[r] += ((y[mine] - (at[mine, r] > 0.5)) ** 2).sum()
+                        continue
+                    mine = held != f
+                    z, q = x[mine], at[mine, r]
+                    sums[r][:, :-1] += z.T @ (z * (q * (1 - q))[:, None])
+                    sums[r][:, -1] += z.T @ (y[mine] - q)
+            if scored:
+                yield pd.DataFrame({"run": range(len(runs)), "i": 0, "values": [[float(e)] for e in errors]})
+            else:
+                for r, m in enumerate(sums):
+                    yield pd.DataFrame({"run": r, "i": range(p + 1), "values": [list(v) for v in m]})
+
+        parts = used.mapInPandas(work, kind).select("run", "i", F.posexplode("values").alias("j", "v"))
+        return parts.groupBy("run", "i", "j").agg(F.sum("v").alias("v")).collect()
+
+    beta = np.zeros((len(runs), p + 1))
+    for _ in range(iterations):
+        m = np.zeros((len(runs), p + 1, p + 2))
+        for r in tasks(beta, False):
+            m[r["run"], r["i"], r["j"]] = r["v"]
+        moved = 0.0
+        for r in range(len(runs)):
+            step = np.linalg.lstsq(m[r, :, :-1] + np.diag(ridge[r]), m[r, :, -1] - ridge[r] * beta[r], rcond=1e-12)[0]
+            step *= min(1.0, 10.0 / max(np.abs(step).max(), 1e-300))  # far from the optimum a full step may overshoot
+            beta[r] += step
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < 1e-8:
+            break
+    errors = {r["run"]: r["v"] for r in tasks(beta, True)}
+    scores = {c: [] for c in strengths}
+    for r, (f, c) in enumerate(runs):
+        if f in by_fold:
+            n, ones = by_fold[f]["n"], by_fold[f]["y"]
+            spread = ones - ones * ones / n
+            scores[c].append(1 - errors[r] / spread if spread > 0 else float("nan"))
+    results = {c: float(np.mean(v)) for c, v in scores.items()}
+    best = max(strengths, key=lambda c: -math.inf if math.isnan(results[c]) else results[c])
+    return {"C": float(best), "r2": results[best], "rows": rows, "complete": complete}
+
+
+def _rough(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row of means and deviations of a few rows."""
+    return df.limit(SAMPLE).agg(
+        *[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names]
+    )
 
 
 def fixed_effects(coefficients: DataFrame, places: DataFrame, prefix: str) -> DataFrame:

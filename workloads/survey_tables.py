@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from welfarelens.functions import text as X
+from welfarelens.functions import money as Y, text as X
 from welfarelens.operators import encode as E, quality as Q, split as S
 from workloads.registry import query
-from workloads.tables import HH, SERIES, households, rounded, series, table, with_
+from workloads.tables import HH, POINTS, SERIES, households, points, rounded, series, table, with_
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 STATUSES = ["F", "O", "P"]
@@ -112,6 +112,71 @@ def null_and_empty_shares(spark, sf):
     return rounded(Q.null_and_empty_shares(joined), "null_share", "empty_share")
 
 
+@query("""
+WITH q AS (SELECT d.doc_id, lang, quality, toxic, CASE WHEN n_chars > 5000 THEN '' ELSE source END AS source FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+s AS (SELECT 'doc_id' AS c, avg((doc_id IS NULL)::INT) AS n, 0.0::DOUBLE AS e FROM q UNION ALL SELECT 'lang', avg((lang IS NULL)::INT), avg((lang = '')::INT) FROM q
+UNION ALL SELECT 'quality', avg((quality IS NULL)::INT), 0 FROM q UNION ALL SELECT 'toxic', avg((toxic IS NULL)::INT), 0 FROM q
+UNION ALL SELECT 'source', avg((source IS NULL)::INT), avg((source = '')::INT) FROM q)
+SELECT c AS "column", round(n, 6) AS null_share, round(e, 6) AS empty_share FROM s ORDER BY n + e DESC, c LIMIT 3""")
+def emptiest_columns(spark, sf):
+    """The three columns that lack most."""
+    d = table(spark, sf, "documents").select(
+        "doc_id", "lang", F.when(F.col("n_chars") > 5000, F.lit("")).otherwise(F.col("source")).alias("source")
+    )
+    joined = d.join(table(spark, sf, "labels"), "doc_id", "left")
+    return rounded(Q.null_and_empty_shares(joined, top=3), "null_share", "empty_share")
+
+
+def filled_cells(df):
+    """(column, filled, different): which columns there are, and what they hold."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in df.columns]))
+    each = df.select(cells.alias("c")).select("c.*").groupBy("column", "v").agg(F.count("v").alias("n"))
+    return each.groupBy("column").agg(F.sum("n").alias("filled"), F.count("v").alias("different"))
+
+
+@query(with_(HH) + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS filled, count(DISTINCT {c}) AS different FROM hh"
+    for c in ("hh_size", "stratum", "area")
+))
+def columns_after_drops(spark, sf):
+    """Ids, weights and fine geography leave the table; what is left is listed, so a column too many shows."""
+    hh = households(spark, sf).select("hhid", "hh_wgt", "hh_size", "district", "stratum", "area")
+    meta = spark.createDataFrame(
+        [("district", True, False), ("stratum", True, True), ("area", False, None)],
+        "variable_name string, geographic_indicator boolean, geographic_indicator_coarser boolean",
+    )
+    return filled_cells(E.drop_ids(E.drop_fine_geography(hh, meta)))
+
+
+@query("""SELECT column_name AS "column", CASE WHEN column_name LIKE '%_nan' OR column_type = 'VARCHAR' THEN 'categorical' ELSE 'numeric' END AS kind
+FROM (DESCRIBE SELECT *, o_custkey % 2 AS odd_nan FROM orders) WHERE column_type NOT LIKE 'TIMESTAMP%' AND column_type <> 'DATE'""")
+def column_kinds(spark, sf):
+    """Numeric and other columns of a table; dates are neither."""
+    orders = table(spark, sf, "orders").withColumn("odd_nan", F.col("o_custkey") % 2)
+    numeric, other = E.numeric_and_categorical(orders)
+    rows = [(c, "numeric") for c in numeric] + [(c, "categorical") for c in other]
+    return spark.createDataFrame(rows, "column string, kind string")
+
+
+@query(with_(POINTS) + """SELECT vec_id, round(feature_0, 6) AS sat_feature_0, round(feature_1, 6) AS sat_feature_1, label FROM points""")
+def prefixed_features(spark, sf):
+    """A family's columns get its name, whatever way their header was written."""
+    p = points(spark, sf).select("vec_id", F.col("feature_0").alias(""), F.col("feature_1").alias(" .1"), "label")
+    named = p.toDF(*[X.feature_column_name(c) for c in p.columns])
+    out = named.withColumnsRenamed(X.prefix_columns(named.columns, "feature", "sat"))
+    return rounded(out, "sat_feature_0", "sat_feature_1")
+
+
+@query(with_(HH) + """, f AS (SELECT sum(assets) / count(*) / 1000 AS factor FROM hh WHERE stratum = 'BUILDING')
+SELECT district, round(avg(consumption * factor), 6) AS mean FROM hh, f GROUP BY district""")
+def factor_lookup(spark, sf):
+    """Consumption by the one factor of a table that holds for the country."""
+    hh = households(spark, sf)
+    factors = hh.groupBy("stratum").agg((F.sum("assets") / F.count(F.lit(1)) / 1000).alias("factor"))
+    factor = Y.single_factor(factors, "stratum", "BUILDING", "factor")
+    return rounded(hh.groupBy("district").agg(F.avg(F.col("consumption") * factor).alias("mean")), "mean")
+
+
 def _equivalence_sql() -> str:
     numeric = ["l_quantity", "l_tax", "tax_copy", "tax_near", "l_extendedprice", "price_cents"]
     text = ["l_returnflag", "flag_code", "l_linestatus"]
@@ -368,4 +433,5 @@ def split_integrity(spark, sf):
     marked = S.stratified_split(hh, "hhid", 0.6, 1234, ["stratum"])
     parts = marked.groupBy("split").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("part_rows"))
     full = hh.agg(F.count(F.lit(1)).alias("full_rows"))
-    return full.crossJoin(F.broadcast(parts)).withColumn("complete", F.col("full_rows") == F.col("part_rows"))
+    complete = Q.split_integrity(hh, *(marked.filter(F.col("split") == p) for p in ("train", "test")))
+    return full.crossJoin(F.broadcast(parts)).withColumn("complete", F.lit(complete))
