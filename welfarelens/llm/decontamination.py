@@ -111,7 +111,7 @@ class Benchmark:
 
 
 def overlap(equal: np.ndarray) -> tuple[int, int, int] | None:
-    """(start, equal words, words) of the best stretch in which enough words are equal, or None."""
+    """(start, equal words, words) of a stretch with enough words, enough of them equal; None only if there is none."""
     if equal.sum() < LEAST_WORDS:
         return None
     for miss in (-3, -4):  # the milder price spans evenly spread substitutions, the other one never goes below the share
@@ -122,7 +122,18 @@ def overlap(equal: np.ndarray) -> tuple[int, int, int] | None:
         matched = int(equal[start:end].sum())
         if matched >= LEAST_WORDS and matched >= LEAST_SHARE * (end - start):
             return start, matched, end - start
-    return None
+    # the dearest stretch is too short or unlike; of all others the one with the most equal words decides
+    running = np.concatenate([[0], np.cumsum(np.where(equal, 1, -4))])  # not below zero: enough words are equal
+    counts = np.concatenate([[0], np.cumsum(equal)])
+    least = np.minimum.accumulate(running)
+    first = np.searchsorted(-least, -running, "left")  # the earliest start that does not end below zero
+    matched = counts - counts[first]
+    end = int(np.argmax(matched))
+    if matched[end] < LEAST_WORDS:
+        return None
+    start = int(first[end])
+    start += int(np.argmax(equal[start:end]))
+    return start, int(matched[end]), end - start
 
 
 def _blocks(spark: SparkSession, benchmark: DataFrame) -> Iterator:
@@ -174,7 +185,11 @@ def _contaminated(block, text: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that overlap a benchmark item; nothing is shuffled, all columns stay."""
+    """``docs`` without the rows that overlap a benchmark item; nothing is shuffled, all columns stay.
+
+    Every row is judged by its own text, also rows that repeat an id; null and empty texts stay. Empty tables change
+    nothing, and columns may have any names.
+    """
     ship_package(docs.sparkSession)
     for block in _blocks(docs.sparkSession, benchmark):
         docs = docs.filter(~_contaminated(block, F.col("text").cast("string")))
