@@ -4,6 +4,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from welfarelens.llm import chat, sharding, workload
 from workloads import check
@@ -32,6 +33,19 @@ def test_chat_by_hand(spark):
     assert chat.format_chats(docs.limit(0)).count() == 0
 
 
+def test_hashes_cannot_overflow(spark):
+    """A rolling hash over very many turns of one block stays within a long, whatever the turns are."""
+    turns = spark.range(1 << 20).select(
+        F.lit(1).cast("long").alias("key"), F.lit(0).cast("long").alias("block"), F.col("id").alias("pos"), F.lit("user").alias("role"),
+        F.lit("").alias("body"), (F.col("id") == (1 << 20) - 1).alias("last"),
+    )
+    last = chat.prefix_hashes(turns).filter("last").first()
+    assert last["length"] == 1 << 20 and last["a"] != last["b"]
+    rows = spark.range(40_000).select(F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("same").alias("text"))
+    parts = chat.format_chats(rows).collect()
+    assert sum(r["turns"] for r in parts) == 40_000 and max(r["turns"] for r in parts) == chat.BLOCK
+
+
 def test_turn_numbers_do_not_matter(spark):
     rows = [(1, 5, "user", "a"), (1, 900, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c")]
     got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()

@@ -11,13 +11,11 @@ from welfarelens.llm.tables import stored
 
 #: Turns numbered together and rendered into one row.
 BLOCK = 256
-#: Each of the two hash lanes has so many bits; a sum over 2^22 turns still fits a long.
-LANE = 1 << 40
 _NO_ID = -(2**63)
 
 
 def _lane(number: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(number), "pos", "role", "body"), F.lit(LANE))
+    return F.xxhash64(F.lit(number), "pos", "role", "body")
 
 
 def positions(conversations: DataFrame) -> DataFrame:
@@ -49,16 +47,17 @@ def positions(conversations: DataFrame) -> DataFrame:
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """``key``, ``length``, ``a`` and ``b``: the rolling hash of each prefix, with ``last`` for whole conversations.
 
-    The hash of a prefix is the sum of its turns' hashes, each of which includes the turn's position.
+    The hash of a prefix is the exclusive or of its turns' hashes, each of which includes the turn's position. It has
+    two lanes of 64 bits and cannot overflow, however many turns there are.
     """
     rows = turns.withColumn("a", _lane(1)).withColumn("b", _lane(2))
-    totals = rows.groupBy("key", "block").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
+    totals = rows.groupBy("key", "block").agg(F.bit_xor("a").alias("ta"), F.bit_xor("b").alias("tb"))
     blocks = Window.partitionBy("key").orderBy("block")
-    before = totals.select("key", "block", *[(F.sum(c).over(blocks) - F.col(c)).alias(c) for c in ("ta", "tb")])
+    before = totals.select("key", "block", *[F.bit_xor(c).over(blocks).bitwiseXOR(F.col(c)).alias(c) for c in ("ta", "tb")])
     within = Window.partitionBy("key", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("ra", F.sum("a").over(within)).withColumn("rb", F.sum("b").over(within))
+    rows = rows.withColumn("ra", F.bit_xor("a").over(within)).withColumn("rb", F.bit_xor("b").over(within))
     return rows.join(before, ["key", "block"]).select(
-        "key", (F.col("pos") + 1).alias("length"), (F.col("ra") + F.col("ta")).alias("a"), (F.col("rb") + F.col("tb")).alias("b"), "last"
+        "key", (F.col("pos") + 1).alias("length"), F.col("ra").bitwiseXOR(F.col("ta")).alias("a"), F.col("rb").bitwiseXOR(F.col("tb")).alias("b"), "last"
     )
 
 
