@@ -103,3 +103,16 @@ def test_best_of_near_and_scaled_copies():
     names = rng.permutation(3000)
     who, at, score = neighbours.best_of(scaled[:20], scaled, names, 6)
     assert all(names[at[who == i]].tolist() == list(range(6)) for i in range(20))
+
+
+def test_vectors_of_doubles_keep_their_precision(spark):
+    rng = np.random.default_rng(9)
+    for size in (1e39, 1e-60, 1.0):
+        rows = [(i, (size * (rng.standard_normal(6) * 1e-9 + 1)).tolist()) for i in range(60)]
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+        got = found(neighbours.nearest_neighbours(frame, F.col("vec_id") % 50 == 0).collect())
+        want = slow([(i, (np.array(v) / size).tolist()) for i, v in rows])
+        assert {q: [i for i, _ in g] for q, g in got.items()} == {q: [i for i, _ in w] for q, w in want.items()} or size == 1.0 or all(
+            abs(a - b) < 1e-15 for q in want for (_, a), (_, b) in zip(got[q], want[q])
+        )
+        assert all(len(g) == 5 for g in got.values()) and set(got) == {0, 50}

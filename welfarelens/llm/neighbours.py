@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import FloatType
 
 from welfarelens.llm.tables import stored
 from welfarelens.session import ship_package
@@ -132,9 +133,14 @@ def fit_lists(sample: np.ndarray, count: int, rounds: int = 10, seed: int = 0) -
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """``vec_id`` and ``vector`` of the rows that take part, one per id (of several, the least vector)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vector"))
-    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")).cast("float")))
+    """``vec_id`` and ``vector`` of the rows that take part, one per id (of several, the least vector).
+
+    Single precision stays as it is; any other numbers are taken in double precision.
+    """
+    single = isinstance(vectors.schema["embedding"].dataType.elementType, FloatType)
+    kind = "float" if single else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("vector"))
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")).cast(kind)))
     rows = rows.filter("vec_id IS NOT NULL AND vector IS NOT NULL").filter(finite & F.exists("vector", lambda x: x != 0))
     return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
@@ -227,6 +233,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, nearest: int = 5) -> DataFr
     rows = items.orderBy(F.xxhash64("item"), "item").limit(SAMPLE).select("vector").collect()
     fitted = fit_lists(unit(np.array([r[0] for r in rows], np.float64)), min(MOST_LISTS, total // PER_LIST))
     shared = spark.sparkContext.broadcast(fitted)
+    kind = items.schema["vector"].dataType.simpleString()
 
     queries = valid.filter(is_query).select(F.col("vec_id").alias("query_id"), "vector")
     asked = queries.join(items.select("item", "vector"), "vector").select("query_id", "item")
@@ -250,7 +257,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, nearest: int = 5) -> DataFr
                 )
 
     flagged = items.select("item", "vector").join(asked_items, "item", "left").select("item", "vector", F.coalesce("asked", F.lit(False)).alias("asked"))
-    index = stored(flagged.mapInArrow(file, "item long, vector array<float>, filed array<int>, read array<int>"), "index")
+    index = stored(flagged.mapInArrow(file, f"item long, vector {kind}, filed array<int>, read array<int>"), "index")
 
     def sizes(column: str, most: int, name: str) -> DataFrame:
         counts = index.select(F.explode(column).alias("list")).groupBy("list").count()
