@@ -1,9 +1,12 @@
 """Toxicity and quality: gradients, window coverage, held-out accuracy and odd rows."""
 
+import zlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from welfarelens.llm import gru, labelled, quality, toxicity
+from welfarelens.llm import gru, labelled, quality, simhash, toxicity
 from welfarelens.llm import workload
 
 ODD = [None, "", "   ", "...!!! 123", "é", "one", "word " * 50_000, "Same text here", "Same text here"]
@@ -99,12 +102,70 @@ def test_odd_rows(spark, train, score):
     assert docs.limit(0).withColumn("s", score(model, docs["text"], spark)).count() == 0
 
 
+def test_sample_takes_labels_of_existing_documents_and_long_texts(spark):
+    docs = spark.createDataFrame([(i, f"{i} " * 5000, "c") for i in range(1000)], "doc_id long, text string, label string")
+    labels = spark.range(100_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    usable = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1000))
+    rows, _ = labelled.labelled_sample(docs, labels, "toxic", {0: 1000, 1: 1000}, 400)
+    assert len(rows) == usable
+    assert all(len(t) == 400 and len(set(t.split()[1:-1])) == 1 and int(t.split()[1]) % 2 == y for t, y in rows)
+    with pytest.warns(UserWarning, match="no document with toxic = 1"):
+        labelled.labelled_sample(docs, labels.filter("toxic = 0"), "toxic", {0: 5, 1: 5}, 400)
+
+
+def test_quantile_by_counts(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=3000), np.full(500, 0.25), rng.exponential(1e6, 20)])
+    frame = spark.createDataFrame([(float(v),) for v in values], "v double")
+    ordered = np.sort(values)
+    for place in (0, 1, 700, 1999, 2200, 3400, 3519, 9999):
+        assert quality.quantile(frame, "v", place) == ordered[min(place, len(values) - 1)]
+
+
+def test_threshold_covers_all_labelled_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = workload.table(spark, sf, "documents"), workload.table(spark, sf, "labels")
+    model = quality.train_quality(docs, labels, per_class=20)
+    rows = [(r["text"], r["quality"]) for r in docs.join(labels, "doc_id").filter(~labelled.held_out(F.col("doc_id"))).collect() if r["quality"] is not None]
+    scores = model.scores([t for t, _ in rows])
+    assert abs((scores < model.cut).sum() - sum(y == 0 for _, y in rows)) <= 2
+
+
+def test_document_scores_against_single_windows(spark):
+    """A document scores as its highest window, each computed by itself."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = workload.table(spark, sf, "documents"), workload.table(spark, sf, "labels")
+    model = toxicity.train_toxicity(docs, labels, positives=60, negatives=60)
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(40).collect()]
+    whole = model.scores(texts)
+    for text, score in zip(texts, whole):
+        words = gru.letter_words(text)
+        starts = gru.window_starts(np.array([len(words)]))[1]
+        alone = [model.scores([b" ".join(words[s : s + gru.WINDOW]).decode("utf-8", "replace")])[0] for s in starts]
+        assert score == pytest.approx(max(alone), abs=1e-3)
+
+
+def test_held_out_recall_and_precision(spark):
+    sf = "/root/testdata/sf0.1"
+    scored = workload.QUERIES["op5_toxicity"](spark, sf).filter("held_out")
+    rows = scored.join(workload.table(spark, sf, "labels"), "doc_id").filter("toxic is not null").collect()
+    hits = sum(r["predicted"] and r["toxic"] for r in rows)
+    assert hits >= 0.75 * sum(r["toxic"] for r in rows) and hits >= 0.75 * sum(r["predicted"] for r in rows)
+
+
+def test_extra_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "some text", 5, 6.0, "k")], "doc_id long, text string, __score int, __label double, __key string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, labels, threshold=1.1)
+    assert kept.columns == docs.columns and kept.first()["__score"] == 5
+    single = simhash.keep_one(docs.withColumn("__root", F.lit(2)))
+    assert single.columns == [*docs.columns, "__root"] and single.first()["__key"] == "k"
+
+
 def test_sample_is_not_held_out(spark):
     docs = spark.createDataFrame([(i, f"text {i}", "c") for i in range(200)], "doc_id long, text string, label string")
     labels = spark.createDataFrame([(i, i % 3 == 0) for i in range(200)] + [(1, True)], "doc_id long, toxic boolean")
     rows, share = labelled.labelled_sample(docs, labels, "toxic", {0: 20, 1: 1000}, 100)
-    import zlib
-
     ids = [int(t.split()[1]) for t, _ in rows]
     assert all(zlib.crc32(str(i).encode()) % 5 for i in ids) and len(set(ids)) == len(ids)
     assert sum(1 for _, y in rows if y == 0) == 20 and 0.3 < share < 0.4

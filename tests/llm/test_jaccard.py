@@ -125,3 +125,15 @@ def test_every_pair_at_the_threshold_meets(size):
         assert found
         met += 1
     assert met > 20
+
+
+def test_words_are_told_apart(monkeypatch):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choices("abAB\u00e9", k=rnd.randint(1, 6))).encode() for _ in range(300)] + [b"x" * 5000, b"x" * 5001, b"y" * 9000]
+    text = b"".join(rnd.choice(words) + rnd.choice([b" ", b"\n", b"\t\x0b", b"  "]) for _ in range(2000))
+    want = text.lower().split()
+    for part in (1 << 20, 1, 50):
+        monkeypatch.setattr(jaccard, "PART", part)
+        got = jaccard.word_hashes(text)
+        assert len(got) == len(want)
+        assert len(dict(zip(want, got.tolist()))) == len(set(got.tolist())) == len(set(zip(want, got.tolist())))

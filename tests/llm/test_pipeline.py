@@ -61,7 +61,7 @@ def test_run_and_registration(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
     assert sorted(n for n in entry.queries() if n.startswith("op")) == sorted(
         ["op1_token_files", "op2_simhash", "op3_chat_format", "op4_packing", "op5_toxicity", "op6_quality", "op7_sharding",
-         "op8_neighbours", "op9_decontamination", "op10_passages"]
+         "op8_neighbours", "op9_decontamination", "op10_passages", "op11_jaccard", "op12_resample", "op13_alignment"]
     )
 
 

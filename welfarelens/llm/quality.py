@@ -8,7 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from welfarelens.llm.labelled import labelled_sample
+from welfarelens.llm.labelled import labelled_sample, labelled_texts
+from welfarelens.llm.tables import stored
+from welfarelens.llm.token_files import text_parts
 from welfarelens.session import ship_package
 
 #: Bytes whose shares are features, each group by itself.
@@ -94,33 +96,75 @@ def fit_ranker(features: np.ndarray, labels: np.ndarray, pairs: int = 60_000, st
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 4000, max_chars: int = 20_000) -> Ranker:
-    """Fit on a bounded sample of labelled documents: ``per_class`` of each label, none longer than ``max_chars``.
+    """Fit on a bounded sample of labelled documents, ``per_class`` of each label, see ``labelled_sample``.
 
-    The sample is split into the labels' shares again by weighting the quantile, see ``labelled_sample``.
+    The threshold covers all labelled documents that are not held out, whole texts included: it is the quantile of
+    their scores that equals the share of label 0. Null texts are empty ones, rows that repeat an id each count, and
+    columns may have any names. Without any usable label all texts score on the cut, with one label only on its side.
     """
-    rows, share = labelled_sample(docs, labels, label, {0: per_class, 1: per_class}, max_chars)
-    features = np.stack([text_features(t) for t, _ in rows]) if rows else np.zeros((0, FEATURES))
-    y = np.array([v for _, v in rows])
+    rows, _ = labelled_sample(docs, labels, label, {0: per_class, 1: per_class}, max_chars)
     if not rows:
         return Ranker(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(2 * FEATURES), 0.0, 0.3)
-    model = fit_ranker(features, y)
+    y = np.array([v for _, v in rows])
+    model = fit_ranker(np.stack([text_features(t) for t, _ in rows]), y)
     if 0 < y.mean() < 1:
-        raw = model.raw(features)
-        weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-        order = np.argsort(raw)
-        below = np.cumsum(weight[order]) / weight.sum()
-        model.threshold = float(raw[order][min(np.searchsorted(below, 1 - share), len(raw) - 1)])
+        known = labelled_texts(docs, labels, label)
+        scored = stored(known.select(_raw(model, F.col("__text"), docs.sparkSession).alias("raw"), "__label"), "labelled-scores")
+        model.threshold = quantile(scored, "raw", scored.filter("__label = 0").count())
     return model
 
 
+#: Bins into which a range of scores is cut by one pass.
+BINS = 4096
+
+
+def quantile(scores: DataFrame, column: str, place: int) -> float:
+    """The score with ``place`` scores below it (the greatest one if there are no more), by counts in bins of bins.
+
+    Each pass cuts the bin that holds the score; the last one is narrower than a millionth of a millionth of the range.
+    """
+    low, high, rows = scores.agg(F.min(column), F.max(column), F.count(column)).first()
+    place = min(place, rows - 1)
+    for _ in range(4):
+        if not low < high:
+            break
+        width = (high - low) / BINS
+        bin_of = F.least(F.floor((F.col(column) - F.lit(low)) / F.lit(width)), F.lit(BINS - 1))
+        inside = scores.filter(F.col(column).between(low, high))
+        counts = inside.groupBy(bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"))
+        for r in sorted(counts.collect(), key=lambda r: r["bin"]):
+            if place < r["n"]:
+                low, high = r["lo"], r["hi"]
+                break
+            place -= r["n"]
+    return low
+
+
+def _raw(model: Ranker, text: Column, spark) -> Column:
+    """The learned document score before the threshold."""
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf(T.DoubleType())
+    def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            texts = texts.tolist()
+            parts = [shared.value.raw(np.stack([text_features(t) for t in texts[a:b]])) for a, b in text_parts(texts)]
+            yield pd.Series(np.concatenate([np.empty(0), *parts]))
+
+    return raw(text.cast("string"))
+
+
 def quality_score(model: Ranker, text: Column, spark) -> Column:
-    """The score of every text, from 0 to 1, as a column. A null text is an empty one."""
+    """The score of every text, from 0 to 1, as a column. A null text is an empty one; equal texts have equal scores."""
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(shared.value.scores(texts.tolist()))
+            texts = texts.tolist()
+            parts = [shared.value.scores(texts[a:b]) for a, b in text_parts(texts)]
+            yield pd.Series(np.concatenate([np.empty(0), *parts]))
 
     return score(text.cast("string"))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from welfarelens.llm.components import connected_components
-from welfarelens.llm.tables import stored
+from welfarelens.llm.tables import fresh, stored
 from welfarelens.llm.token_files import text_batches
 from welfarelens.session import ship_package
 
@@ -194,6 +194,7 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     no_id = F.lit(-(2**63)).cast("long")
     found = near_duplicates(docs, shingle, distance)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.coalesce("doc_id", no_id).alias("__key"), F.col("component_key").alias("__root")).distinct()
-    rows = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), no_id))
-    return rows.join(kept, "__key").dropDuplicates(["__key", "__root"]).drop("__key", "__root")
+    key, root = fresh(docs, "__key"), fresh(docs, "__root")
+    kept = kept.select(F.coalesce("doc_id", no_id).alias(key), F.col("component_key").alias(root)).distinct()
+    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), no_id))
+    return rows.join(kept, key).dropDuplicates([key, root]).select(*docs.columns)

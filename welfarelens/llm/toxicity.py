@@ -21,7 +21,9 @@ SCORED_CHARS = 1 << 21
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = 1000, negatives: int = 2000, max_chars: int = 8000) -> gru.Network:
     """Fit on a bounded sample of labelled documents: see ``labelled_sample`` and ``gru.train``.
 
-    The sample, at most ``positives + negatives`` texts of ``max_chars`` characters, is all the driver receives.
+    The sample, at most ``positives + negatives`` texts of ``max_chars`` characters, is all the driver receives; of a
+    longer text it is a piece of this size. Rows that repeat an id may each be chosen; empty tables give a network that
+    gives all texts the same score, with a warning.
     """
     rows, _ = labelled_sample(docs, labels, label, {0: negatives, 1: positives}, max_chars)
     random.Random(0).shuffle(rows)
@@ -44,7 +46,10 @@ def toxicity_score(model: gru.Network, text: Column, spark) -> Column:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; no shuffle, all columns stay."""
+    """``docs`` without the rows that score ``threshold`` or more; no shuffle, all columns stay, whatever their names.
+
+    Every row is judged by its own text, also rows that repeat an id; null and empty texts score like any other. With
+    no usable label all texts have the same score, see ``gru.train``. An empty table gives an empty one.
+    """
     model = train_toxicity(docs, labels)
-    scored = docs.withColumn("__score", toxicity_score(model, F.col("text"), docs.sparkSession))
-    return scored.filter(F.col("__score") < threshold).drop("__score")
+    return docs.filter(toxicity_score(model, F.col("text"), docs.sparkSession) < threshold)
