@@ -57,9 +57,12 @@ def running_totals(
     buckets: int | None = None,
     with_totals: bool = False,
     order_key: Column | None = None,
+    merged: bool = False,
 ) -> DataFrame:
     """One row per (by, value) with each sum and its running total ``cum_<name>``.
 
+    With ``merged`` the rows are a written table with one row per (by, value) and the sums in columns of their names.
+
     ``with_totals`` adds the sums of the whole group as ``all_<name>``. Rows with a
     NULL or NaN value or a NULL group are left out. A value that is not a number
     needs ``order_key``, a number that never falls as the value rises. Equal values are merged first, so
@@ -73,7 +76,10 @@ def running_totals(
     df = named_groups(df, by).filter(known)
     place = order_key if order_key is not None else F.col(value)
     # the input is read once; cuts, bucket sums and running sums come from the merged values
-    merged = written_once(df.groupBy(*by, value).agg(*[c.alias(n) for n, c in sums.items()]))
+    if merged:
+        merged = df.select(*by, value, *sums)
+    else:
+        merged = written_once(df.groupBy(*by, value).agg(*[c.alias(n) for n, c in sums.items()]))
     cuts = range_cuts(merged.select(place.alias("__place")), "__place", buckets)
     merged = interval_index(merged.withColumn("__place", place), "__place", cuts, "__bucket").drop("__place")
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from welfarelens.operators.ordered import join_groups, last_at_or_below, named_groups, running_totals, sums_below
 from welfarelens.operators.poverty import mean_gap, poverty_at_lines, poverty_rate, shortfall
+from welfarelens.session import written_once
 
 RESULT_COLUMNS = [
     "initial_poverty_rate",
@@ -71,17 +72,32 @@ def _lookup(c: Column, values: Mapping[float, float]) -> Column:
     return F.create_map(*pairs)[c]
 
 
-def _poor_curve(df: DataFrame, outcome: str, weight: str, line: float, by: Sequence[str], extra=None):
+def _summary(df: DataFrame, outcome: str, weight: str, line: float, by: Sequence[str]) -> DataFrame:
+    """Weights by (group, outcome of the poor), written once: all that a policy needs to know about the households.
+
+    ``outcome`` is NULL in the row of those who are not poor. ``w`` and ``wy`` add up positive weights only, as those
+    alone can be served; ``all_w`` and ``all_wy`` all weights, as in the denominators.
+    """
+    w, y = F.col(weight).cast("double"), F.col(outcome)
+    served = w > 0
+    return written_once(
+        named_groups(df, by).select(*by, F.when(y < line, y).alias(outcome), w.alias("__w"), (w * y).alias("__wy"), served.alias("__in"))
+        .groupBy(*by, outcome).agg(
+            F.sum(F.when(F.col("__in"), F.col("__w"))).alias("w"), F.sum(F.when(F.col("__in"), F.col("__wy"))).alias("wy"),
+            F.sum("__w").alias("all_w"), F.sum("__wy").alias("all_wy"),
+        )
+    )
+
+
+def _poor_curve(summary: DataFrame, outcome: str, by: Sequence[str]):
     """The poor in ascending outcome with running totals, and one totals row per group."""
-    by = list(by)
-    df = named_groups(df, by)
-    w, y = F.col(weight), F.col(outcome)
-    poor = df.filter((y < line) & (w > 0)).select(*by, outcome, weight)
-    curve = running_totals(poor, outcome, {"w": F.sum(w), "wy": F.sum(w * y)}, by)
-    totals = df.groupBy(*by).agg(
-        F.sum(w).alias("all_w"),
-        F.coalesce(F.sum(F.when(y < line, w)), F.lit(0.0)).alias("poor_w"),
-        F.coalesce(F.sum(F.when(y < line, w * y)), F.lit(0.0)).alias("poor_wy"),
+    by, poor = list(by), F.col(outcome).isNotNull()
+    served = summary.filter(poor & F.col("w").isNotNull())
+    curve = running_totals(served, outcome, {"w": F.sum("w"), "wy": F.sum("wy")}, by, merged=True)
+    totals = summary.groupBy(*by).agg(
+        F.sum("all_w").alias("all_w"),
+        F.coalesce(F.sum(F.when(poor, F.col("all_w"))), F.lit(0.0)).alias("poor_w"),
+        F.coalesce(F.sum(F.when(poor, F.col("all_wy"))), F.lit(0.0)).alias("poor_wy"),
     )
     return curve, totals
 
@@ -110,7 +126,7 @@ def oracle_gap(
     whole gap is paid.
     """
     by = list(by)
-    curve, totals = _poor_curve(df, outcome, weight, line, by)
+    curve, totals = _poor_curve(_summary(df, outcome, weight, line, by), outcome, by)
     v = F.col(outcome)
     priced = join_groups(curve, totals, by).select(
         *by, outcome, "cum_w", "cum_wy",
@@ -157,7 +173,7 @@ def oracle_rate(
     poorest, as many as fit into the tolerance; equal outcomes are treated alike.
     """
     by = list(by)
-    curve, totals = _poor_curve(df, outcome, weight, line, by)
+    curve, totals = _poor_curve(_summary(df, outcome, weight, line, by), outcome, by)
     shares = join_groups(curve, totals, by).select(
         *by, outcome, "cum_w", "cum_wy", (F.col("cum_w") / F.col("all_w")).alias("share")
     )
@@ -199,7 +215,10 @@ def binary_transfer(
     (group, transfer, budget).
     """
     by = list(by)
-    curve, totals = _poor_curve(df, outcome, weight, line, by)
+    if min(transfers) < 0:
+        raise ValueError("a transfer must not be negative")
+    summary = _summary(df, outcome, weight, line, by)
+    curve, totals = _poor_curve(summary, outcome, by)
     grid = [(float(t), float(b)) for t in transfers for b in budgets]
     shares = join_groups(curve, totals, by).select(
         *by, outcome, "cum_w", "cum_wy", (F.col("cum_w") / F.col("all_w")).alias("share")
@@ -207,10 +226,9 @@ def binary_transfer(
     served = last_at_or_below(
         shares, outcome, "share", [b / t for t, b in grid], [outcome, "cum_w", "cum_wy"], by, totals
     )
-    # the served whose transfer does not reach the line
+    # the served whose transfer does not reach the line; they are all poor
     short = sums_below(
-        df.filter(F.col(weight) > 0), outcome, [line - t for t in transfers],
-        {"w": F.sum(weight), "wy": F.sum(F.col(weight) * F.col(outcome))}, by,
+        summary, outcome, [line - t for t in transfers], {"w": F.sum("w"), "wy": F.sum("wy")}, by
     ).select(
         *by,
         _lookup(F.col("cut"), {line - t: t for t in transfers}).alias("transfer"),

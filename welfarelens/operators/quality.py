@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 RTOL, ATOL = 1e-5, 1e-8
@@ -312,24 +313,52 @@ def split_integrity(full: DataFrame, *parts: DataFrame) -> bool:
 REFUTING_ROWS = 256
 
 
-def _possible(rows, a: str, b: str, both_numeric: bool, both_few: bool, tolerance: float, total: int) -> bool:
-    """Whether some relation of ``equivalent_columns`` can still hold, given a few of the ``total`` rows."""
-    valid = (rows[a].notna() & rows[b].notna()).to_numpy()
-    x, y = rows[a].to_numpy()[valid], rows[b].to_numpy()[valid]
-    if both_numeric:
-        x, y = x.astype(float), y.astype(float)
-        if (np.abs(x - y) <= tolerance + tolerance * np.abs(y)).all():
-            return True
-        zero = (x == 0) | (y == 0)
-        ratio = y[~zero] / x[~zero]
-        # two ratios this far apart alone give all rows' ratios a deviation above the tolerance
-        spread = (ratio.max() - ratio.min()) ** 2 / (2 * max(total - 1, 1)) if len(ratio) else 0.0
-        if (x[zero] == y[zero]).all() and spread < tolerance**2:
-            return True
-    if both_few:
-        together = len(set(zip(x.tolist(), y.tolist())))
-        return together == len(set(x.tolist())) == len(set(y.tolist()))
-    return False
+def _numeric_pairs(rows, names: Sequence[str], tolerance: float, total: int) -> Iterator[tuple[str, str]]:
+    """Pairs of number columns that may be nearly identical or proportional, given a few of the ``total`` rows.
+
+    One column at a time is compared with all later ones, as matrices; NULLs refute nothing.
+    """
+    x = rows[list(names)].to_numpy(dtype=float, na_value=np.nan)
+    for i in range(len(names) - 1):
+        a, rest = x[:, i : i + 1], x[:, i + 1 :]
+        with np.errstate(all="ignore"):
+            near = ~(np.abs(a - rest) > tolerance + tolerance * np.abs(rest)).any(axis=0)
+            zero = ((a == 0) | (rest == 0)) & ~np.isnan(a) & ~np.isnan(rest)
+            ratio = np.where(zero, np.nan, rest / a)
+            # two ratios this far apart alone give all rows' ratios a deviation above the tolerance
+            spread = np.fmax.reduce(ratio, axis=0) - np.fmin.reduce(ratio, axis=0)
+            far = spread**2 / (2 * max(total - 1, 1)) >= tolerance**2
+        for k in np.flatnonzero(near | (~(zero & (a != rest)).any(axis=0) & ~far)):
+            yield names[i], names[i + 1 + k]
+
+
+def _coded_pairs(rows, names: Sequence[str]) -> Iterator[tuple[str, str]]:
+    """Pairs of columns that may be one to one, given a few rows: equal values of one go with equal values of the other.
+
+    Columns without a NULL are named by the places where their values appear first, so only equal names are paired.
+    """
+    codes = np.stack([pd.factorize(rows[c])[0] for c in names], axis=1) if names else np.zeros((0, 0), int)
+    whole = [i for i in range(len(names)) if (codes[:, i] >= 0).all()]
+    alike: dict[bytes, list[int]] = {}
+    for i in whole:
+        alike.setdefault(codes[:, i].tobytes(), []).append(i)
+    for group in alike.values():
+        yield from ((names[i], names[k]) for i, k in itertools.combinations(group, 2))
+    known = set(whole)
+    for i in range(len(names)):
+        others = np.array([k for k in range(len(names)) if (k > i if i not in known else k not in known and k > i)], int)
+        if i in known and not len(others):
+            continue
+        a, b = codes[:, i : i + 1], codes[:, others]
+        valid = (a >= 0) & (b >= 0)
+
+        def different(values):
+            values = np.sort(np.where(valid, values, -1), axis=0)
+            return (values[0] >= 0).astype(int) + ((values[1:] != values[:-1]) & (values[1:] >= 0)).sum(axis=0)
+
+        together = different(a * (len(codes) + 1) + b)
+        for k in others[(together == different(a + np.zeros_like(b))) & (together == different(b))]:
+            yield names[i], names[k]
 
 
 def equivalent_columns(
@@ -346,8 +375,9 @@ def equivalent_columns(
     ``proportional`` (zeros match, more than 10 rows without a zero, ratio b/a
     constant) and ``one_to_one`` (at most ``max_categories`` values each). A pair is
     reported once, under the first that holds. Columns named ``*_missing`` or ``*_m``
-    are left out. A few rows refute nearly every pair for certain; the pairs they
-    leave are measured ``batch`` to a scan, each by plain aggregates.
+    are left out. A few rows refute nearly every pair for certain, by matrices and by
+    names of the places of equal values; the pairs they leave are measured ``batch`` to a
+    scan, each by plain aggregates, so most tables are scanned twice.
     """
     spark = df.sparkSession
     usable = [c for c in [*numeric, *categorical] if not c.endswith(("_missing", "_m"))]
@@ -370,16 +400,13 @@ def equivalent_columns(
             few.add(c)
     nums = [c for c in numeric if c in varying]
     order = [c for c in categorical if c in varying] + nums
-    pairs = [(a, b, True) for a, b in itertools.combinations(nums, 2)]
-    seen = {(a, b) for a, b, _ in pairs}
-    pairs += [
-        (a, b, False)
-        for a, b in itertools.combinations(order, 2)
-        if (a, b) not in seen and a in few and b in few
-    ]
-    if pairs:
-        few_rows = df.select(*dict.fromkeys(c for a, b, _ in pairs for c in (a, b))).limit(REFUTING_ROWS).toPandas()
-        pairs = [p for p in pairs if _possible(few_rows, *p, p[0] in few and p[1] in few, tolerance, ends["rows"])]
+    rows = df.select(*order).limit(REFUTING_ROWS).toPandas() if order else None
+    numbers = set(nums)
+    pairs = {p: True for p in _numeric_pairs(rows, nums, tolerance, ends["rows"])} if nums else {}
+    for a, b in _coded_pairs(rows, [c for c in order if c in few]) if order else ():
+        pairs.setdefault((a, b), a in numbers and b in numbers)
+    places = {c: i for i, c in enumerate(order)}
+    pairs = [(a, b, both) for (a, b), both in sorted(pairs.items(), key=lambda p: (not p[1], places[p[0][0]], places[p[0][1]]))]
     for start in range(0, len(pairs), batch):
         part = pairs[start : start + batch]
         aggs, sets = [], []
