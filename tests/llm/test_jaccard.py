@@ -81,7 +81,10 @@ def test_equals_all_pairs(spark):
     assert len({r[2] for r in got}) < len(got) - 50
 
 
-def test_a_crowd_of_near_copies(spark):
+@pytest.mark.parametrize("together,block", [(32, 256), (3, 20)])
+def test_a_crowd_of_near_copies(spark, monkeypatch, together, block):
+    monkeypatch.setattr(jaccard, "TOGETHER", together)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rnd = random.Random(4)
     vocabulary = [f"w{i}" for i in range(3000)]
     base = rnd.choices(vocabulary, k=150)

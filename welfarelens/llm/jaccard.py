@@ -8,9 +8,10 @@ set files all its segments, and those of the first few also with each single shi
 under the band below if partners may be there; the smaller set of a pair looks for the larger one by the segments that
 cost least, judged by how many documents hold the segment's rarest shingle.
 
-Equal keys give candidates. Crowded keys are cut into blocks, whose pairs are compared by parities of shingle counts, a
-lower bound of the difference. Candidates are verified on whole sets. Only what is connected is asked for, so pairs
-that may join two components come first, and pairs within a component are spared.
+Equal keys give candidates. Parities of shingle counts, a lower bound of the difference, rule most wrong ones out, the
+rest is verified on whole sets. Sets that crowd under a key are cut into blocks by count and size, and each two blocks
+meet in a unit of work that compares their pairs in place and gives a spanning forest of the links, never all pairs. Keys
+that hold nearly the same crowd are worked on together.
 """
 
 from __future__ import annotations
@@ -21,8 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from welfarelens.llm.components import connected_components
-from welfarelens.llm.kept import word_hash
-from welfarelens.llm.tables import stored
+from welfarelens.llm.tables import small_batches, stored
 from welfarelens.llm.token_files import text_batches
 from welfarelens.session import ship_package, shuffle_width
 
@@ -32,12 +32,12 @@ BAND = 1.5
 DELETED = 2
 #: Cells of the counts that judge how common a shingle is.
 CELLS = 1 << 14
-#: Sets under one key that are paired at once; beyond that they are compared in blocks of BLOCK.
-TOGETHER, BLOCK = 32, 256
+#: Sets under one key that are paired at once; beyond that they are compared in blocks of so many sets and bytes.
+TOGETHER, BLOCK, BLOCK_BYTES = 32, 256, 1 << 24
 #: Bits of the filter that keeps sets of documents without candidates from being shuffled, and of the parity sketch.
 FILTER, PARITIES = 1 << 24, 1024
-#: Candidates a node may have for all to be verified at once.
-AT_ONCE = 4
+#: Bytes of a text taken up at once, and of words that are hashed by themselves.
+PART, LONG_WORD = 1 << 20, 1 << 12
 #: Different sets a task remembers, and rows it gathers.
 SEEN, ROWS = 200_000, 1 << 16
 
@@ -53,14 +53,42 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_set(text: bytes | None, shingle: int, hashed) -> np.ndarray:
+_RANDOM = np.random.default_rng(20240)
+_BYTE = _RANDOM.integers(1, 2**64, 256, dtype=np.uint64)
+_PLACE = _RANDOM.integers(0, 2**63, LONG_WORD, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of every word of a UTF-8 text cut at ASCII white space, A-Z in lower case."""
+    text, found, at = text.translate(_LOWER), [], 0
+    while at < len(text):
+        end = text.find(b" ", at + PART)  # parts bound the memory for very long texts
+        end = len(text) if end < 0 else end
+        part = np.frombuffer(text, np.uint8, end - at, at)
+        inside = np.concatenate([[False], part != 32, [False]])
+        turns = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, sizes = turns[::2], turns[1::2] - turns[::2]
+        if len(starts):
+            first = np.cumsum(sizes) - sizes
+            place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+            letters = part[part != 32]
+            hashes = np.add.reduceat(_BYTE[letters] * _PLACE[place % LONG_WORD], first)
+            for n in np.flatnonzero(sizes > LONG_WORD):
+                word = text[at + starts[n] : at + starts[n] + sizes[n]]
+                hashes[n] = xxhash.xxh64_intdigest(word)
+            found.append(mixed(hashes))
+        at = end
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     """Ascending hashes of the different shingles of a text; fewer words are one shingle, none give an empty set."""
-    found = (text or b"").lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    size = min(shingle, len(found))
-    hashes = np.fromiter(map(hashed, found), np.uint64, len(found))
-    rolled = np.full(len(found) - size + 1, size, np.uint64)
+    hashes = word_hashes(text or b"")
+    if not len(hashes):
+        return hashes
+    size = min(shingle, len(hashes))
+    rolled = np.full(len(hashes) - size + 1, size, np.uint64)
     for at in range(size):
         rolled = rolled * _MULTIPLIER + hashes[at : at + len(rolled)]
     return np.unique(mixed(rolled))
@@ -171,9 +199,8 @@ def _sets(batches, shingle: int):
     """(doc_id, set, key, whether the task has met the set lately) of every text."""
     seen: set = set()
     for ids, texts in text_batches(batches):
-        hashed = word_hash()
         for doc_id, text in zip(ids, texts):
-            found = shingle_set(text, shingle, hashed)
+            found = shingle_set(text, shingle)
             key = set_key(found)
             known = key in seen
             if len(seen) > SEEN:
@@ -238,14 +265,15 @@ def _needed_sets(docs: DataFrame, shingle: int, needed: DataFrame) -> DataFrame:
         held, rows, size = shared.value, [], 0
 
         def batch():
-            return _batch(["k1", "k2", "set", "parities"], zip(*rows), [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            return _batch(["k1", "k2", "n", "set", "parities"], zip(*rows), types)
 
         for _, found, (k1, k2), known in _sets(batches, shingle):
             at = k1 % FILTER
             if known or not held[at >> 3] >> (at & 7) & 1:
                 continue
             odd = np.bincount((found & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
-            rows.append((k1, k2, found.tobytes(), np.packbits(odd.astype(np.uint8)).tobytes()))
+            rows.append((k1, k2, len(found), found.tobytes(), np.packbits(odd.astype(np.uint8)).tobytes()))
             size += 8 * len(found) + PARITIES // 8
             if size > 1 << 22:
                 yield batch()
@@ -253,7 +281,7 @@ def _needed_sets(docs: DataFrame, shingle: int, needed: DataFrame) -> DataFrame:
         if rows:
             yield batch()
 
-    found = _texts(docs).mapInArrow(work, "k1 long, k2 long, set binary, parities binary")
+    found = _texts(docs).mapInArrow(work, "k1 long, k2 long, n long, set binary, parities binary")
     found = found.join(needed, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     return stored(found.withColumn("node", F.monotonically_increasing_id()), "shingle-sets")
 
@@ -324,68 +352,108 @@ def _paired(filed: DataFrame, percent: int) -> DataFrame:
     return filed.repartition("key").sortWithinPartitions("key", "k1", "k2", "flags").mapInArrow(work, MET)
 
 
-def _block_pairs(crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidates under crowded keys: blocks of rows meet each other, and parities rule out what differs too much."""
-    rows = crowded.select(F.col("b1").alias("key"), F.col("a1").alias("k1"), F.col("a2").alias("k2"), "n", "flags").distinct()
-    counts = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(counts, "key").join(sets.select("k1", "k2", "parities"), ["k1", "k2"])
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("k1", "k2"), "blocks").cast("int"))
+def _crowds(crowded: DataFrame, sets: DataFrame) -> DataFrame:
+    """(``whole``, ``crowd``, ``node``, ``n``): the sets that must meet, each crowd once.
+
+    Crowded keys that share sets form one crowd (``whole``) if comparing all its sets is less work than comparing
+    those of every key by themselves; else each key is a crowd.
+    """
+    rows = crowded.select(F.col("b1").alias("key"), F.col("a1").alias("k1"), F.col("a2").alias("k2")).distinct()
+    rows = stored(rows.join(sets.select("k1", "k2", "n", "node"), ["k1", "k2"]).select("key", "node", "n"), "crowded-keys")
+    keys = rows.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("rows"))
+    roots = connected_components(rows.join(keys, "key").select("node", "first")).toDF("node", "root")
+    named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = named.groupBy("root", "node").agg(F.first("n").alias("n"))
+    work = keys.join(roots.withColumnRenamed("node", "first"), "first", "left").select(F.coalesce("root", "first").alias("root"), "rows")
+    work = work.groupBy("root").agg(F.sum(F.col("rows").cast("double") * F.col("rows")).alias("apart"))
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).cast("double").alias("sets"))
+    chosen = work.join(sizes, "root").select("root", (F.col("sets") * F.col("sets") <= F.col("apart")).alias("whole"))
+    together = members.join(chosen, "root").filter("whole").select("whole", F.col("root").alias("crowd"), "node", "n")
+    single = named.join(chosen, "root").filter("NOT whole").select("whole", F.col("key").alias("crowd"), "node", "n")
+    return stored(together.unionByName(single), "crowds")
+
+
+def _crowd_links(crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that connect all sets of a crowd that links of its pairs connect: a forest from each two blocks."""
+    counts = crowds.groupBy("whole", "crowd").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks")
+    )
+    rows = crowds.drop("n").join(counts, ["whole", "crowd"]).join(sets.select("node", "set", "parities"), "node")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
-        "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "k1", "k2", "n", "flags", "parities"
+        F.col("whole").cast("int").alias("whole"), "crowd", F.least("mine", "other").alias("low"),
+        F.greatest("mine", "other").alias("high"), "mine", "node", "set", "parities",
     )
-    unit = ["key", "low", "high"]
-
-    def block(name, rows):
-        mine, k1, k2, n, flags, parities = rows
-        left, right = np.flatnonzero(mine == name[1]), np.flatnonzero(mine == name[2])
-        for i in left:
-            v = right[right > i] if name[1] == name[2] else right
-            u = np.full(len(v), i)
-            good = candidate(n, k1, flags, u, v, percent) & ((k1[u] != k1[v]) | (k2[u] != k2[v]))
-            v = v[good]
+    unit = ["whole", "crowd", "low", "high"]
+
+    def forest(name, rows):
+        """Sets of a unit in ascending size are compared with those that may be alike and are not connected yet."""
+        mine, nodes, sets, parities = rows
+        n = np.array([len(x) // 8 for x in sets])
+        order = np.argsort(n, kind="stable")
+        mine, nodes, n, parities = mine[order], nodes[order], n[order], parities[order]
+        sets = [np.frombuffer(sets[i], np.uint64) for i in order]
+        tree = np.arange(len(n))  # the connected sets of each set, by the least of them
+        us, vs = [], []
+        for i in range(len(n)):
+            until = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
+            v = np.arange(i + 1, until)
+            if name[2] != name[3]:
+                v = v[mine[v] != mine[i]]
+            v = v[tree[v] != tree[i]]
             apart = np.bitwise_count(parities[v] ^ parities[i]).sum(axis=1, dtype=np.int64)
-            v = v[apart * (100 + percent) <= (n[i] + n[v]) * (100 - percent)]
-            if len(v):
-                yield _batch(PAIR, [np.full(len(v), k1[i]), np.full(len(v), k2[i]), k1[v], k2[v]])
+            good = apart * (100 + percent) <= (n[i] + n[v]) * (100 - percent)
+            for j in v[good][np.argsort(apart[good], kind="stable")].tolist():
+                if tree[i] != tree[j] and _alike(sets[i], sets[j], percent):
+                    tree[tree == max(tree[i], tree[j])] = min(tree[i], tree[j])
+                    us.append(nodes[i])
+                    vs.append(nodes[j])
+        if us:
+            yield _batch(["u", "v"], [us, vs])
 
     def work(batches):
         held, name = [], None
         for batch in batches:
-            at = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 8)]
-            sketch = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint64).reshape(len(at), -1)
+            at = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5)]
+            found = np.array(batch.column(6).to_pylist() + [None], object)[:-1]
+            sketch = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(len(at), -1)
             cuts = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(axis=1)])) if len(at) else []
             for lo, hi in zip(cuts, [*cuts[1:], len(at)]):
                 if name is not None and tuple(at[lo]) != name:
-                    yield from block(name, [np.concatenate(x) for x in zip(*held)])
+                    yield from forest(name, [np.concatenate(x) for x in zip(*held)])
                     held = []
                 name = tuple(at[lo])
-                held.append([*(c[lo:hi] for c in columns), sketch[lo:hi]])
+                held.append([*(c[lo:hi] for c in columns), found[lo:hi], sketch[lo:hi]])
         if held:
-            yield from block(name, [np.concatenate(x) for x in zip(*held)])
+            yield from forest(name, [np.concatenate(x) for x in zip(*held)])
 
-    names = ", ".join(f"{c} long" for c in PAIR)
     width = shuffle_width(rows.sparkSession)
-    return rows.repartition(width, *unit).sortWithinPartitions(*unit).mapInArrow(work, names)
+    return rows.repartition(width, *unit).sortWithinPartitions(*unit).mapInArrow(work, "u long, v long")
 
 
 # ---------------------------------------------------------------- verification
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two ascending sets are at the threshold."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * shared >= percent * (len(both) - shared)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (u, v) whose whole sets are at the threshold."""
 
     def work(batches):
         for batch in batches:
             u, v, left, right = (batch.column(i) for i in range(4))
-            good = []
-            for x, y in zip(left, right):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                good.append(100 * shared >= percent * (len(both) - shared))
+            good = [
+                _alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
+                for x, y in zip(left, right)
+            ]
             kept = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([u.filter(kept), v.filter(kept)], names=["u", "v"])
 
@@ -393,39 +461,20 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "set_u", "set_v").mapInArrow(work, "u long, v long")
 
 
-def _named(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """``pairs`` with the components of both ends."""
-    for c in "uv":
-        named = roots.select(F.col("u").alias(c), F.col("v").alias(f"root_{c}"))
-        pairs = pairs.drop(f"root_{c}").join(named, c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
-    return pairs
+def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (u, v) that the parities do not rule out."""
 
+    def work(batches):
+        for batch in batches:
+            u, v, nu, nv = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(u), -1) for i in (4, 5))
+            apart = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+            good = apart * (100 + percent) <= (nu + nv) * (100 - percent)
+            yield _batch(["u", "v"], [u[good], v[good]])
 
-def _components(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Components (u, v: node, smallest node) of the pairs that are at the threshold.
-
-    While there are many more candidates than components, each component's best candidate to another one is verified
-    and the rest is looked at anew; then all that is left between components.
-    """
-    links = None
-    rest = pairs.withColumn("root_u", F.col("u")).withColumn("root_v", F.col("v"))
-    while True:
-        ends = rest.select(F.col("root_u").alias("root")).unionByName(rest.select(F.col("root_v").alias("root")))
-        last = rest.count() <= AT_ONCE * ends.distinct().count()
-        if last:
-            chosen = rest.select("u", "v")
-        else:
-            both = rest.select(F.col("root_u").alias("root"), "u", "v", "common")
-            both = both.unionByName(rest.select(F.col("root_v").alias("root"), "u", "v", "common"))
-            best = both.groupBy("root").agg(F.max(F.struct("common", "u", "v")).alias("best"))
-            chosen = stored(best.select("best.u", "best.v").distinct(), "chosen-pairs")
-        found = stored(_linked(chosen, sets, percent), "shingle-links")
-        links = found if links is None else links.unionByName(found)
-        roots = connected_components(links)
-        if last:
-            return roots
-        rest = _named(rest.join(chosen, ["u", "v"], "left_anti"), roots).filter("root_u != root_v")
-        rest = stored(rest.select(*pairs.columns, "root_u", "root_v"), "open-pairs")
+    left, right = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parities").alias(f"p_{c}")) for c in "uv")
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "n_u", "n_v", "p_u", "p_v")
+    return both.mapInArrow(work, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
@@ -451,11 +500,14 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     ends = [few.select(F.col(f"{c}1").alias("k1"), F.col(f"{c}2").alias("k2")) for c in "ab"]
     needed = ends[0].unionByName(ends[1]).unionByName(crowded.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")))
     sets = _needed_sets(docs, shingle, stored(needed.distinct(), "needed-sets"))
-    pairs = few.unionByName(_block_pairs(crowded, sets, percent)).groupBy(*PAIR).agg(F.count(F.lit(1)).alias("common"))
+    pairs = few.distinct()
     for c, name in zip("ab", "uv"):
         pairs = pairs.join(sets.select(F.col("k1").alias(f"{c}1"), F.col("k2").alias(f"{c}2"), F.col("node").alias(name)), [f"{c}1", f"{c}2"])
-    pairs = pairs.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("common").alias("common"))
-    roots = _components(stored(pairs, "shingle-pairs"), sets, percent)
+    pairs = stored(_close(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets, percent), "shingle-pairs")
+    crowds = _crowds(crowded, sets)
+    with small_batches(spark, 64):  # of whole sets
+        links = stored(_linked(pairs, sets, percent).unionByName(_crowd_links(crowds, sets, percent)), "shingle-links")
+    roots = connected_components(links)
 
     classes = members.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
     classes = classes.join(sets.select("k1", "k2", "node"), ["k1", "k2"], "left").join(roots.withColumnRenamed("u", "node"), "node", "left")
