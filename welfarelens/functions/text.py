@@ -59,17 +59,33 @@ def _is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.char_length(text)
 
 
+@lru_cache(maxsize=None)
+def _settled() -> str:
+    """Characters outside ASCII that are their own decomposition and lower case."""
+    marks = _combining_marks()
+    points = (chr(p) for p in range(0x80, 0x3000) if p not in marks)
+    return "".join(x for x in points if unicodedata.normalize("NFKD", x) == x == x.lower() and not x.isspace())
+
+
+def _is_settled(text: Column) -> Column:
+    """Whether the table has folded all there is to fold."""
+    return _is_ascii(F.translate(text, _settled(), ""))
+
+
 def normalize_text(c: str | Column) -> Column:
     """Lower case without accents and outer white space; NULL stays NULL.
 
-    Accented Latin letters and the like fold by a character table in the JVM. Only
-    text with other characters outside ASCII goes through Python in Arrow batches,
-    for the Unicode decomposition.
+    ASCII text is only stripped and lowered. Accented Latin letters and the like fold
+    once by a character table in the JVM. Only text with other characters outside ASCII
+    goes through Python in Arrow batches, for the Unicode decomposition.
     """
     text = col(c)
-    plain = F.translate(text, *_ascii_folds())
-    return F.coalesce(
-        F.when(_is_ascii(plain), F.lower(strip_space(plain))), _fold(F.when(~_is_ascii(plain), text))
+    foreign = F.when(~_is_ascii(text), text)
+    plain = F.translate(foreign, *_ascii_folds())
+    # as an element of an array, so that it is made once for its test and its use
+    folded = F.transform(F.array(plain), lambda x: F.when(_is_settled(x), F.lower(strip_space(x))))
+    return F.when(_is_ascii(text), F.lower(strip_space(text))).otherwise(
+        F.coalesce(folded[0], _fold(F.when(~_is_settled(plain), text)))
     )
 
 

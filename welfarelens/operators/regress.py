@@ -112,14 +112,14 @@ def _moments(
             F.when(F.col("ok"), F.col("w")).otherwise(zero).alias("w"), F.col("ok").cast("double").alias("u"),
             *[F.when(F.col("ok"), (F.col(f"x{i}") - float(center[i])) / float(scale[i])).otherwise(zero).alias(f"x{i}") for i in range(p)],
         )
-        rows, weighted, plain = (_narrow_sums if p <= NARROW else _wide_sums)(standard, p, True)
+        rows, weighted, plain = (_narrow_sums if p <= NARROW else _wide_sums)(standard, p, both or weight is None)
         counts = sum(plain.values())
         mean = counts[0, 1:] / counts[0, 0]
         deviation = np.sqrt(np.maximum(np.diag(counts)[1:] / counts[0, 0] - mean**2, 0.0))
         if (np.abs(mean) <= TYPICAL * np.maximum(deviation, 1e-3)).all() and (deviation < TYPICAL).all():
             break
         center, scale = center + mean * scale, np.where(deviation > 0, deviation, 1.0) * scale
-    if not (also_plain or weight is None):
+    if not also_plain:
         plain = None
     return Moments(
         columns, sorted(weighted), weighted, center, scale, plain, rows // copies, int(round(counts[0, 0])) // copies
@@ -191,27 +191,29 @@ def cross_products_by_group(
 Matrices = dict[int, np.ndarray]
 
 
-def _narrow_sums(df: DataFrame, p: int, both: bool) -> tuple[int, Matrices, Matrices | None]:
+def _narrow_sums(df: DataFrame, p: int, both: bool) -> tuple[int, Matrices, Matrices]:
+    """Rows, weighted sums and plain ones; without ``both`` of the latter only the sums and the sums of squares."""
     term = [F.col("u")] + [F.col(f"x{i}") for i in range(p)]
     pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
-    kinds = {"s": F.col("w"), "u": F.col("u")} if both else {"s": F.col("w")}
+    kinds = {"s": (F.col("w"), pairs), "u": (F.lit(1.0), [(i, j) for i, j in pairs if both or i == 0 or i == j])}
     rows = df.groupBy("fold").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("u").alias("complete"),
-        *[F.sum(w * term[i] * term[j]).alias(f"{k}{i}_{j}") for k, w in kinds.items() for i, j in pairs],
+        *[F.sum(w * term[i] * term[j]).alias(f"{k}{i}_{j}") for k, (w, cells) in kinds.items() for i, j in cells],
     ).collect()
     out: dict[str, Matrices] = {k: {} for k in kinds}
     for r in rows:
         if not r["complete"]:
             continue
-        for k in kinds:
+        for k, (_, cells) in kinds.items():
             m = np.zeros((p + 1, p + 1))
-            for i, j in pairs:
+            for i, j in cells:
                 m[i, j] = m[j, i] = r[f"{k}{i}_{j}"]
             out[k][r["fold"]] = m
-    return sum(r["rows"] for r in rows), out["s"], out.get("u")
+    return sum(r["rows"] for r in rows), out["s"], out["u"]
 
 
-def _wide_sums(df: DataFrame, p: int, both: bool) -> tuple[int, Matrices, Matrices | None]:
+def _wide_sums(df: DataFrame, p: int, both: bool) -> tuple[int, Matrices, Matrices]:
+    """As ``_narrow_sums``."""
     names = ["u", *(f"x{i}" for i in range(p))]
 
     def partial(batches):
@@ -221,8 +223,12 @@ def _wide_sums(df: DataFrame, p: int, both: bool) -> tuple[int, Matrices, Matric
             rows += len(batch)
             for key, part in batch[batch["u"] > 0].groupby("fold"):
                 x = part[names].to_numpy()
-                for plain in (False, True) if both else (False,):
-                    m = (x if plain else x * part["w"].to_numpy()[:, None]).T @ x
+                for plain in (False, True):
+                    if plain and not both:
+                        m = np.diag((x * x).sum(axis=0))
+                        m[0] = x.sum(axis=0)
+                    else:
+                        m = (x if plain else x * part["w"].to_numpy()[:, None]).T @ x
                     at = (int(key), plain)
                     sums[at] = sums[at] + m if at in sums else m
         if rows:
@@ -251,7 +257,7 @@ def _wide_sums(df: DataFrame, p: int, both: bool) -> tuple[int, Matrices, Matric
             rows = int(r["v"][0])
         else:
             out[r["plain"]].setdefault(r["fold"], np.zeros((p + 1, p + 1)))[r["i"]] = r["v"]
-    return rows, out[False], out[True] if both else None
+    return rows, out[False], out[True]
 
 
 def solve(m: np.ndarray, idx: Sequence[int]) -> np.ndarray:
@@ -435,6 +441,9 @@ def forward_selection_by_group(
     The selection of a group runs in the task that holds its sums; nothing of a
     group comes to the driver, and there may be any number of groups.
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     ship_package(df.sparkSession)
     columns = list(dict.fromkeys(c for n in sorted(candidates) for c in candidates[n]))
     sums, center, scale = cross_products_by_group(df, group, columns, outcome, weight, fold)
@@ -450,7 +459,10 @@ def forward_selection_by_group(
         found.insert(0, group, rows[group].iloc[0])
         return found
 
-    out = sums.groupBy(group).applyInPandas(select, f"`{group}` {kind}, {SELECTION_SCHEMA}")
+    # the tasks' partial sums are added up by the engine, so a group has one row a fold when pandas sees it
+    added = sums.groupBy(group, "fold").agg(Summarizer.sum(array_to_vector("sums")).alias("v"))
+    added = added.select(group, "fold", vector_to_array("v").alias("sums"))
+    out = added.groupBy(group).applyInPandas(select, f"`{group}` {kind}, {SELECTION_SCHEMA}")
     used = F.lit(True)
     for c in [*columns, outcome, weight, fold]:
         used = used & F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`").cast("double"))

@@ -9,7 +9,7 @@ from welfarelens.session import held_small
 from welfarelens.plans import comparison as C, country_panel as N, predictors as M, survey as Y
 from workloads.country_panel import _year_case
 from workloads.policies import BUDGETS, _UBI, _interp_sql
-from workloads.predictors import LEARN, learner_table
+from workloads.predictors import LEARN, area_sql, learner_table
 from workloads.registry import query
 from workloads.tables import (
     HH, LINE, SERIES, SURVEYS, YEARS, households, r6, rounded, series, surveys, table, wide, wide_sql, with_,
@@ -216,10 +216,40 @@ def model_grid(spark, sf):
     return M.model_grid(data, specs, "hhid", "weight", folds=3)
 
 
-@query()
+@query(area_sql(1e-4, ["assets", "hh_size"]))
 def area_effects(spark, sf):
     data = learner_table(spark, sf)
-    return M.area_effects(data, "district", ["assets", "hh_size"], "outcome", "hhid", "weight", folds=3)
+    return rounded(M.area_effects(data, "district", ["assets", "hh_size"], "outcome", "hhid", "weight", folds=3), "coefficient")
+
+
+_PARTS = """x AS (SELECT *, row_number() OVER (ORDER BY substr(md5('1234:' || hhid::VARCHAR), 1, 15), hhid::VARCHAR) AS r, count(*) OVER () AS n FROM hh WHERE year < 1999),
+parts AS (SELECT CASE WHEN r <= floor(n * 0.8 + 0.5) THEN 'train' ELSE 'validation' END AS part, * EXCLUDE (r, n) FROM x UNION ALL SELECT 'test', * FROM hh WHERE year >= 1999),
+names AS (SELECT unnest(['consumption', 'weight', 'hh_size']) AS c UNION SELECT 'stratum_' || stratum FROM hh UNION SELECT 'area_' || area FROM hh)"""
+
+
+@query(with_(HH, _PARTS) + """
+SELECT part, count(*) AS rows, sum(hh_size) AS people, count(*) FILTER (area = '1-URGENT') AS urgent, round(sum(consumption::FLOAT::DOUBLE), 4) AS consumption,
+  (SELECT string_agg(c, ',' ORDER BY c) FROM names) AS columns, 'float' AS types FROM parts GROUP BY part""")
+def survey_dataset_parts(spark, sf):
+    """Who is in the training, validation and test part, which columns are left, and their types."""
+    hh = households(spark, sf).select("hhid", "consumption", "weight", "hh_size", "hh_wgt", "district", "stratum", "area", "year")
+    described = [("district", "categorical", True, False), ("stratum", "categorical", True, True), ("area", "categorical", False, False)]
+    meta = spark.createDataFrame(
+        described, "variable_name string, data_type string, geographic_indicator boolean, geographic_indicator_coarser boolean"
+    )
+    d = Y.prepare_datasets(
+        hh.filter("year < 1999").drop("year"), hh.filter("year >= 1999").drop("year"), meta, "consumption", "weight"
+    )
+    out = None
+    for name, part in (("train", d.train), ("validation", d.validation), ("test", d.test)):
+        kinds = ",".join(sorted({f.dataType.simpleString() for f in part.schema.fields}))
+        row = part.agg(
+            F.lit(name).alias("part"), F.count(F.lit(1)).alias("rows"), F.sum(F.col("hh_size").cast("double")).alias("people"),
+            F.sum("area_1-URGENT").cast("long").alias("urgent"), r6(F.sum(F.col("consumption").cast("double")), 4).alias("consumption"),
+            F.lit(",".join(sorted(part.columns))).alias("columns"), F.lit(kinds).alias("types"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query(with_(HH, _UBI) + """, n AS (SELECT sum(greatest(2.15 - consumption, 0) * weight) / sum(weight) AS g0, sum(greatest(1.65 - consumption, 0) * weight) / sum(weight) AS g1 FROM hh)

@@ -132,9 +132,7 @@ def gbt_cv(spark, sf):
 
 @query()
 def pca_regression(spark, sf):
-    data = with_folds(spark, sf).select("hhid", "outcome", "weight", "fold", *LEARN)
-    parts = R.principal_components(data, LEARN, 3, ["hhid", "outcome", "weight", "fold"], scale=True)
-    r = R.cross_validated_r2(parts, [f"pca_{i}" for i in range(3)], "outcome", "fold", "weight")
+    r = R.component_regression_cv(with_folds(spark, sf), LEARN, 3, "outcome", "fold", "weight", scale=True)
     return spark.createDataFrame([(3, r["train_r2"], r["test_r2"])], "n_pca int, train_r2 double, test_r2 double")
 
 
@@ -306,12 +304,18 @@ def model_grid_of_single_columns(spark, sf):
     return rounded(grid.select("columns", "outcome", "lr_oos", "lr_is", "rows", "complete"), "lr_oos", "lr_is")
 
 
-@query(with_(HH, _learner_sql(0, 5)) + """, m AS (SELECT district, sum(weight) AS w, sum(weight * outcome) / sum(weight) AS m, arg_min(assets, hhid) AS assets FROM folded GROUP BY district),
-t AS (SELECT sum(w) * 2e-3::DOUBLE AS p FROM m), breaks AS (SELECT m - p / w AS pos FROM m, t UNION SELECT m + p / w FROM m, t),
+def area_sql(alpha: float, places: list[str]) -> str:
+    """The penalised effect of every district: the intercept solves an equation that is linear between breakpoints."""
+    first = ", ".join(f"arg_min({c}, hhid) AS {c}" for c in places)
+    return with_(HH, _learner_sql(0, 5)) + f""", m AS (SELECT district, sum(weight) AS w, sum(weight * outcome) / sum(weight) AS m, {first} FROM folded GROUP BY district),
+t AS (SELECT sum(w) * {alpha}::DOUBLE AS p FROM m), breaks AS (SELECT m - p / w AS pos FROM m, t UNION SELECT m + p / w FROM m, t),
 g AS (SELECT pos, sum(greatest(least(w * (m - pos), p), -p)) AS g, max(p) AS p FROM breaks, m, t GROUP BY pos),
 z AS (SELECT max(pos) FILTER (g > p * 1e-9) AS a, min(pos) FILTER (g < -p * 1e-9) AS b, min(pos) FILTER (abs(g) <= p * 1e-9) AS lo, max(pos) FILTER (abs(g) <= p * 1e-9) AS hi FROM g),
 c AS (SELECT CASE WHEN lo IS NOT NULL THEN (lo + hi) / 2 ELSE a + (SELECT g FROM g WHERE pos = a) * (b - a) / ((SELECT g FROM g WHERE pos = a) - (SELECT g FROM g WHERE pos = b)) END AS c FROM z)
-SELECT district AS id, round(sign(m - c) * greatest(abs(m - c) - p / w, 0), 6) AS coefficient, assets FROM m, t, c""")
+SELECT district AS id, round(sign(m - c) * greatest(abs(m - c) - p / w, 0), 6) AS coefficient, {', '.join(places)} FROM m, t, c"""
+
+
+@query(area_sql(2e-3, ["assets"]))
 def area_effects_of_districts(spark, sf):
     """The penalised effect of every district beside the assets of its first household."""
     out = M.area_effects(learner_table(spark, sf), "district", ["assets"], "outcome", "hhid", "weight", [2e-3])

@@ -280,20 +280,20 @@ def missing_indicator_audit(spark, sf):
     return Q.missing_indicator_audit(hh, _metadata(spark, sf))
 
 
-@query("""
-WITH m AS (SELECT DISTINCT unnest([{'n': 'c_name', 't': 'numeric'}, {'n': 'c_custkey', 't': 'categorical'}, {'n': 'c_acctbal', 't': 'numeric'}, {'n': 'c_mktsegment', 't': 'categorical'}]) AS m FROM customer),
-d AS (SELECT column_name, CASE column_type WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS p FROM (DESCRIBE customer))
-SELECT m.n AS variable_name, m.t AS data_type, p AS physical_type, CASE m.t WHEN 'numeric' THEN 'error' ELSE 'warning' END AS severity
-FROM m JOIN d ON m.n = column_name WHERE (m.t = 'numeric') = (p = 'string')""")
+TYPED = [("c_name", "numeric"), ("c_custkey", "categorical"), ("c_acctbal", "numeric"), ("c_mktsegment", "categorical")]
+
+
+@query(f"""
+WITH m(n, t) AS (VALUES {', '.join(map(str, TYPED))}),
+d AS (SELECT column_name, CASE column_type WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS p FROM (DESCRIBE customer)),
+f AS ({' UNION ALL '.join(f"SELECT '{c}' AS c, count({c}) AS filled, count(DISTINCT {c}) AS different FROM customer" for c, _ in TYPED)})
+SELECT m.n AS variable_name, m.t AS data_type, p AS physical_type, CASE m.t WHEN 'numeric' THEN 'error' ELSE 'warning' END AS severity, filled, different
+FROM m JOIN d ON m.n = column_name JOIN f ON m.n = c WHERE (m.t = 'numeric') = (p = 'string')""")
 def type_mismatches(spark, sf):
+    """Columns whose declared type is not the physical one, with what they hold."""
     cust = table(spark, sf, "customer")
-    meta = cust.select(
-        F.explode(F.array(
-            *[F.struct(F.lit(n).alias("variable_name"), F.lit(t).alias("data_type")) for n, t in
-              [("c_name", "numeric"), ("c_custkey", "categorical"), ("c_acctbal", "numeric"), ("c_mktsegment", "categorical")]]
-        )).alias("m")
-    ).select("m.*").distinct()
-    return Q.type_mismatches(cust, meta)
+    found = Q.type_mismatches(cust, spark.createDataFrame(TYPED, "variable_name string, data_type string"))
+    return found.join(filled_cells(cust).withColumnRenamed("column", "variable_name"), "variable_name")
 
 
 @query(with_(HH) + """
