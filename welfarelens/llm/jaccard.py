@@ -510,9 +510,11 @@ def jaccard_components(docs: DataFrame, shingle: int = 3, percent: int = 90) ->
     roots = connected_components(links)
 
     classes = members.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(sets.select("k1", "k2", "node"), ["k1", "k2"], "left").join(roots.withColumnRenamed("u", "node"), "node", "left")
-    classes = classes.withColumn("root", F.coalesce("v", "node"))
-    ids = classes.filter("root is not null").groupBy("root").agg(F.min("least").alias("named"))
-    classes = classes.join(ids, "root", "left").select("k1", "k2", F.coalesce("named", "least").alias("least"))
+    # only sets with candidates have a node; the others keep their own least id and meet no join on it
+    rooted = sets.select("k1", "k2", "node").join(roots.select(F.col("u").alias("node"), "v"), "node", "left")
+    rooted = rooted.select("k1", "k2", F.coalesce("v", "node").alias("root"))
+    ids = rooted.join(classes, ["k1", "k2"]).groupBy("root").agg(F.min("least").alias("named"))
+    classes = classes.join(rooted.join(ids, "root").select("k1", "k2", "named"), ["k1", "k2"], "left")
+    classes = classes.select("k1", "k2", F.coalesce("named", "least").alias("least"))
     named = members.join(classes, ["k1", "k2"])
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
