@@ -145,3 +145,15 @@ def test_standardize_constant_is_zero(spark):
     got = D.standardize(df, ["a", "b"]).collect()
     assert [round(r["a"], 6) for r in got] == [-0.707107, 0.707107, 0.0]
     assert {r["b"] for r in got} == {0.0}
+
+
+def test_intermediate_tables_can_be_dropped(spark):
+    import os
+
+    from welfarelens import session
+
+    held = session.written_once(spark.range(5).toDF("x"))
+    folder = session._INTERMEDIATES[spark.sparkContext.applicationId][-1].removeprefix("file:")
+    assert held.count() == 5 and os.path.isdir(folder)
+    assert session.drop_intermediates(spark) >= 1 and not os.path.exists(folder)
+    assert session.drop_intermediates(spark) == 0

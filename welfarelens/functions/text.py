@@ -171,8 +171,3 @@ def strata_key(*columns: str | Column) -> Column:
 def to_number(c: str | Column) -> Column:
     """Text to DOUBLE; unreadable text to NULL."""
     return col(c).try_cast("double")
-
-
-def strip_accents_python(text: str) -> str:
-    """The same rule as ``normalize_text`` for a single Python string (schema work on the driver)."""
-    return "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch)).strip().lower()

@@ -147,15 +147,6 @@ def stratified_split(
     ).drop("__cut")
 
 
-def train_test(df: DataFrame, **kwargs) -> tuple[DataFrame, DataFrame]:
-    """The two parts of ``stratified_split`` as tables."""
-    marked = stratified_split(df, **kwargs)
-    return (
-        marked.filter(F.col("split") == "train").drop("split"),
-        marked.filter(F.col("split") == "test").drop("split"),
-    )
-
-
 def random_split(
     df: DataFrame, id_column: str, fraction: float, seed: int = 123456, weight: str | None = None
 ) -> DataFrame:

@@ -56,10 +56,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def intermediate_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for an intermediate table; ``drop_intermediates`` deletes it."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _INTERMEDIATES.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+#: Folders of intermediate tables by application.
+_INTERMEDIATES: dict[str, list[str]] = {}
+
+
+def drop_intermediates(spark: SparkSession) -> int:
+    """Delete all intermediate tables this session has written and return their number.
+
+    Results that have not been written or collected yet read some of them, so this is for the end of a run.
+    """
+    sc = spark.sparkContext
+    folders = _INTERMEDIATES.pop(sc.applicationId, [])
+    for folder in folders:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    return len(folders)
+
+
 def written_once(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, read by any number of later steps."""
     spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    folder = intermediate_folder(spark, "table")
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 

@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import functions as F
 
 from welfarelens.operators import encode as E
-from welfarelens.session import shared_folder
+from welfarelens.session import intermediate_folder
 from welfarelens.sources import readers as I, writers as O
 from workloads.registry import query
 from workloads.tables import HH, PRICES, YEARS, households, prices_wide, prices_wide_sql, r6, rounded, table, with_
 
 
 def _folder(spark) -> str:
-    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    return intermediate_folder(spark, "files")
 
 
 @query(with_(PRICES, prices_wide_sql("cpi", "c")) + f"""
@@ -141,3 +140,17 @@ def typed_csv_with_year_labels(spark, sf):
     wide.toDF("nation", *[f"{y} [YR{y}]" for y in YEARS]).write.option("header", True).csv(path)
     schema = "nation long, " + ", ".join(f"`{y} [YR{y}]` string" for y in YEARS)
     return rounded(I.plain_year_headers(I.read_csv(spark, path, schema)), *YEARS)
+
+
+@query(with_(HH) + "SELECT district, count(*) AS rows, round(sum(CASE WHEN hh_size = 3 THEN NULL ELSE assets END), 4) AS assets FROM hh GROUP BY district")
+def parquet_parts(spark, sf):
+    """Parquet files of several folders, some columns of them, NaN as NULL."""
+    hh = households(spark, sf).withColumn("assets", F.when(F.col("hh_size") == 3, F.lit(float("nan"))).otherwise(F.col("assets")))
+    folders = []
+    for size in (3, 5):
+        folders.append(_folder(spark))
+        part = hh.filter(F.col("hh_size") <= 3) if size == 3 else hh.filter(F.col("hh_size") > 3)
+        part.select("hhid", "district", "assets", "status").write.parquet(folders[-1])
+    read = I.read_parquet(spark, folders, ["district", "assets"])
+    out = read.groupBy("district").agg(F.count(F.lit(1)).alias("rows"), F.sum("assets").alias("assets"))
+    return rounded(out, "assets", digits=4)

@@ -113,6 +113,11 @@ def country_panel(spark, sf):
     return rounded(out, *[c for c in out.columns if c not in exact])
 
 
+@query(_PANEL + "SELECT s.entity, round(f21, 6) AS conversion_factor FROM surveys s LEFT JOIN f ON s.entity = f.entity WHERE s.survey_year IS NOT NULL")
+def currency_table(spark, sf):
+    return rounded(N.currency_table(_panel(spark, sf)), "conversion_factor")
+
+
 @query("""
 WITH g AS (SELECT c_nationkey AS entity, year(o_orderdate) AS y, sum(o_totalprice) AS gdp, avg(o_totalprice) AS cpi FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
 s AS (SELECT max(cpi) FILTER (y = 2000) / max(cpi) FILTER (y = 1997) AS s FROM g WHERE entity = 3)
