@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from welfarelens.session import shared_folder
+from welfarelens.session import intermediate_folder
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return intermediate_folder(spark, name)
 
 
 @contextmanager
