@@ -299,11 +299,10 @@ def _in_row(low: Column, high: Column) -> Column:
     return F.filter("__edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= low) & (F.least(e["y1"], e["y2"]) <= high))
 
 
-def polygon_cells(polygons: DataFrame, rings: str, polygon_columns: Sequence[str]) -> DataFrame:
-    """The cells of every polygon in the grid of its size class: ``__class``, ``__ix``, ``__iy`` and ``__edges``.
+def _shapes(polygons: DataFrame, rings: str, polygon_columns: Sequence[str]) -> DataFrame:
+    """Polygons with their edges, the box around them and their size class.
 
-    The grid's side is an eighth of the next power of two above the polygon's side, so it has at most 10 x 10 cells.
-    ``__edges`` are what a point in the cell must be tested against, NULL if the whole cell is inside.
+    The grid of a class has a side of an eighth of the next power of two above the polygon's side.
     """
     shapes = polygons.select(*polygon_columns, polygon_edges(rings).alias("__edges")).filter(F.size("__edges") > 0)
     xs, ys = F.transform("__edges", lambda e: e["x1"]), F.transform("__edges", lambda e: e["y1"])
@@ -311,7 +310,16 @@ def polygon_cells(polygons: DataFrame, rings: str, polygon_columns: Sequence[str
         {"__x0": F.array_min(xs), "__x1": F.array_max(xs), "__y0": F.array_min(ys), "__y1": F.array_max(ys)}
     )
     longest = F.greatest(F.col("__x1") - F.col("__x0"), F.col("__y1") - F.col("__y0"), F.lit(1e-12))
-    shapes = shapes.withColumn("__class", F.ceil(F.log2(longest)).cast("int") - 3)
+    return shapes.withColumn("__class", F.ceil(F.log2(longest)).cast("int") - 3)
+
+
+def polygon_cells(polygons: DataFrame, rings: str, polygon_columns: Sequence[str]) -> DataFrame:
+    """The cells of every polygon in the grid of its size class, at most 10 x 10: ``__class``, ``__ix``, ``__iy``
+    and ``__edges``.
+
+    ``__edges`` are what a point in the cell must be tested against, NULL if the whole cell is inside.
+    """
+    shapes = _shapes(polygons, rings, polygon_columns)
     side = F.pow(F.lit(2.0), F.col("__class"))
 
     def span(lo: str, hi: str) -> Column:
@@ -338,7 +346,7 @@ def points_in_polygons(
     ``point_id``. Points without a coordinate lie in no polygon.
     """
     cover = polygon_cells(polygons, rings, polygon_columns)
-    classes = sorted(r[0] for r in cover.select("__class").distinct().collect())
+    classes = sorted(r[0] for r in _shapes(polygons, rings, []).select("__class").distinct().collect())
     x, y = F.col(xy[0]).cast("double"), F.col(xy[1]).cast("double")
     side = F.pow(F.lit(2.0), F.col("__class"))
     keys = ["__class", "__ix", "__iy"]
