@@ -1,4 +1,4 @@
-"""Labelled documents: bounded samples of them for fitting, and all of them for thresholds."""
+"""Labelled documents: bounded samples of them for fitting, and their labels for thresholds."""
 
 from __future__ import annotations
 
@@ -25,15 +25,11 @@ def known_labels(labels: DataFrame, label: str) -> DataFrame:
     return known.groupBy("__id").agg(F.max("__label").alias("__label"))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
+def texts_by_id(docs: DataFrame) -> DataFrame:
+    """(``__id``, ``__text``) of every row."""
     return docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(``__id``, ``__text``, ``__label``) of all rows of ``docs`` with a label that is not held out."""
-    return _texts(docs).join(known_labels(labels, label), "__id")
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, counts: dict[int, int], max_chars: int) -> tuple[list[tuple[str, int]], float]:
     """At most ``counts[v]`` texts with label ``v`` that are not held out, and the share of label 1 among all such labels.
 
@@ -52,7 +48,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, counts: dict
     rows: list[tuple[str, int]] = []
     for value, count in sorted(counts.items()):
         chosen = present.filter(F.col("__label") == value).orderBy(F.xxhash64("__id"), "__id").limit(count)
-        found = _texts(docs).join(F.broadcast(chosen), "__id").withColumn("__text", F.coalesce(piece, F.lit("")))
+        found = texts_by_id(docs).join(F.broadcast(chosen), "__id").withColumn("__text", F.coalesce(piece, F.lit("")))
         texts = found.orderBy(F.xxhash64("__id"), "__id", "__text").limit(count).select("__text").collect()
         if not texts:
             warnings.warn(f"no document with {label} = {value} to learn from", stacklevel=2)

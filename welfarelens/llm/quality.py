@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from welfarelens.llm.labelled import labelled_sample, labelled_texts
+from welfarelens.llm.labelled import known_labels, labelled_sample, texts_by_id
 from welfarelens.llm.tables import stored
 from welfarelens.llm.token_files import text_parts
 from welfarelens.session import ship_package
@@ -108,8 +108,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", pe
     y = np.array([v for _, v in rows])
     model = fit_ranker(np.stack([text_features(t) for t, _ in rows]), y)
     if 0 < y.mean() < 1:
-        known = labelled_texts(docs, labels, label)
-        scored = stored(known.select(_raw(model, F.col("__text"), docs.sparkSession).alias("raw"), "__label"), "labelled-scores")
+        # scores, not texts, are brought to the labels
+        scored = texts_by_id(docs).select("__id", _raw(model, F.col("__text"), docs.sparkSession).alias("raw"))
+        scored = stored(scored.join(known_labels(labels, label), "__id").select("raw", "__label"), "labelled-scores")
         model.threshold = quantile(scored, "raw", scored.filter("__label = 0").count())
     return model
 
