@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from welfarelens.llm.kept import word_hash
+from welfarelens.llm.tables import small_batches, stored
 from welfarelens.llm.token_files import text_batches, text_parts
 from welfarelens.session import ship_package
 
@@ -190,7 +191,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Every row is judged by its own text, also rows that repeat an id; null and empty texts stay. Empty tables change
     nothing, and columns may have any names.
     """
-    ship_package(docs.sparkSession)
-    for block in _blocks(docs.sparkSession, benchmark):
+    spark = docs.sparkSession
+    ship_package(spark)
+    for block in _blocks(spark, benchmark):
         docs = docs.filter(~_contaminated(block, F.col("text").cast("string")))
-    return docs
+    with small_batches(spark):
+        return stored(docs, "not-contaminated")

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from welfarelens.llm.components import connected_components
-from welfarelens.llm.tables import fresh, stored
+from welfarelens.llm.tables import fresh, small_batches, stored
 from welfarelens.llm.token_files import text_batches
 from welfarelens.session import ship_package
 
@@ -177,7 +177,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     or the same text each keep their row. Columns other than ``doc_id`` and ``text`` are ignored; an empty table gives
     an empty one.
     """
-    fps = stored(fingerprints(docs, shingle), "fingerprints")
+    with small_batches(docs.sparkSession):
+        fps = stored(fingerprints(docs, shingle), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(fps, distance)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     nodes = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("component_key"))

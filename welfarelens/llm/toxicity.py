@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from welfarelens.llm import gru
 from welfarelens.llm.labelled import labelled_sample
+from welfarelens.llm.tables import small_batches, stored
 from welfarelens.llm.token_files import text_parts
 from welfarelens.session import ship_package
 
 #: Texts scored at once hold so many characters, except a longer single one.
-SCORED_CHARS = 1 << 21
+SCORED_CHARS = 1 << 20
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = 1000, negatives: int = 2000, max_chars: int = 8000) -> gru.Network:
@@ -52,4 +53,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     no usable label all texts have the same score, see ``gru.train``. An empty table gives an empty one.
     """
     model = train_toxicity(docs, labels)
-    return docs.filter(toxicity_score(model, F.col("text"), docs.sparkSession) < threshold)
+    spark = docs.sparkSession
+    with small_batches(spark):
+        return stored(docs.filter(toxicity_score(model, F.col("text"), spark) < threshold), "not-toxic")
