@@ -6,8 +6,10 @@ begins, the memory of the one before is given up. This changes no result.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
 import xxhash
 
 #: Different words whose hashes a worker keeps.
@@ -24,6 +26,8 @@ def at_work(name: str, clear: Callable[[], None]) -> None:
         for other in [n for n in _clear if n != name]:
             _clear.pop(other)()
         _at_work[:] = [name]
+        gc.collect()
+        pa.default_memory_pool().release_unused()  # what batches of the operator before have left
 
 
 class WordHashes(dict):
