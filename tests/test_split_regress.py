@@ -431,3 +431,19 @@ def test_area_effects_choose_the_penalty_and_first_places(spark):
     for i, a, _, _, place in rows:
         first.setdefault(a, place)
     assert {r["id"]: r["x"] for r in got} == first
+
+
+def test_logistic_steps_do_not_repeat_the_source(spark, frame):
+    """However many Newton steps there are, the given rows are made once."""
+    data = frame.dropna().withColumn("z", (F.col("y") > 22).cast("double"))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(a):
+        seen.add(1)
+        return a
+
+    plain = R.logistic_cv(data, ["a", "b"], "z", "fold", 5, strengths=(0.1, 1.0))
+    got = R.logistic_cv(data.withColumn("a", counted("a")), ["a", "b"], "z", "fold", 5, strengths=(0.1, 1.0))
+    assert got["C"] == plain["C"] and got["r2"] == pytest.approx(plain["r2"])
+    assert seen.value == got["rows"]

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from welfarelens.operators.ordered import join_groups
-from welfarelens.session import ship_package
+from welfarelens.session import ship_package, written_once
 
 MAX_COLUMNS = 5000
 NARROW = 14
@@ -688,7 +688,8 @@ def logistic_cv(
     """Ridge-penalised logistic regression chosen by the mean R2 of the predicted class over the folds.
 
     ``strengths`` are inverse penalties (C) of the sum of squared coefficients; the intercept is free. None if there
-    are too few positives. Every Newton step reads the data once for all folds and penalties: each task adds up the
+    are too few positives. The columns used are written once, so that what ``df`` joins is not joined (nor broadcast)
+    again for every step. Every Newton step reads them once for all folds and penalties: each task adds up the
     reweighted products and slopes of its rows. Returns also the numbers of all and of complete rows.
     """
     ship_package(df.sparkSession)
@@ -698,6 +699,7 @@ def logistic_cv(
         *[F.col(f"`{c}`").cast("double").alias(n) for n, c in zip(names, columns)], F.col(label).cast("double").alias("y"),
         F.col(fold).cast("int").alias("fold"),
     )
+    raw = written_once(raw)
     used = raw.dropna()
     rows, stats = raw.count(), _rough(used, names).first()
     by_fold = {r["fold"]: r for r in used.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()}
