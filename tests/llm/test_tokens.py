@@ -30,6 +30,25 @@ def test_pieces_give_the_ids_of_whole_texts(path):
     assert encoder.encode(TEXTS[::-1]) == want[::-1]
 
 
+def test_latin_words_are_lowered_without_the_normalizer():
+    """Characters below U+0300 do not combine, so this gives the same ids at a small part of the cost."""
+    plain = Tokenizer.from_file(WORD)
+    latin = [chr(c) for c in range(33, 0x300) if not chr(c).isspace() and max(chr(c).lower()) < "\u0300"]
+    texts = [" ".join(f"x{a}{b}" for b in latin[::7]) for a in latin] + [" ".join(latin)]
+    encoder = encoding.Encoder(encoding.read_description(WORD))
+    normalize, asked = encoder.normalizer.normalize_str, []
+
+    class Counted:
+        def normalize_str(self, text):
+            asked.append(text)
+            return normalize(text)
+
+    encoder.normalizer = Counted()
+    assert encoder.encode(texts) == [encoding.little_endian(plain.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert asked == []
+    assert encoder.encode(["e\u0301"]) == [encoding.little_endian(plain.encode("e\u0301", add_special_tokens=False).ids)] and asked
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "text string, doc_id long, part string, ids string")
 
